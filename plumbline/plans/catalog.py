@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,11 +15,15 @@ from plumbline.operators import (
     extensions,
     profile,
     ratelimit,
+    render,
     sessions,
     trace,
 )
-from plumbline.plans import views
+from plumbline.plans import files, views
 from plumbline.plans.views import table
+from plumbline.session import scratch_path
+from plumbline.sources import admission, delimited, sniff, workbook
+from plumbline.streaming import jobs
 
 QUERIES = {}
 
@@ -523,3 +529,167 @@ def x_recheck(spark, d):
     return out.select(
         "name", "count", F.round("mean", 2).alias("mean"), "min", "max", "confirmed"
     )
+
+
+# --- Files --------------------------------------------------------------------------------------
+
+
+@query
+def load_messy_csv(spark, d):
+    path = files.write_csv(
+        views.raw_orders(spark, d), "orders", sep=";", encoding="ISO-8859-1"
+    )
+    return delimited.load_table(spark, path).df
+
+
+@query
+def csv_roundtrip(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    path = files.write_csv(docs, "documents", quoteAll=True)
+    return delimited.load_table(spark, path, multiline=True).df
+
+
+@query
+def header_normalise(spark, d):
+    key = F.col("c_custkey")
+    padded = table(spark, d, "customer").select(
+        key.alias(" c_custkey "), "c_custkey", F.col("c_name").alias("  "), "c_mktsegment"
+    )
+    return delimited.load_table(spark, files.write_csv(padded, "customer", sep="|")).df
+
+
+@query
+def ragged_rows(spark, d):
+    path = files.write_ragged(spark, d)
+    return delimited.read_delimited(
+        spark, path, ["order_id", "customer", "status", "priority"], ";", header=False
+    )
+
+
+def _dialect(spark, label: str, path: str) -> DataFrame:
+    found = sniff.dialects(sniff.sniff(spark, path))
+    return found.select(
+        F.lit(label).alias("folder"),
+        "encoding",
+        F.col("delimiter").alias("delimiter"),
+        (F.col("lines") - F.col("files")).alias("rows"),
+    )
+
+
+def _one_line(column: str):
+    return F.regexp_replace(column, r"\s+", " ").alias("line")
+
+
+@query
+def detect_encoding(spark, d):
+    docs = table(spark, d, "documents")
+    plain = docs.select("doc_id", _one_line("text"))
+    marked = docs.select(F.col("doc_id").alias("﻿doc_id"), _one_line("text"))
+    folders = {
+        "plain": files.write_csv(plain, "plain", sep="|"),
+        "marked": files.write_csv(marked, "marked", sep="|"),
+        "latin": files.write_csv(plain, "latin", sep="|", encoding="ISO-8859-1"),
+    }
+    parts = [_dialect(spark, label, path) for label, path in folders.items()]
+    return reduce(DataFrame.unionByName, parts).drop("delimiter")
+
+
+@query
+def detect_delimiter(spark, d):
+    parts = []
+    for name, sep in (("customer", ","), ("orders", ";"), ("lineitem", "\t"), ("part", "|")):
+        path = files.write_csv(table(spark, d, name), name, sep=sep)
+        parts.append(_dialect(spark, name, path))
+    out = reduce(DataFrame.unionByName, parts)
+    return out.select("folder", F.ascii("delimiter").alias("delimiter_code"), "rows")
+
+
+@query
+def source_meta(spark, d):
+    lines = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = files.write_csv(lines, "customer", sep=";", header=False)
+    return (
+        sniff.source_status(spark, path)
+        .where("status = 'ok'")
+        .groupBy("encoding", "delimiter")
+        .agg(F.sum("bytes").alias("bytes"), F.sum("lines").alias("lines"))
+    )
+
+
+@query
+def union_chunks(spark, d):
+    orders = table(spark, d, "orders")
+    early = F.col("o_orderpriority") < "3"
+    paths = []
+    for label, chunk in (("early", orders.where(early)), ("late", orders.where(~early))):
+        paths.append(scratch_path(spark, label))
+        chunk.write.parquet(paths[-1])
+    return spark.read.parquet(*paths)
+
+
+@query
+def admit_files(spark, d):
+    endings = F.array(*map(F.lit, (".csv", ".xlsx", ".XLS", ".json", ".tsv", "")))
+
+    def path(key: str):
+        ending = F.get(endings, (F.col(key) % 6).cast("int"))
+        return F.concat(F.lit("data/f"), F.col(key).cast("string"), ending).alias("path")
+
+    requested = table(spark, d, "events").select(path("user_id"))
+    inventory = table(spark, d, "supplier").select(
+        path("s_suppkey"), (F.col("s_suppkey") % 10 != 3).alias("is_file")
+    )
+    return admission.admit_files(requested, inventory)
+
+
+@query
+def workbook_cells(spark, d):
+    return workbook.workbook_cells(files.customer_workbooks(spark, d))
+
+
+@query
+def workbook_sheet(spark, d):
+    cells = workbook.workbook_cells(files.customer_workbooks(spark, d))
+    people = workbook.sheet_table(cells, "Money").drop("path", "row")
+    return coercion.coerce_types(people)
+
+
+@query
+def quality_report_lines(spark, d):
+    return render.quality_report_lines(clean_orders(spark, d), ["order_id"])
+
+
+@query
+def quality_report_markdown(spark, d):
+    return render.quality_report_markdown(clean_orders(spark, d))
+
+
+# --- Streams ------------------------------------------------------------------------------------
+
+
+@query
+def stream_guardrails(spark, d):
+    out = scratch_path(spark, "guardrails")
+    jobs.start_guardrails(jobs.table_stream(spark, d, "conversations"), out).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select(
+        "conv_id", "turn", "is_safe", "reason", "cleaned", "was_flagged"
+    )
+
+
+@query
+def stream_rate_limit(spark, d):
+    out = scratch_path(spark, "limiter")
+    stream = jobs.table_stream(spark, d, "events").select("user_id", "ts", "event_id")
+    jobs.start_rate_limit(stream, out, "user_id", "ts", "event_id", 3, DAY).awaitTermination()
+    return spark.read.parquet(f"{out}/rows").select("event_id", "status")
+
+
+@query
+def stream_session_state(spark, d):
+    out = scratch_path(spark, "memory")
+    stream = jobs.table_stream(spark, d, "events")
+    clears = F.col("event_type") == "signup"
+    jobs.start_session_state(
+        stream, out, "user_id", "event_id", "event_type", "props", clears
+    ).awaitTermination()
+    return jobs.current_state(spark.read.parquet(f"{out}/state").drop("version"))

@@ -91,14 +91,18 @@ ORACLES["column_unique"] = dirty(
     f"""SELECT position, name, uniq AS "unique", round(100.0::DOUBLE * uniq / n, 2) AS unique_pct
     FROM ({_column_profile("dirty_orders")})"""
 )
-ORACLES["column_samples"] = dirty(
-    "\nUNION ALL\n".join(
+
+
+def _sample_rows() -> str:
+    return "\nUNION ALL\n".join(
         f"""SELECT {i} AS position, '{c}' AS name, string_agg(v, ', ' ORDER BY order_id, v) AS sample
         FROM (SELECT order_id, CAST({c} AS VARCHAR) AS v FROM dirty_orders WHERE {c} IS NOT NULL
               ORDER BY order_id, v LIMIT 3) HAVING count(*) > 0"""
         for i, c in enumerate(ORDER_COLUMNS)
     )
-)
+
+
+ORACLES["column_samples"] = dirty(_sample_rows())
 ORACLES["duplicate_rows"] = dirty(
     "SELECT (SELECT count(*) FROM dirty_orders)"
     " - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_orders)) AS duplicate_rows"
@@ -548,3 +552,142 @@ ORACLES["x_recheck"] = "\nUNION ALL\n".join(
       max({c}) AS max, true AS confirmed FROM lineitem"""
     for c in ("l_quantity", "l_extendedprice")
 )
+
+# --- Files --------------------------------------------------------------------------------------
+
+ORACLES["load_messy_csv"] = dirty("SELECT * FROM dirty_orders")
+ORACLES["csv_roundtrip"] = "SELECT doc_id, text FROM documents"
+ORACLES["header_normalise"] = """
+SELECT c_custkey, c_custkey AS "c_custkey.1", c_name AS "Unnamed: 2", c_mktsegment FROM customer"""
+ORACLES["ragged_rows"] = """
+SELECT CAST(o_orderkey AS VARCHAR) AS order_id, CAST(o_custkey AS VARCHAR) AS customer,
+       CASE WHEN o_orderkey % 5 <> 0 THEN o_orderstatus || ';"x"' END AS status,
+       CASE WHEN o_orderkey % 5 <> 0 THEN o_orderpriority END AS priority
+FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0"""
+ORACLES["detect_encoding"] = """
+SELECT folder, encoding, (SELECT count(*) FROM documents) AS rows
+FROM (VALUES ('plain', 'utf-8'), ('marked', 'utf-8-sig'), ('latin', 'iso-8859-1'))
+  AS expected(folder, encoding)"""
+ORACLES["detect_delimiter"] = """
+SELECT 'customer' AS folder, ascii(',') AS delimiter_code, count(*) AS rows FROM customer
+UNION ALL SELECT 'orders', ascii(';'), count(*) FROM orders
+UNION ALL SELECT 'lineitem', 9, count(*) FROM lineitem
+UNION ALL SELECT 'part', ascii('|'), count(*) FROM part"""
+ORACLES["source_meta"] = """
+SELECT 'utf-8' AS encoding, ';' AS delimiter, count(*) AS lines,
+       CAST(sum(strlen(c_custkey || ';' || c_name || ';' || c_mktsegment) + 1) AS BIGINT) AS bytes
+FROM customer"""
+ORACLES["union_chunks"] = "SELECT * FROM orders"
+
+
+def _file_name(key: str) -> str:
+    return f"""'data/f' || {key}
+      || ['.csv', '.xlsx', '.XLS', '.json', '.tsv', ''][{key} % 6 + 1]"""
+
+
+ORACLES["admit_files"] = f"""
+WITH asked AS (SELECT user_id AS k, {_file_name("user_id")} AS path, count(*) AS requests
+               FROM events GROUP BY ALL),
+known AS (SELECT {_file_name("s_suppkey")} AS path, s_suppkey % 10 <> 3 AS is_file FROM supplier),
+checked AS (
+  SELECT asked.*, CASE
+    WHEN is_file IS NULL THEN 'File not found: ' || path
+    WHEN NOT is_file THEN 'Path is not a file: ' || path
+    WHEN k % 6 >= 3 THEN 'Invalid file type: ' || ['.json', '.tsv', ''][k % 6 - 2]
+      || '. Allowed: .csv, .xlsx, .xls'
+    ELSE '' END AS reason
+  FROM asked LEFT JOIN known USING (path))
+SELECT path, requests, reason = '' AS ok, reason FROM checked"""
+
+
+def _number_text(c: str) -> str:
+    return f"""CASE WHEN {c} = floor({c}) THEN CAST(CAST({c} AS BIGINT) AS VARCHAR)
+      ELSE CAST({c} AS VARCHAR) END"""
+
+
+_BOOKS = """book AS (
+  SELECT *, 'book-' || (c_custkey // 500) || '.xlsx' AS path,
+         row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) + 1 AS row
+  FROM customer)"""
+ORACLES["workbook_cells"] = f"""WITH {_BOOKS}
+SELECT path, 'People' AS sheet, 0 AS sheet_no, row, 1 AS col,
+       CAST(c_custkey AS VARCHAR) AS value FROM book
+UNION ALL SELECT path, 'People', 0, row, 2, c_name FROM book
+UNION ALL SELECT path, 'People', 0, row, 3, c_mktsegment FROM book
+UNION ALL SELECT path, 'Money', 1, row, 1, CAST(c_custkey AS VARCHAR) FROM book
+UNION ALL SELECT path, 'Money', 1, row, 2, {_number_text("c_acctbal")} FROM book
+UNION ALL SELECT path, sheet, sheet_no, 1, col, value
+FROM (SELECT DISTINCT path FROM book),
+  (VALUES ('People', 0, 1, 'c_custkey'), ('People', 0, 2, 'c_name'),
+          ('People', 0, 3, 'c_mktsegment'), ('Money', 1, 1, 'c_custkey'),
+          ('Money', 1, 2, 'c_acctbal')) AS heads(sheet, sheet_no, col, value)"""
+ORACLES["workbook_sheet"] = "SELECT c_custkey, c_acctbal FROM customer"
+
+_DTYPES = (
+    "CASE name "
+    + " ".join(f"WHEN '{c}' THEN '{t}'" for c, t in zip(ORDER_COLUMNS, ORDER_TYPES))
+    + " END"
+)
+
+
+def _pct(dim: str) -> str:
+    return f"CAST(round_even(100 * round({dim}, 4), 0) AS INT) || '%'"
+
+
+_SCORE = f"(SELECT quality_score || '/100  —  ' || {GRADE_SQL} FROM scored)"
+_SIZE = "(SELECT 'Rows: ' || format('{:,}', n) || ' | Columns: ' || cols FROM scored)"
+_FLAG_ROWS = """worst AS (SELECT name, round(100.0::DOUBLE * missing / n, 2) AS pct FROM cols
+          ORDER BY 2 DESC, position LIMIT 1),
+flags AS (
+  SELECT 0 AS flag_no, (SELECT total_missing FROM scored) || ' missing cells; worst column '''
+         || name || ''' (' || pct || '% missing)' AS flag FROM worst
+  UNION ALL SELECT 1, duplicate_rows || ' duplicate row(s)' FROM scored
+  UNION ALL SELECT 2, 'constant/near-empty column(s): '
+    || string_agg(name, ', ' ORDER BY position) FROM cols WHERE n > 1 AND uniq <= 1)"""
+_N = len(ORDER_COLUMNS)
+ORACLES["quality_report_lines"] = dirty(
+    f""", {ORDERS_PROFILE}, {_FLAG_ROWS},
+samples AS ({_sample_rows()}),
+lines AS (
+  SELECT i AS line_no, line FROM (VALUES (0, {literal(fixed.QUALITY_TITLE)}),
+    (1, repeat('=', 32)), (2, {_SIZE}), (3, ''), (4, 'DATA QUALITY SCORE: ' || {_SCORE}),
+    (6, ''), (7, 'SCHEMA'), (8, '------'), ({9 + _N}, ''), ({10 + _N}, 'FLAGS'),
+    ({11 + _N}, '-----')) AS v(i, line)
+  UNION ALL SELECT 5, '  completeness=' || {_pct("completeness")} || '  uniqueness='
+    || {_pct("uniqueness")} || '  validity=' || {_pct("validity")} || '  consistency='
+    || {_pct("consistency")} FROM scored
+  UNION ALL SELECT 9 + cols.position, '  ' || name || ' :: ' || {_DTYPES} || ' | missing '
+    || round(100.0::DOUBLE * missing / n, 2) || '% | unique ' || uniq || ' | e.g. '
+    || coalesce(sample, '—') FROM cols LEFT JOIN samples USING (name)
+  UNION ALL SELECT {12 + _N} + flag_no, '  - ' || flag FROM flags)
+SELECT line_no, {_redacted("line")} AS line FROM lines"""
+)
+ORACLES["quality_report_markdown"] = dirty(
+    f""", {ORDERS_PROFILE}, {_FLAG_ROWS},
+lines AS (
+  SELECT i AS line_no, line FROM (VALUES (0, '### Data Quality Report'), (1, ''),
+    (2, '## ' || {_SCORE}), (4, ''), (5, {_SIZE}), (6, ''), (7, '**Schema**'), (8, ''),
+    (9, '| Column | Type | Missing | Unique |'), (10, '|---|---|---|---|'),
+    ({11 + _N}, ''), ({12 + _N}, '**Data Quality Flags**'), ({13 + _N}, ''),
+    ({17 + _N}, '')) AS v(i, line)
+  UNION ALL SELECT 3, '**Completeness** ' || {_pct("completeness")} || ' · **Uniqueness** '
+    || {_pct("uniqueness")} || ' · **Validity** ' || {_pct("validity")}
+    || ' · **Consistency** ' || {_pct("consistency")} FROM scored
+  UNION ALL SELECT 11 + position, '| ' || name || ' | `' || {_DTYPES} || '` | '
+    || round(100.0::DOUBLE * missing / n, 2) || '% | ' || uniq || ' |' FROM cols
+  UNION ALL SELECT {14 + _N} + flag_no, '- ' || flag FROM flags)
+SELECT line_no, {_redacted("line")} AS line FROM lines"""
+)
+
+# --- Streams ------------------------------------------------------------------------------------
+
+_REASON = """coalesce('Prompt injection detected: ''' || m || '''. Request rejected.', 'Input safe')"""
+ORACLES["stream_guardrails"] = f"""
+WITH steps AS (SELECT *, {_injection("text")} AS m, {_without_unsafe("text")} AS step
+               FROM conversations)
+SELECT conv_id, turn, m IS NULL AS is_safe, {_REASON} AS reason,
+  {_redacted("step")} AS cleaned, step <> text AS was_flagged FROM steps"""
+ORACLES["stream_rate_limit"] = f"""WITH RECURSIVE {_limiter(_events_log("false"), 3, 86_400)}
+SELECT id AS event_id, CASE WHEN allowed THEN 'allowed' ELSE 'denied' END AS status
+FROM walk WHERE id IS NOT NULL"""
+ORACLES["stream_session_state"] = _STATE

@@ -1,0 +1,26 @@
+"""State tables for ``foreachBatch``: one version per micro-batch in the shared folder.
+
+Batch n reads version n-1 and writes version n, overwriting what a failed try may have left. A
+repeated batch therefore gives the same result.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+class StateTable:
+    def __init__(self, spark: SparkSession, path: str, schema: str):
+        self.spark, self.path, self.schema = spark, path, schema
+
+    def before(self, batch_id: int) -> DataFrame:
+        if batch_id == 0:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(self._version(batch_id - 1))
+
+    def write(self, state: DataFrame, batch_id: int) -> DataFrame:
+        state.write.mode("overwrite").parquet(self._version(batch_id))
+        return self.spark.read.schema(self.schema).parquet(self._version(batch_id))
+
+    def _version(self, batch_id: int) -> str:
+        return f"{self.path}/version={batch_id}"
