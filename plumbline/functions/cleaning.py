@@ -45,6 +45,11 @@ def na_to_null(text: Column) -> Column:
     return F.when(~text.isin(*fixed.NA_TOKENS), text)
 
 
+def _may_be_number(text: Column) -> Column:
+    """A cheap look at the first character: blanks, signs, the dot and digits sort before a colon."""
+    return text < ":"
+
+
 def to_number(text: Column) -> Column:
     """Double, or null when the text is not a plain number.
 
@@ -52,13 +57,16 @@ def to_number(text: Column) -> Column:
     too large for a double is missing, while a text that says infinity is infinite.
     """
     value = text.try_cast("double")
-    return F.when(
-        text.rlike(_INFINITY) | (text.rlike(_NUMBER) & (F.abs(value) < float("inf"))), value
+    finite = F.when(text.rlike(_NUMBER) & (F.abs(value) < float("inf")), value)
+    infinite = F.when(text.rlike(_INFINITY), value)
+    return (
+        F.when(_may_be_number(text), F.coalesce(finite, infinite))
+        .when(F.lower(F.substring(text, 1, 1)) == "i", infinite)
     )
 
 
 def is_integer(text: Column) -> Column:
-    return text.rlike(_INTEGER) & text.try_cast("bigint").isNotNull()
+    return _may_be_number(text) & text.rlike(_INTEGER) & text.try_cast("bigint").isNotNull()
 
 
 def is_boolean(text: Column) -> Column:
@@ -70,7 +78,7 @@ def to_boolean(text: Column) -> Column:
 
 
 def looks_dated(text: Column) -> Column:
-    return text.rlike("[-/:]")
+    return text.contains("-") | text.contains("/") | text.contains(":")
 
 
 def to_timestamp(text: Column, layout: str) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
@@ -59,13 +59,18 @@ def redact_personal_data(text: Column) -> Column:
     return text
 
 
-def personal_data_counts(text: Column) -> dict[str, Column]:
-    """Matches per kind, each counted on the text that earlier kinds leave behind."""
-    counts = {}
+def count_personal_data(df: DataFrame, text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """Matches per kind, each counted on the text that earlier kinds leave behind.
+
+    Each step is a column of its own, so that no replacement runs twice.
+    """
+    step = df.select(*keep, F.col(text).alias("__left"))
     for kind, pattern, placeholder in fixed.PERSONAL_DATA:
-        counts[kind] = F.regexp_count(text, F.lit(UNICODE + pattern))
-        text = F.regexp_replace(text, UNICODE + pattern, placeholder)
-    return counts
+        left = F.col("__left")
+        step = step.withColumn(kind, F.regexp_count(left, F.lit(UNICODE + pattern))).withColumn(
+            "__left", F.regexp_replace(left, UNICODE + pattern, placeholder)
+        )
+    return step.drop("__left")
 
 
 def is_image(text: Column) -> Column:
@@ -80,7 +85,9 @@ def without_unsafe(text: Column) -> Column:
     return F.when(is_image(text), text).otherwise(cleaned)
 
 
-def sanitize(df, text: str = "text", cleaned: str = "cleaned", flagged: str = "was_flagged"):
+def sanitize(
+    df: DataFrame, text: str = "text", cleaned: str = "cleaned", flagged: str = "was_flagged"
+) -> DataFrame:
     """Add the sanitised text and whether an unsafe pattern was found.
 
     The first step is a column of its own, so that the flag compares with it instead of running

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.coercion import number_columns, quoted
+from plumbline.operators.profile import column_missing
 from plumbline.operators.quantiles import exact_quantiles
 
 QUARTILES = [0.25, 0.5, 0.75]
@@ -63,19 +64,6 @@ def numeric_summary(
     )
 
 
-def missing_counts(df: DataFrame) -> DataFrame:
-    """Missing cells per column, one pass with nothing but counters."""
-    counts = [
-        F.struct(
-            F.lit(i).alias("position"),
-            F.lit(f.name).alias("name"),
-            F.count_if(F.col(quoted(f.name)).isNull()).alias("missing"),
-        )
-        for i, f in enumerate(df.schema)
-    ]
-    return df.agg(F.array(*counts).alias("s")).select(F.inline("s"))
-
-
 def missing_alert(df: DataFrame) -> DataFrame:
     """One row: total missing cells, and the columns that have any, in table order."""
     some = F.filter(
@@ -83,7 +71,7 @@ def missing_alert(df: DataFrame) -> DataFrame:
         lambda c: c["missing"] > 0,
     )
     total = F.sum("missing")
-    return missing_counts(df).agg(
+    return column_missing(df).agg(
         total.alias("total_missing"),
         F.when(
             total > 0,
@@ -172,7 +160,7 @@ def analysis_report(
             "section string, item string, value double",
         ),
     ]
-    missing = missing_counts(df)
+    missing = column_missing(df)
     parts.append(missing.select(*_item("missing", F.col("name"), F.col("missing"))))
     numeric = numeric_summary(df, quartiles=None)
     if number_columns(df):

@@ -81,18 +81,21 @@ class Verdict:
         return self.present - kept[self.kind]
 
 
-def _ballots(c: Column) -> list[Column]:
-    datelike = c.rlike(cleaning.DATE_START)
+def _ballots() -> list[Column]:
+    """Counters over the columns value, number and dated of the unpivoted cells."""
+    c = F.col("value")
+    whole = F.when(F.col("number").isNotNull(), cleaning.is_integer(c))
+    datelike = F.col("dated") & c.rlike(cleaning.DATE_START)
     layouts = [
         F.count(F.when(datelike, cleaning.to_timestamp(c, layout)))
         for layout, _, _ in cleaning.DATE_LAYOUTS
     ]
     return [
         F.count(c),
-        F.count(cleaning.to_number(c)),
-        F.count_if(cleaning.is_integer(c)),
+        F.count("number"),
+        F.count_if(whole),
         F.count_if(cleaning.is_boolean(c)),
-        F.count_if(cleaning.looks_dated(c)),
+        F.count_if(F.col("dated")),
         *layouts,
     ]
 
@@ -109,7 +112,13 @@ def vote(df: DataFrame, columns: list[str] | None = None) -> list[Verdict]:
     cells = df.select(
         *(F.col(quoted(name)).alias(p) for p, name in zip(places, columns))
     ).unpivot([], places, "place", "value")
-    counted = cells.groupBy("place").agg(F.array(*_ballots(F.col("value"))).alias("counts"))
+    looked_at = cells.select(
+        "place",
+        "value",
+        cleaning.to_number(F.col("value")).alias("number"),
+        cleaning.looks_dated(F.col("value")).alias("dated"),
+    )
+    counted = looked_at.groupBy("place").agg(F.array(*_ballots()).alias("counts"))
     found = {row["place"]: row["counts"] for row in counted.collect()}
     verdicts = []
     for place, name in zip(places, columns):

@@ -87,6 +87,38 @@ def column_profile(
     )
 
 
+def table_shape(df: DataFrame) -> DataFrame:
+    """Rows, columns and cells. Counting rows needs no column of the table."""
+    n = F.count("*")
+    cols = len(df.columns)
+    return df.agg(n.alias("rows"), F.lit(cols).alias("cols"), (n * cols).alias("cells"))
+
+
+def column_missing(df: DataFrame) -> DataFrame:
+    """Missing cells per column: plain counters over one scan, no values are shuffled."""
+    counts = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("name"),
+            F.count_if(_as_text(f).isNull()).alias("missing"),
+            F.count("*").alias("rows"),
+        )
+        for i, f in enumerate(df.schema)
+    ]
+    return (
+        df.agg(F.array(*counts).alias("s"))
+        .select(F.inline("s"))
+        .select(
+            "position",
+            "name",
+            "missing",
+            F.round(100 * F.col("missing") / F.greatest("rows", F.lit(1)), 2).alias(
+                "missing_pct"
+            ),
+        )
+    )
+
+
 def grade(score: Column) -> Column:
     chain = F
     for limit, label in fixed.GRADES:
@@ -94,7 +126,7 @@ def grade(score: Column) -> Column:
     return chain.otherwise(fixed.LOWEST_GRADE)
 
 
-def flags(columns_total: int | None = None) -> Column:
+def flags() -> Column:
     """Readable findings, from the columns of the table summary below."""
     worst = F.col("worst")
     found = F.array_compact(
@@ -202,13 +234,17 @@ def summary_cards(profile: DataFrame) -> DataFrame:
     )
 
 
-def column_samples(df: DataFrame, order_by: list[str], n: int = 3) -> DataFrame:
+def column_samples(df: DataFrame, order_by: list[str] | None = None, n: int = 3) -> DataFrame:
     """The first ``n`` present values of every column, in the order of ``order_by``.
 
+    Without ``order_by`` it is the order of the scan, which for one file is the order of its lines.
+
     Each column is a top-n scan of two columns: every task keeps n rows, and nothing is sorted or
     shuffled as a whole.
     """
-    key = F.struct(*(F.col(quoted(k)) for k in order_by))
+    key = F.monotonically_increasing_id()
+    if order_by:
+        key = F.struct(*(F.col(quoted(k)) for k in order_by))
     parts = []
     for i, f in enumerate(df.schema):
         c = F.col(quoted(f.name))

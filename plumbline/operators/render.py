@@ -45,20 +45,17 @@ def _origin(source: Mapping) -> str:
     return text + ("  [SAMPLED]" if source.get("sampled") else "")
 
 
-def _facts(df: DataFrame, order_by: list[str] | None, text_is_typed: bool) -> DataFrame:
+def _facts(df: DataFrame, text_is_typed: bool, samples: DataFrame | None = None) -> DataFrame:
     """One row: the table profile with its column records as an array in table order."""
     columns = column_profile(df)
-    if order_by:
-        samples = column_samples(df, order_by).select("position", "sample")
-    else:
-        samples = df.sparkSession.createDataFrame([], "position int, sample array<string>")
-    fields = ["position", "name", "dtype", "missing_pct", "unique", "sample"]
-    records = columns.join(samples, "position", "left").groupBy("table_name").agg(
-        # As long as the schema.
-        F.array_sort(F.collect_list(F.struct(*fields))).alias("columns")
-    )
+    records, fields = columns, ["position", "name", "dtype", "missing_pct", "unique"]
+    if samples is not None:
+        records = columns.join(samples.select("position", "sample"), "position", "left")
+        fields.append("sample")
+    # As long as the schema.
+    listed = F.array_sort(F.collect_list(F.struct(*fields))).alias("columns")
     profile = table_profile(df, text_is_typed=text_is_typed, columns=columns)
-    return profile.join(records, "table_name")
+    return profile.join(records.groupBy("table_name").agg(listed), "table_name")
 
 
 def _unfold(facts: DataFrame, lines: Column) -> DataFrame:
@@ -117,7 +114,7 @@ def quality_report_lines(
         _array("", "FLAGS", "-" * 5),
         F.transform("flags", lambda f: F.concat(F.lit("  - "), f)),
     )
-    return _unfold(_facts(df, order_by, text_is_typed), lines)
+    return _unfold(_facts(df, text_is_typed, column_samples(df, order_by)), lines)
 
 
 def quality_report_markdown(
@@ -153,4 +150,4 @@ def quality_report_markdown(
         F.transform("flags", lambda f: F.concat(F.lit("- "), f)),
         _array(""),
     )
-    return _unfold(_facts(df, None, text_is_typed), lines)
+    return _unfold(_facts(df, text_is_typed), lines)

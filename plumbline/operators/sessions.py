@@ -110,12 +110,13 @@ def transcript_sections(
 def write_transcripts(sections: DataFrame, path: str, conversation: str = "conv_id") -> None:
     """Text files in one folder per conversation; read in name order they are the document."""
     order = [conversation, "section_no"]
+    # The writer ends every line itself.
+    line = F.substring(F.col("section"), 1, F.length("section") - 1).alias("line")
     (
         sections.repartitionByRange(*order)
         .sortWithinPartitions(*order)
-        .select(conversation, "section")
+        .select(conversation, line)
         .write.partitionBy(conversation)
-        .option("lineSep", "")
         .text(path)
     )
 

@@ -50,17 +50,12 @@ def clean_orders(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def table_shape(spark, d):
-    p = profile.column_profile(clean_orders(spark, d))
-    n = F.max("rows")
-    return p.agg(
-        n.alias("rows"), F.count("*").alias("cols"), (n * F.count("*")).alias("cells")
-    )
+    return profile.table_shape(clean_orders(spark, d))
 
 
 @query
 def column_missing(spark, d):
-    p = profile.column_profile(clean_orders(spark, d))
-    return p.select("position", "name", "missing", "missing_pct")
+    return profile.column_missing(clean_orders(spark, d))
 
 
 @query
@@ -256,16 +251,15 @@ def injection_check(spark, d):
 
 @query
 def pii_redact(spark, d):
-    return table(spark, d, "documents").select(
+    return views.texts(spark, d, "documents", "doc_id", "text").select(
         "doc_id", text.redact_personal_data(F.col("text")).alias("text")
     )
 
 
 @query
 def pii_counts(spark, d):
-    counts = table(spark, d, "documents").select(
-        "source", *(c.alias(k) for k, c in text.personal_data_counts(F.col("text")).items())
-    )
+    docs = views.texts(spark, d, "documents", "source", "text")
+    counts = text.count_personal_data(docs, "text", ["source"])
     return counts.groupBy("source").agg(
         *(F.count_if(F.col(k) > 0).alias(f"{k}_rows") for k in ("email", "phone", "ssn")),
         *(F.sum(k).alias(f"{k}_matches") for k in ("email", "phone", "ssn")),
@@ -275,10 +269,10 @@ def pii_counts(spark, d):
 @query
 def sanitize_output(spark, d):
     both = (
-        table(spark, d, "documents")
+        views.texts(spark, d, "documents", "doc_id", "text")
         .select(F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text")
         .unionByName(
-            table(spark, d, "pages").select(
+            views.texts(spark, d, "pages", "page_id", "html").select(
                 F.lit("pages").alias("origin"), F.col("page_id").alias("id"),
                 F.col("html").alias("text"),
             )
@@ -382,7 +376,7 @@ def choose_axes(spark, d):
 @query
 def report_line_filter(spark, d):
     lines = sessions.report_lines(F.col("text"))
-    return table(spark, d, "documents").select(
+    return views.texts(spark, d, "documents", "doc_id", "text").select(
         "doc_id", F.size(lines).cast("bigint").alias("n_lines"),
         F.array_join(lines, "|").alias("lines"),
     )
@@ -391,7 +385,7 @@ def report_line_filter(spark, d):
 @query
 def markdown_lines(spark, d):
     question = routing.clean_question(F.concat(F.col("source"), F.lit(" (File: x)")))
-    return table(spark, d, "documents").select(
+    return views.texts(spark, d, "documents", "doc_id", "source", "text").select(
         "doc_id", sessions.report_markdown(F.col("text"), question).alias("markdown")
     )
 

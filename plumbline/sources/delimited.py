@@ -43,7 +43,7 @@ def read_delimited(
 
     A record with just the right number of fields is taken as it is. Only the odd ones keep their
     raw text, and their fields are counted to tell short from long. Quoted line feeds need
-    ``multiline``, which makes each file one task.
+    ``multiline``, which makes each file one task, as does UTF-16.
     """
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, _ODD])
     df = (
@@ -53,7 +53,7 @@ def read_delimited(
         .option("quote", '"')
         .option("escape", '"')
         .option("encoding", _READABLE.get(encoding, encoding))
-        .option("multiLine", multiline)
+        .option("multiLine", multiline or encoding == "utf-16")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", False)
         .option("mode", "PERMISSIVE")
@@ -90,7 +90,8 @@ def load_table(
 
     All rows are read and vote. ``first_rows`` asks for that many rows instead.
     """
-    found = sniffing.dialects(sniffing.sniff(spark, path)).take(2)
+    filled = sniffing.sniff(spark, path).where(F.col("header").isNotNull())
+    found = sniffing.dialects(filled).take(2)
     if not found:
         raise ValueError(f"No readable file at {path}")
     if len(found) > 1:

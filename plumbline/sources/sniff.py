@@ -59,7 +59,8 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ties go to the higher count, then to the order of the candidates. Comma serves where none
     occurs, and tab wherever the file name says so.
     """
-    start_of_file = F.col("_metadata.file_block_start") == 0
+    filled = F.trim(F.col("value"), F.lit(" \r")) != ""
+    in_first_block = F.col("_metadata.file_block_start") == 0
     raw = F.col("value").cast("binary")
     lines = (
         spark.read.option("recursiveFileLookup", "true")
@@ -69,12 +70,12 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.col("_metadata.file_path").alias("path"),
             F.col("_metadata.file_size").alias("bytes"),
             F.is_valid_utf8("value").alias("valid"),
-            # Lines of one block come in order, so the smallest number of block 0 is line one.
+            # Lines of one block come in order, so the smallest number is the first filled line.
             F.when(
-                start_of_file, F.struct(F.monotonically_increasing_id().alias("at"), raw.alias("raw"))
+                in_first_block & filled, F.struct(F.monotonically_increasing_id().alias("at"), raw.alias("raw"))
             ).alias("first"),
             (F.octet_length("value") + 1).cast("bigint").alias("seen"),
-            (F.trim(F.col("value"), F.lit(" \r")) != "").alias("filled"),
+            filled.alias("filled"),
             without_quoted(F.col("value")).alias("bare"),
         )
     )
@@ -173,7 +174,7 @@ def source_status(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Every file with what was found, and whether it can be read as a table.
 
     ``ok``; ``fallback`` when no delimiter was found and the file is read as one column; ``empty``
-    when it has no line.
+    when it has blank lines only. Spark does not list files of no bytes at all.
     """
     sniffed = sniff(spark, path).drop("bytes")
     return list_files(spark, path).join(sniffed, "path", "left").select(
@@ -182,7 +183,7 @@ def source_status(spark: SparkSession, path: str | list[str]) -> DataFrame:
         "lines",
         "encoding",
         "delimiter",
-        F.when(F.col("lines").isNull(), "empty")
+        F.when(F.col("header").isNull(), "empty")
         .when(~F.contains(F.col("header"), F.col("delimiter")), "fallback")
         .otherwise("ok")
         .alias("status"),
