@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from plumbline.functions import fixed
 from plumbline.operators.coercion import quoted
-from plumbline.operators.duplicates import duplicate_rows
+from plumbline.operators.duplicates import duplicate_groups, duplicate_rows
 
+_KEY = ["table_name", "position"]
 _META = "table_name string, position int, name string, dtype string"
 
 
@@ -30,11 +31,14 @@ def _as_text(field: T.StructField) -> Column:
     return c.cast("string")
 
 
-def _cells(df: DataFrame, table: str) -> DataFrame:
-    names = [str(i) for i in range(len(df.columns))]
-    wide = df.select(*(_as_text(f).alias(n) for n, f in zip(names, df.schema)))
-    return wide.unpivot([], names, "position", "value").select(
-        F.lit(table).alias("table_name"), F.col("position").cast("int").alias("position"), "value"
+def _cells(df: DataFrame, table: Column, without: str | None = None) -> DataFrame:
+    fields = [f for f in df.schema if f.name != without]
+    places = [str(i) for i in range(len(fields))]
+    wide = df.select(
+        table.alias("table_name"), *(_as_text(f).alias(p) for p, f in zip(places, fields))
+    )
+    return wide.unpivot(["table_name"], places, "position", "value").withColumn(
+        "position", F.col("position").cast("int")
     )
 
 
@@ -57,26 +61,33 @@ def column_profile(
     """
     if isinstance(tables, DataFrame):
         tables = {"table": tables}
-    cells = reduce(DataFrame.unionByName, (_cells(df, t) for t, df in tables.items()))
-    key = ["table_name", "position"]
+    cells = reduce(
+        DataFrame.unionByName, (_cells(df, F.lit(t)) for t, df in tables.items())
+    )
+    return _percentages(_metadata(tables).join(_count(cells, exact), _KEY, "left"))
+
+
+def _count(cells: DataFrame, exact: bool) -> DataFrame:
     if exact:
-        values = cells.groupBy(*key, "value").agg(F.count("*").alias("n"))
-        counted = values.groupBy(*key).agg(
+        values = cells.groupBy(*_KEY, "value").agg(F.count("*").alias("n"))
+        return values.groupBy(*_KEY).agg(
             F.sum("n").alias("rows"),
             F.sum(F.when(F.col("value").isNull(), F.col("n")).otherwise(0)).alias("missing"),
             F.count("value").alias("unique"),
         )
-    else:
-        counted = cells.groupBy(*key).agg(
-            F.count("*").alias("rows"),
-            F.count_if(F.col("value").isNull()).alias("missing"),
-            F.approx_count_distinct("value", 0.02).alias("unique"),
-        )
+    return cells.groupBy(*_KEY).agg(
+        F.count("*").alias("rows"),
+        F.count_if(F.col("value").isNull()).alias("missing"),
+        F.approx_count_distinct("value", 0.02).alias("unique"),
+    )
+
+
+def _percentages(counted: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("bigint")
     rows, missing, unique = (F.coalesce(F.col(c), zero) for c in ("rows", "missing", "unique"))
     at_least_one = F.greatest(rows, F.lit(1))
-    return _metadata(tables).join(counted, key, "left").select(
-        *key,
+    return counted.select(
+        *_KEY,
         "name",
         "dtype",
         rows.alias("rows"),
@@ -177,21 +188,56 @@ def table_profile(
         DataFrame.unionByName,
         (duplicate_rows(df).withColumn("table_name", F.lit(t)) for t, df in tables.items()),
     )
+    return _summarise(columns, copies, text_is_typed)
+
+
+def grouped_profile(
+    df: DataFrame, by: str, exact: bool = True, text_is_typed: bool = False
+) -> DataFrame:
+    """The profile of every group of rows, such as every file of a folder, in the same two passes.
+
+    ``by`` names the group and is not a column of the groups' tables.
+    """
+    group = F.col(quoted(by)).cast("string")
+    fields = [f for f in df.schema if f.name != by]
+    names = df.sparkSession.createDataFrame(
+        [(i, f.name, f.dataType.simpleString()) for i, f in enumerate(fields)],
+        "position int, name string, dtype string",
+    )
+    counted = _count(_cells(df, group, without=by), exact)
+    columns = _percentages(counted.join(names, "position"))
+    copies = (
+        duplicate_groups(df, "__copies")
+        .groupBy(group.alias("table_name"))
+        .agg(F.sum(F.col("__copies") - 1).alias("duplicate_rows"))
+    )
+    return _summarise(columns, copies, text_is_typed)
+
+
+def _summarise(columns: DataFrame, copies: DataFrame, text_is_typed: bool) -> DataFrame:
+    """Column records and duplicate counts of each table meet in one grouping, not in a join."""
     constant = (F.col("rows") > 1) & (F.col("unique") <= 1)
-    typed = F.lit(True) if text_is_typed else F.col("dtype") != "string"
-    summary = columns.groupBy("table_name").agg(
-        F.max("rows").alias("rows"),
-        F.count("*").cast("int").alias("cols"),
-        F.sum("missing").alias("total_missing"),
-        F.count_if(typed).alias("typed_cols"),
-        F.count_if((F.col("missing_pct") == 100.0) | constant).alias("junk_cols"),
-        F.max_by(
-            F.struct("name", "missing_pct"), F.struct("missing_pct", -F.col("position"))
-        ).alias("worst"),
-        # As long as the schema at most.
-        F.array_sort(F.collect_list(F.when(constant, F.struct("position", "name")))).alias(
-            "constants"
-        ),
+    typed = F.col("dtype").isNotNull() if text_is_typed else F.col("dtype") != "string"
+    is_column = F.col("position").isNotNull()
+    summary = (
+        columns.unionByName(copies, allowMissingColumns=True)
+        .groupBy("table_name")
+        .agg(
+            F.max("rows").alias("rows"),
+            F.count("position").cast("int").alias("cols"),
+            F.sum("missing").alias("total_missing"),
+            F.coalesce(F.max("duplicate_rows"), F.lit(0)).cast("bigint").alias("duplicate_rows"),
+            F.count_if(typed).alias("typed_cols"),
+            F.count_if((F.col("missing_pct") == 100.0) | constant).alias("junk_cols"),
+            F.max_by(
+                F.struct("name", "missing_pct"),
+                F.when(is_column, F.struct("missing_pct", -F.col("position"))),
+            ).alias("worst"),
+            # As long as the schema at most.
+            F.array_sort(F.collect_list(F.when(constant, F.struct("position", "name")))).alias(
+                "constants"
+            ),
+        )
     )
 
     def at_least_one(c: Column) -> Column:
@@ -204,20 +250,16 @@ def table_profile(
         "consistency": 1 - F.col("junk_cols") / at_least_one(F.col("cols")),
     }
     score = reduce(lambda a, b: a + b, (w * dims[d] for d, w in fixed.WEIGHTS.items()))
-    return (
-        summary.join(copies, "table_name")
-        .withColumn("quality_score", F.round(100 * score, 1))
-        .select(
-            "table_name",
-            "rows",
-            "cols",
-            "duplicate_rows",
-            "total_missing",
-            *(F.round(c, 4).alias(d) for d, c in dims.items()),
-            "quality_score",
-            grade(F.col("quality_score")).alias("quality_grade"),
-            flags().alias("flags"),
-        )
+    return summary.withColumn("quality_score", F.round(100 * score, 1)).select(
+        "table_name",
+        "rows",
+        "cols",
+        "duplicate_rows",
+        "total_missing",
+        *(F.round(c, 4).alias(d) for d, c in dims.items()),
+        "quality_score",
+        grade(F.col("quality_score")).alias("quality_grade"),
+        flags().alias("flags"),
     )
 
 

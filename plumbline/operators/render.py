@@ -7,13 +7,21 @@ row and unfolded to (line_no, line). Personal data in it is redacted.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
 from plumbline.functions.text import redact_personal_data
-from plumbline.operators.profile import column_profile, column_samples, table_profile
+from plumbline.operators.analysis import breakdown, missing_alert, numeric_summary
+from plumbline.operators.coercion import number_columns, quoted
+from plumbline.operators.profile import (
+    column_missing,
+    column_profile,
+    column_samples,
+    table_profile,
+)
 
 DIMENSIONS = ("completeness", "uniqueness", "validity", "consistency")
 
@@ -151,3 +159,108 @@ def quality_report_markdown(
         _array(""),
     )
     return _unfold(_facts(df, text_is_typed), lines)
+
+
+def _two_places(c: Column) -> Column:
+    return F.coalesce(F.format_string("%.2f", c), F.lit("nan"))
+
+
+def analysis_report_lines(
+    df: DataFrame,
+    product: str = "Product",
+    region: str = "Region",
+    revenue: str = "Revenue",
+    units: str | None = "Units",
+) -> DataFrame:
+    """The analysis report as text lines, ordered by (block, place, -amount, line).
+
+    Breakdowns have a line per group and may be long, so lines are never gathered into one cell.
+    """
+    spark = df.sparkSession
+    numbers = number_columns(df)
+
+    def fixed_lines(block: int, *lines: str) -> DataFrame:
+        rows = [(block, i, None, line) for i, line in enumerate(lines)]
+        return spark.createDataFrame(rows, "block int, place int, amount double, line string")
+
+    def line(block: int, place, text: Column, amount: Column | None = None) -> list[Column]:
+        return [
+            F.lit(block).alias("block"),
+            (F.lit(place) if isinstance(place, int) else place).alias("place"),
+            (F.lit(None).cast("double") if amount is None else amount).alias("amount"),
+            text.alias("line"),
+        ]
+
+    missing = column_missing(df)
+    count = lambda c: F.col(c).cast("string")
+    in_order = F.array_sort(F.collect_list(F.struct("position", "name", "missing")))
+    listed = F.array_join(
+        F.transform(
+            in_order,
+            lambda c: F.concat(F.lit("'"), c["name"], F.lit("': "), c["missing"].cast("string")),
+        ),
+        ", ",
+    )
+    totals = missing.agg(F.sum("missing").alias("total"), listed.alias("listed"))
+    types = ", ".join(f"'{n}': '{t}'" for n, t in df.dtypes)
+    parts = [
+        fixed_lines(0, fixed.ANALYSIS_TITLE, "=" * 18),
+        df.agg(F.count("*").alias("n")).select(
+            *line(1, 0, F.concat(F.lit("Rows: "), count("n")))
+        ),
+        fixed_lines(
+            2,
+            f"Columns: {len(df.columns)}",
+            f"Column Names: {', '.join(df.columns)}",
+            f"Data Types: {{{types}}}",
+        ),
+        totals.select(
+            *line(3, 0, F.concat(F.lit("Missing Values (Total): "), count("total")))
+        ),
+        totals.select(
+            *line(
+                4, 0, F.concat(F.lit("Missing Breakdown: {"), F.col("listed"), F.lit("}"))
+            )
+        ),
+        fixed_lines(5, "", "NUMERIC SUMMARY", "-" * 15),
+    ]
+    if numbers:
+        stats = F.concat_ws(
+            ", ",
+            *(
+                F.concat(F.lit(f"{stat}="), _two_places(F.col(stat)))
+                for stat in ("mean", "std", "min", "max")
+            ),
+        )
+        parts.append(
+            numeric_summary(df, numbers, quartiles=None).select(
+                *line(6, F.col("position"), F.concat(F.lit("  "), F.col("name"), F.lit(": "), stats))
+            )
+        )
+    else:
+        parts.append(fixed_lines(6, "No numeric columns detected."))
+    sections = (("PRODUCT-LEVEL BREAKDOWN", product), ("REGION-LEVEL BREAKDOWN", region))
+    for k, (title, key) in enumerate(sections):
+        if key not in df.columns or revenue not in df.columns:
+            continue
+        extra = units if units in df.columns else None
+        sold = F.concat(
+            F.lit("  "),
+            F.col(quoted(key)).cast("string"),
+            F.lit(": $"),
+            F.format_number(F.bround("total", 0), 0),
+            F.lit(" revenue"),
+        )
+        if extra:
+            sold = F.concat(sold, F.lit(", "), F.col("units").cast("string"), F.lit(" units"))
+        parts.append(fixed_lines(7 + 2 * k, "", title, "-" * 30))
+        parts.append(
+            breakdown(df, key, revenue, extra).select(*line(8 + 2 * k, 0, sold, F.col("total")))
+        )
+    parts.append(fixed_lines(11, "", "DATA QUALITY FLAGS", "-" * 18))
+    parts.append(missing_alert(df).select(*line(12, 0, F.col("alert"))))
+    return (
+        reduce(DataFrame.unionByName, parts)
+        .withColumn("line", redact_personal_data(F.col("line")))
+        .orderBy("block", "place", F.desc("amount"), "line")
+    )

@@ -53,11 +53,20 @@ def validate_requests(
     text: str,
     max_requests: int = 10,
     window_seconds: int = 60,
+    keep: list[str] = (),
 ) -> DataFrame:
-    """Admission: injection check first, then the limiter over the safe requests only."""
+    """Admission: injection check first, then the limiter, for which unsafe requests do not exist.
+
+    Session, time, order and the ``keep`` columns are returned with the decision. The text itself
+    is looked at before the limiter sorts, and left behind there.
+    """
     match = "__match"
-    checked = requests.withColumn(match, injection_match(F.col(text))).withColumn(
-        "__unsafe", F.col(match).isNotNull() | F.coalesce(F.col(text) == "", F.lit(True))
+    unsafe = F.col(match).isNotNull() | F.coalesce(F.col(text) == "", F.lit(True))
+    columns = list(dict.fromkeys([session, ts, *order_by, *keep]))
+    checked = requests.withColumn(match, injection_match(F.col(text))).select(
+        *columns,
+        unsafe.alias("__unsafe"),
+        F.when(unsafe, injection_reason(F.col(text), F.col(match))).alias("__reason"),
     )
     decided = rate_limit(
         checked,
@@ -71,9 +80,9 @@ def validate_requests(
     )
     blocked = F.lit("SECURITY_BLOCKED: ")
     return decided.select(
-        *requests.columns,
+        *columns,
         F.coalesce("__allowed", F.lit(False)).alias("is_valid"),
-        F.when(F.col("__unsafe"), F.concat(blocked, injection_reason(F.col(text), F.col(match))))
+        F.when(F.col("__unsafe"), F.concat(blocked, F.col("__reason")))
         .when(F.col("__allowed"), "Input validated")
         .otherwise(F.concat(blocked, F.lit(refusal(max_requests, window_seconds))))
         .alias("message"),

@@ -116,6 +116,14 @@ def profile_many(spark, d):
     )
 
 
+@query
+def profile_groups(spark, d):
+    return profile.grouped_profile(clean_orders(spark, d), "priority").select(
+        "table_name", "rows", "cols", "duplicate_rows", "total_missing", "completeness",
+        "uniqueness", "quality_score",
+    )
+
+
 # --- Coercion -----------------------------------------------------------------------------------
 
 
@@ -231,6 +239,13 @@ def analysis_report(spark, d):
     return report.select("section", "item", F.round("value", 2).alias("value"))
 
 
+@query
+def analysis_report_lines(spark, d):
+    df = clean_orders(spark, d).withColumn("amount", F.col("amount").cast(MONEY))
+    lines = render.analysis_report_lines(df, "priority", "status", "amount", "customer")
+    return lines.select("block", "place", "line")
+
+
 @query
 def sample_head(spark, d):
     return table(spark, d, "orders").orderBy("o_orderkey").limit(100)

@@ -32,6 +32,12 @@ def requests(sql: str) -> str:
     return f"WITH {REQUESTS_SQL}\n{sql}"
 
 
+def _redacted(text: str) -> str:
+    for _, pattern, placeholder in fixed.PERSONAL_DATA:
+        text = f"regexp_replace({text}, {literal(pattern)}, {literal(placeholder)}, 'g')"
+    return text
+
+
 # --- Profile ------------------------------------------------------------------------------------
 
 
@@ -173,6 +179,31 @@ ORACLES["profile_many"] = dirty(
     {GRADE_SQL} AS quality_grade FROM scored"""
 )
 
+_GROUP_COLUMNS = [(c, t) for c, t in zip(ORDER_COLUMNS, ORDER_TYPES) if c != "priority"]
+_GROUP_CELLS = "\nUNION ALL\n".join(
+    f"""SELECT priority, {str(t != "string").lower()} AS typed, count(*) AS n,
+      count(*) - count({c}) AS missing, count(DISTINCT {c}) AS uniq
+    FROM dirty_orders GROUP BY priority"""
+    for c, t in _GROUP_COLUMNS
+)
+ORACLES["profile_groups"] = dirty(
+    f""", cells AS ({_GROUP_CELLS}),
+copies AS (SELECT priority, sum(k - 1) AS d FROM (
+  SELECT priority, count(*) AS k FROM dirty_orders GROUP BY {", ".join(ORDER_COLUMNS)})
+  GROUP BY priority),
+summed AS (
+  SELECT priority, max(n) AS n, CAST(sum(missing) AS BIGINT) AS m, CAST(max(d) AS BIGINT) AS d,
+         count(*) FILTER (WHERE typed) / count(*) AS validity,
+         1 - count(*) FILTER (WHERE missing = n OR (n > 1 AND uniq <= 1)) / count(*) AS consistency
+  FROM cells JOIN copies USING (priority) GROUP BY priority)
+SELECT priority AS table_name, n AS rows, {len(_GROUP_COLUMNS)} AS cols, d AS duplicate_rows,
+       m AS total_missing, round(1 - m / (n * {len(_GROUP_COLUMNS)}), 4) AS completeness,
+       round(1 - d / n, 4) AS uniqueness,
+       round(100 * (0.40 * (1 - m / (n * {len(_GROUP_COLUMNS)})) + 0.25 * (1 - d / n)
+                    + 0.20 * consistency + 0.15 * validity), 1) AS quality_score
+FROM summed"""
+)
+
 # --- Coercion -----------------------------------------------------------------------------------
 
 ORACLES["na_normalise"] = f"""WITH {RAW_ORDERS_SQL}
@@ -277,6 +308,41 @@ ORACLES["analysis_report"] = dirty(
     UNION ALL {_group("product", "priority")}
     UNION ALL {_group("region", "status")})"""
 )
+_TYPE_LIST = ", ".join(
+    f"'{c}': '{'decimal(18,2)' if c == 'amount' else t}'" for c, t in zip(ORDER_COLUMNS, ORDER_TYPES)
+)
+_SOLD = """'  ' || {0} || ': $'
+  || format('{{:,}}', CAST(round_even(coalesce(sum(CAST(amount AS DECIMAL(18,2))), 0)::DOUBLE, 0) AS BIGINT))
+  || ' revenue, ' || CAST(coalesce(sum(customer), 0) AS BIGINT) || ' units'"""
+ORACLES["analysis_report_lines"] = dirty(
+    f""", cells AS ({_column_profile("dirty_orders")})
+SELECT i AS block, k AS place, line FROM (VALUES
+  (0, 0, 'DATA SCOUT REPORT'), (0, 1, repeat('=', 18)), (2, 0, 'Columns: {len(ORDER_COLUMNS)}'),
+  (2, 1, 'Column Names: {", ".join(ORDER_COLUMNS)}'), (2, 2, {literal("Data Types: {" + _TYPE_LIST + "}")}),
+  (5, 0, ''), (5, 1, 'NUMERIC SUMMARY'), (5, 2, repeat('-', 15)),
+  (7, 0, ''), (7, 1, 'PRODUCT-LEVEL BREAKDOWN'), (7, 2, repeat('-', 30)),
+  (9, 0, ''), (9, 1, 'REGION-LEVEL BREAKDOWN'), (9, 2, repeat('-', 30)),
+  (11, 0, ''), (11, 1, 'DATA QUALITY FLAGS'), (11, 2, repeat('-', 18))) AS v(i, k, line)
+UNION ALL SELECT 1, 0, 'Rows: ' || count(*) FROM dirty_orders
+UNION ALL SELECT 3, 0, 'Missing Values (Total): ' || CAST(sum(missing) AS BIGINT) FROM cells
+UNION ALL SELECT 4, 0, 'Missing Breakdown: {{'
+  || string_agg(chr(39) || name || chr(39) || ': ' || missing, ', ' ORDER BY position) || '}}' FROM cells
+UNION ALL """
+    + "\nUNION ALL ".join(
+        f"""SELECT 6, {k}, format('  {c}: mean={{:.2f}}, std={{:.2f}}, min={{:.2f}}, max={{:.2f}}',
+        avg({c}), stddev_samp({c}), min({c})::DOUBLE, max({c})::DOUBLE) FROM dirty_orders"""
+        for k, c in enumerate(("order_id", "customer", "amount"))
+    )
+    + f"""
+UNION ALL SELECT 8, 0, {_SOLD.format("priority")} FROM dirty_orders GROUP BY priority
+UNION ALL SELECT 10, 0, {_SOLD.format("status")} FROM dirty_orders
+  WHERE status IS NOT NULL GROUP BY status
+UNION ALL SELECT 12, 0, 'ALERT: Missing values detected in '
+  || string_agg(name, ', ' ORDER BY position) FILTER (missing > 0) FROM cells"""
+)
+ORACLES["analysis_report_lines"] = (
+    f"SELECT block, place, {_redacted('line')} AS line FROM ({ORACLES['analysis_report_lines']})"
+)
 ORACLES["sample_head"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100"
 
 # --- Text guardrails ----------------------------------------------------------------------------
@@ -290,12 +356,6 @@ def _injection(text: str) -> str:
     return f"coalesce({tries})"
 
 
-def _redacted(text: str) -> str:
-    for _, pattern, placeholder in fixed.PERSONAL_DATA:
-        text = f"regexp_replace({text}, {literal(pattern)}, {literal(placeholder)}, 'g')"
-    return text
-
-
 def _without_unsafe(text: str) -> str:
     for pattern in fixed.UNSAFE_PATTERNS:
         text = (

@@ -84,38 +84,35 @@ def load_table(
     multiline: bool = False,
     delimiter: str | None = None,
     encoding: str | None = None,
+    names: list[str] | None = None,
     first_rows: int | None = None,
 ) -> LoadedTable:
     """Find out the dialect of the files, read them, and give every column its voted type.
 
-    All rows are read and vote. ``first_rows`` asks for that many rows instead.
+    All rows are read and vote. ``first_rows`` asks for that many rows instead. Where delimiter,
+    encoding and names are all given, the pass that finds them out is left out.
     """
-    filled = sniffing.sniff(spark, path).where(F.col("header").isNotNull())
-    found = sniffing.dialects(filled).take(2)
-    if not found:
-        raise ValueError(f"No readable file at {path}")
-    if len(found) > 1:
-        raise ValueError(
-            "The files do not share one header and delimiter; load each kind by itself: "
-            + "; ".join(repr(r["header"]) for r in found)
-        )
-    dialect = found[0]
-    delimiter = delimiter or dialect["delimiter"]
-    encoding = encoding or dialect["encoding"]
-    raw_names = next(csv.reader([dialect["header"]], delimiter=delimiter, skipinitialspace=True))
-    raw = read_delimited(
-        spark, path, header_names(raw_names), delimiter, encoding, multiline
-    )
+    source = {"sampled": first_rows is not None}
+    if not (delimiter and encoding and names):
+        filled = sniffing.sniff(spark, path).where(F.col("header").isNotNull())
+        found = sniffing.dialects(filled).take(2)
+        if not found:
+            raise ValueError(f"No readable file at {path}")
+        if len(found) > 1:
+            raise ValueError(
+                "The files do not share one header and delimiter; load each kind by itself: "
+                + "; ".join(repr(r["header"]) for r in found)
+            )
+        dialect = found[0].asDict()
+        delimiter = delimiter or dialect["delimiter"]
+        encoding = encoding or dialect["encoding"]
+        header = csv.reader([dialect["header"]], delimiter=delimiter, skipinitialspace=True)
+        names = names or next(header)
+        source.update({k: dialect[k] for k in ("files", "bytes", "lines")})
+    source.update(encoding=encoding, delimiter=delimiter)
+    raw = read_delimited(spark, path, header_names(names), delimiter, encoding, multiline)
     if first_rows is not None:
         raw = raw.limit(first_rows)
     text = normalise_missing(raw)
     verdicts = vote(text)
-    source = {
-        "files": dialect["files"],
-        "bytes": dialect["bytes"],
-        "lines": dialect["lines"],
-        "encoding": encoding,
-        "delimiter": delimiter,
-        "sampled": first_rows is not None,
-    }
     return LoadedTable(apply_verdicts(text, verdicts), verdicts, source)
