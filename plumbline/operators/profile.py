@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -276,29 +276,46 @@ def summary_cards(profile: DataFrame) -> DataFrame:
     )
 
 
-def column_samples(df: DataFrame, order_by: list[str] | None = None, n: int = 3) -> DataFrame:
+def column_samples(
+    df: DataFrame, order_by: list[str] | None = None, n: int = 3, look: int = 20
+) -> DataFrame:
     """The first ``n`` present values of every column, in the order of ``order_by``.
 
     Without ``order_by`` it is the order of the scan, which for one file is the order of its lines.
 
-    Each column is a top-n scan of two columns: every task keeps n rows, and nothing is sorted or
-    shuffled as a whole.
+    The first ``look`` rows, a top-n scan, serve all columns that have enough values there. Only
+    the sparse columns that are left need a second scan, of their present cells alone, where every
+    task keeps its first n per column.
     """
+    spark = df.sparkSession
+    fields = [(i, f.name) for i, f in enumerate(df.schema)]
     key = F.monotonically_increasing_id()
     if order_by:
         key = F.struct(*(F.col(quoted(k)) for k in order_by))
-    parts = []
-    for i, f in enumerate(df.schema):
-        c = F.col(quoted(f.name))
-        parts.append(
-            df.where(c.isNotNull())
-            .select(key.alias("k"), c.cast("string").alias("value"))
-            .orderBy("k", "value")
-            .limit(n)
-            .select(F.lit(i).alias("position"), F.lit(f.name).alias("name"), "k", "value")
-        )
-    firsts = reduce(DataFrame.unionByName, parts)
-    # At most n rows per column arrive here.
-    return firsts.groupBy("position", "name").agg(
-        F.array_sort(F.collect_list(F.struct("k", "value")))["value"].alias("sample")
+    wide = df.select(
+        key.alias("k"), *(F.col(quoted(name)).cast("string").alias(str(i)) for i, name in fields)
     )
+    head = wide.orderBy("k").limit(look).collect()
+    firsts, sparse = [], []
+    for i, name in fields:
+        present = sorted((row["k"], row[str(i)]) for row in head if row[str(i)] is not None)
+        if len(present) >= n:
+            firsts.append((i, [value for _, value in present[:n]]))
+        else:
+            sparse.append(str(i))
+    samples = spark.createDataFrame(firsts, "position int, sample array<string>")
+    if sparse:
+        in_order = Window.partitionBy("position").orderBy("k", "value")
+        rest = (
+            wide.select("k", *sparse)
+            .unpivot(["k"], sparse, "position", "value")
+            .where(F.col("value").isNotNull())
+            .withColumn("rank", F.row_number().over(in_order))
+            .where(F.col("rank") <= n)
+            .groupBy(F.col("position").cast("int").alias("position"))
+            # At most n values per column arrive here.
+            .agg(F.array_sort(F.collect_list(F.struct("rank", "value")))["value"].alias("sample"))
+        )
+        samples = samples.unionByName(rest)
+    names = F.array(*(F.lit(name) for _, name in fields))
+    return samples.select("position", F.get(names, F.col("position")).alias("name"), "sample")

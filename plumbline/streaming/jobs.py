@@ -127,7 +127,7 @@ def start_session_state(
     value: str,
     clears: Column,
 ) -> StreamingQuery:
-    """Session memory over a stream: the newest version of ``out/state`` is the current state.
+    """Session memory over a stream; ``newest_version`` of ``out/state`` is the current state.
 
     A version has one row per (session, key) and one per cleared session, merged by plain maxima
     that do not depend on the order in which rows arrive.

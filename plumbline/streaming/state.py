@@ -1,12 +1,16 @@
-"""State tables for ``foreachBatch``: one version per micro-batch in the shared folder.
+"""State tables for ``foreachBatch``, versioned by micro-batch in the shared folder.
 
-Batch n reads version n-1 and writes version n, overwriting what a failed try may have left. A
-repeated batch therefore gives the same result.
+Batch n reads what batch n-1 wrote and writes its own version over the one from three batches ago.
+A repeated batch therefore starts from the same state and gives the same result, and the folder
+holds three versions however long the stream runs.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+_SLOTS = 3
 
 
 class StateTable:
@@ -16,11 +20,18 @@ class StateTable:
     def before(self, batch_id: int) -> DataFrame:
         if batch_id == 0:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(self._version(batch_id - 1))
+        return self.spark.read.schema(self.schema).parquet(self._slot(batch_id - 1))
+
+    def write(self, state: DataFrame, batch_id: int) -> None:
+        versioned = state.withColumn("version", F.lit(batch_id))
+        versioned.write.mode("overwrite").parquet(self._slot(batch_id))
+
+    def _slot(self, batch_id: int) -> str:
+        return f"{self.path}/slot={batch_id % _SLOTS}"
 
-    def write(self, state: DataFrame, batch_id: int) -> DataFrame:
-        state.write.mode("overwrite").parquet(self._version(batch_id))
-        return self.spark.read.schema(self.schema).parquet(self._version(batch_id))
 
-    def _version(self, batch_id: int) -> str:
-        return f"{self.path}/version={batch_id}"
+def newest_version(spark: SparkSession, path: str) -> DataFrame:
+    """The state after the last finished batch."""
+    slots = spark.read.parquet(path).drop("slot")
+    newest = slots.agg(F.max("version").alias("v"))
+    return slots.where(F.col("version") == newest.scalar()).drop("version")
