@@ -41,8 +41,12 @@ DATE_LAYOUTS = (
 )
 
 
-def na_to_null(text: Column) -> Column:
-    return F.when(~text.isin(*fixed.NA_TOKENS), text)
+_NA_LIST = ", ".join(f"'{token}'" for token in fixed.NA_TOKENS)
+
+
+def na_to_null(name: str) -> Column:
+    """The text column of that name with missing-value words as null."""
+    return F.expr(f"CASE WHEN {name} NOT IN ({_NA_LIST}) THEN {name} END")
 
 
 def _may_be_number(text: Column) -> Column:

@@ -32,7 +32,7 @@ def normalise_missing(df: DataFrame) -> DataFrame:
     for f in df.schema:
         c = F.col(quoted(f.name))
         if isinstance(f.dataType, T.StringType):
-            c = cleaning.na_to_null(c)
+            c = cleaning.na_to_null(quoted(f.name))
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.when(~F.isnan(c), c)
         out.append(c.alias(f.name))

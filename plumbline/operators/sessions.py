@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed
 from plumbline.functions.text import injection_match, injection_reason, is_image
 from plumbline.operators.ratelimit import rate_limit, refusal
+from plumbline.session import shared_root
 
 
 def latest_values(
@@ -68,8 +69,11 @@ def validate_requests(
         unsafe.alias("__unsafe"),
         F.when(unsafe, injection_reason(F.col(text), F.col(match))).alias("__reason"),
     )
+    # Range partitioning reads its input twice. The check over the texts must not run twice, so its
+    # narrow result is written out first.
+    shared_root(requests.sparkSession)
     decided = rate_limit(
-        checked,
+        checked.checkpoint(),
         session,
         ts,
         order_by,

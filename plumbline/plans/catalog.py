@@ -109,7 +109,8 @@ def summary_cards(spark, d):
 
 @query
 def profile_many(spark, d):
-    tables = {name: table(spark, d, name) for name in ("customer", "supplier", "part", "nation")}
+    names = ("customer", "supplier", "part", "nation", "documents", "conversations")
+    tables = {name: table(spark, d, name) for name in names}
     tables["orders"] = clean_orders(spark, d)
     return profile.table_profile(tables).select(
         "table_name", "rows", "cols", "duplicate_rows", "total_missing", "quality_score",

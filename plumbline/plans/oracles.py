@@ -172,6 +172,18 @@ ORACLES["profile_many"] = dirty(
                 ("int", "string", "int"),
                 "nation",
             ),
+            (
+                "documents",
+                ("doc_id", "text", "lang", "source", "n_chars"),
+                ("bigint", "string", "string", "string", "bigint"),
+                "documents",
+            ),
+            (
+                "conversations",
+                ("conv_id", "turn", "role", "text"),
+                ("bigint", "bigint", "string", "string"),
+                "conversations",
+            ),
             ("dirty_orders", ORDER_COLUMNS, ORDER_TYPES, "orders"),
         ]
     )

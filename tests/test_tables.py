@@ -109,6 +109,29 @@ def test_profile_of_many_and_approximate(spark):
     }
 
 
+def test_long_texts_are_told_apart(spark):
+    long = "x" * 500
+    df = table(spark, "t string, b binary", (long + "a", b"1"), (long + "b", b"2"), (long + "b", b"2"), ("s", None), (None, b"1"))
+    got = {r["name"]: (r["unique"], r["missing"]) for r in profile.column_profile(df).collect()}
+    assert got == {"t": (3, 1), "b": (2, 1)}
+
+
+def test_grouped_profile(spark):
+    df = table(spark, "f string, a int, b string", ("p", 1, "x"), ("p", 1, "x"), ("q", None, "y"), ("q", 2, "x"))
+    got = {r["table_name"]: r for r in profile.grouped_profile(df, "f").collect()}
+    assert (got["p"]["rows"], got["p"]["cols"], got["p"]["duplicate_rows"], got["p"]["total_missing"]) == (2, 2, 1, 0)
+    assert (got["q"]["duplicate_rows"], got["q"]["total_missing"]) == (0, 1)
+    assert got["p"]["flags"] == ["1 duplicate row(s)", "constant/near-empty column(s): a, b"]
+
+
+def test_samples_of_sparse_columns(spark):
+    rows = [(i, i % 2, "v" if i in (70, 80, 99) else None, None) for i in range(100)]
+    df = table(spark, "k int, a int, s string, n string", *rows).repartition(4)
+    got = {r["name"]: r["sample"] for r in profile.column_samples(df, ["k"]).collect()}
+    assert got == {"k": ["0", "1", "2"], "a": ["0", "1", "0"], "s": ["v", "v", "v"]}
+    assert profile.column_samples(df.select("k").coalesce(1)).first()["sample"]
+
+
 def test_duplicates_with_nulls_and_hot_copies(spark):
     rows = [(None, "a"), ("a", None), (None, "a")] + [("hot", "hot")] * 400 + [(str(i), "u") for i in range(50)]
     df = table(spark, "a string, b string", *rows)
