@@ -7,9 +7,9 @@ depends on the ones before. The only memory it needs is the last ``max_requests`
 Scale. The log is range-partitioned and sorted by (session, time), not grouped by session. A session
 holding a third of all rows is therefore cut into many chunks, and no task holds more than a
 chunk. What crosses a chunk border is the memory of one session. A first pass computes the memory
-each chunk leaves behind; chunks that start in the middle of a session are computed again with the
-memory of the chunk before, until nothing changes. Memories forget their start quickly, so one
-such round is the rule. The driver sees one short memory per chunk. A last pass writes decisions.
+each chunk leaves behind; chunks filled by a session that started earlier are computed again with
+the memory of the chunk before. The driver sees one short memory per chunk. A last pass writes the
+decisions of all chunks side by side.
 """
 
 from __future__ import annotations
@@ -65,41 +65,64 @@ class _Walk:
         self.first: tuple | None = None
         self.current: tuple | None = None
 
-    def decide(self, batch: pa.RecordBatch) -> pa.Array:
+    def decide(self, batch: pa.RecordBatch, memory_only: bool = False) -> pa.Array | None:
+        """Decisions of a batch; with ``memory_only`` just what its last session leaves behind.
+
+        A request that is a full window away from the request ``limit`` rows earlier is allowed
+        whatever was decided before. Sessions with only such requests are done all at once, and
+        single steps are left for the busy ones, and for the first and the last, which may go on
+        in the neighbouring batches.
+        """
         keys = batch.column(self.session)
         codes = keys.dictionary_encode(null_encoding="encode").indices.to_numpy()
         times = _micros(batch.column(self.ts))
         kinds = batch.column(_KIND).to_numpy()
-        allowed = np.zeros(len(codes), dtype=bool)
-        starts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
-        for start, end in zip(starts, starts[1:]):
-            key = (keys[start].as_py(),)
-            if self.current is None:
-                self.first = key
-            elif key != self.current:
+        starts = np.concatenate([[0], np.flatnonzero(codes[1:] != codes[:-1]) + 1])
+        ends = np.append(starts[1:], len(codes))
+        last = len(starts) - 1
+        first_key, last_key = (keys[0].as_py(),), (keys[len(codes) - 1].as_py(),)
+        if self.first is None:
+            self.first = first_key
+        elif first_key != self.current:
+            self.memory = []
+        self.current = last_key
+        allowed = kinds == _REQUEST
+        if memory_only:
+            stepwise = [last]
+        else:
+            busy = ~allowed
+            far = max(self.limit, 0)
+            busy[far:] |= (codes[far:] == codes[: len(codes) - far]) & (
+                times[far:] - times[: len(codes) - far] < self.window
+            )
+            numbers = np.searchsorted(starts, np.flatnonzero(busy), side="right") - 1
+            stepwise = np.unique(np.concatenate([[0], numbers, [last]])).astype(int).tolist()
+        for i in stepwise:
+            if i > 0:
                 self.memory = []
-            self.current = key
-            special = np.flatnonzero(kinds[start:end] >= _RESET) + start
-            at = start
-            for stop in [*special.tolist(), end]:
-                asked = np.flatnonzero(kinds[at:stop] == _REQUEST) + at
-                allowed[asked], self.memory = admit(
-                    times[asked], self.memory, self.limit, self.window
-                )
-                if stop < end:
-                    again = [*self.memory, int(times[stop])][-self.limit :]
-                    self.memory = again if kinds[stop] == _PRIOR else []
-                at = stop + 1
-        return pa.array(allowed, mask=kinds != _REQUEST)
-
-
-def _leave_behind(ranged: DataFrame, walk_args: tuple, entries: dict[int, list[int]]) -> dict:
-    """Per chunk: its first and last session, and the memory of the last."""
-    session = walk_args[0]
-    key_type = ranged.schema[session].dataType
+            self._step(allowed, times, kinds, int(starts[i]), int(ends[i]))
+        return None if memory_only else pa.array(allowed, mask=kinds != _REQUEST)
+
+    def _step(self, allowed, times, kinds, start: int, end: int) -> None:
+        """Decide the rows start..end of one session."""
+        at = start
+        for stop in [*(np.flatnonzero(kinds[start:end] >= _RESET) + start).tolist(), end]:
+            asked = np.flatnonzero(kinds[at:stop] == _REQUEST) + at
+            allowed[asked], self.memory = admit(times[asked], self.memory, self.limit, self.window)
+            if stop < end:
+                again = [*self.memory, int(times[stop])][-self.limit :]
+                self.memory = again if kinds[stop] == _PRIOR else []
+            at = stop + 1
+
+
+def _leave_behind(needed: DataFrame, walk_args: tuple, entries: dict[int, list[int]]) -> dict:
+    """Per chunk: its first time, its first and last session, and the memory of the last."""
+    session, ts, limit, window = walk_args
+    key_type = needed.schema[session].dataType
     schema = T.StructType(
         [
             T.StructField("chunk", T.IntegerType()),
+            T.StructField("start", T.LongType()),
             T.StructField("first", key_type),
             T.StructField("last", key_type),
             T.StructField("memory", T.ArrayType(T.LongType())),
@@ -107,46 +130,69 @@ def _leave_behind(ranged: DataFrame, walk_args: tuple, entries: dict[int, list[i
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        walk, chunk = None, None
+        walk = chunk = start = None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             if walk is None:
                 chunk = batch.column(_CHUNK)[0].as_py()
-                walk = _Walk(*walk_args, entries.get(chunk, []))
-            walk.decide(batch)
+                start = int(_micros(batch.column(ts).slice(0, 1))[0])
+                walk = _Walk(session, ts, limit, window, entries.get(chunk, []))
+            walk.decide(batch, memory_only=True)
         if walk is not None:
             key = batch.column(session).type
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([chunk], pa.int32()),
+                    pa.array([start], pa.int64()),
                     pa.array([walk.first[0]], key),
                     pa.array([walk.current[0]], key),
                     pa.array([walk.memory], pa.list_(pa.int64())),
                 ],
-                names=["chunk", "first", "last", "memory"],
+                names=["chunk", "start", "first", "last", "memory"],
             )
 
-    return {r["chunk"]: r for r in ranged.mapInArrow(run, schema).collect()}
+    return {r["chunk"]: r for r in needed.mapInArrow(run, schema).collect()}
 
 
 def _entry_memories(ranged: DataFrame, walk_args: tuple) -> dict[int, list[int]]:
-    """The memory each chunk must start with, for chunks whose first session began earlier."""
-    entries: dict[int, list[int]] = {}
-    left = _leave_behind(ranged, walk_args, entries)
+    """The memory each chunk must start with, for chunks whose first session began earlier.
+
+    Only a chunk that is filled by one session hands on what it was handed. The first repetition
+    takes all such chunks whose entry was assumed wrongly; it settles all sessions that forgot
+    their start within a chunk. A session so crowded that it never forgets is then followed chunk
+    by chunk, each time only the one whose entry is known for certain.
+    """
+    session, ts, _, window = walk_args
+    needed = ranged.select(session, ts, _KIND, _CHUNK)
+    used: dict[int, list[int]] = {}
+    left = _leave_behind(needed, walk_args, used)
+    repetition = 0
     while True:
         order = sorted(left)
-        changed = {}
+        entries, stale, certain, exit_certain = {}, [], [], True
         for previous, chunk in zip(order, order[1:]):
-            continues = left[previous]["last"] == left[chunk]["first"]
-            memory = list(left[previous]["memory"]) if continues else []
-            if memory != entries.get(chunk, []):
-                changed[chunk] = memory
-        if not changed:
-            return entries
-        entries.update(changed)
-        again = ranged.where(F.col(_CHUNK).isin(list(changed)))
-        left.update(_leave_behind(again, walk_args, entries))
+            before, now = left[previous], left[chunk]
+            continues = before["last"] == now["first"]
+            memory = [m for m in before["memory"] if continues and now["start"] - m < window]
+            entry_certain = exit_certain or not continues
+            as_assumed = memory == used.get(chunk, [])
+            entries[chunk] = memory
+            exit_certain = True
+            if now["first"] == now["last"]:
+                exit_certain = entry_certain and as_assumed
+                if not as_assumed:
+                    stale.append(chunk)
+                    if entry_certain:
+                        certain.append(chunk)
+        if not stale:
+            return {chunk: memory for chunk, memory in entries.items() if memory}
+        repetition += 1
+        if repetition == 2:
+            needed = needed.where(F.col(_CHUNK).isin(stale)).checkpoint()
+        again = stale if repetition == 1 else certain
+        used.update({chunk: entries[chunk] for chunk in again})
+        left.update(_leave_behind(needed.where(F.col(_CHUNK).isin(again)), walk_args, used))
 
 
 def rate_limit(

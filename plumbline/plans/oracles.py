@@ -123,7 +123,7 @@ ORACLES["quality_dimensions"] = dirty(
 )
 ORACLES["quality_score"] = dirty(
     f""", {ORDERS_PROFILE}
-    SELECT n AS rows, cols, duplicate_rows, total_missing, quality_score,
+    SELECT n AS rows, CAST(cols AS INT) AS cols, duplicate_rows, total_missing, quality_score,
            {GRADE_SQL} AS quality_grade FROM scored"""
 )
 ORACLES["quality_flags"] = dirty(
@@ -139,9 +139,9 @@ FROM cols WHERE n > 1 AND uniq <= 1"""
 )
 ORACLES["summary_cards"] = dirty(
     f""", {ORDERS_PROFILE}
-    SELECT table_name, n AS rows, cols, quality_score,
-           (total_missing > 0)::INT + (duplicate_rows > 0)::INT
-             + (EXISTS (SELECT 1 FROM cols WHERE cols.n > 1 AND uniq <= 1))::INT AS flag_count
+    SELECT table_name, n AS rows, CAST(cols AS INT) AS cols, quality_score,
+           (total_missing > 0)::BIGINT + (duplicate_rows > 0)::BIGINT
+             + (EXISTS (SELECT 1 FROM cols WHERE cols.n > 1 AND uniq <= 1))::BIGINT AS flag_count
     FROM scored"""
 )
 ORACLES["profile_many"] = dirty(
@@ -187,7 +187,7 @@ ORACLES["profile_many"] = dirty(
             ("dirty_orders", ORDER_COLUMNS, ORDER_TYPES, "orders"),
         ]
     )
-    + f""" SELECT table_name, n AS rows, cols, duplicate_rows, total_missing, quality_score,
+    + f""" SELECT table_name, n AS rows, CAST(cols AS INT) AS cols, duplicate_rows, total_missing, quality_score,
     {GRADE_SQL} AS quality_grade FROM scored"""
 )
 
@@ -679,7 +679,8 @@ def _number_text(c: str) -> str:
 
 _BOOKS = """book AS (
   SELECT *, 'book-' || (c_custkey // 500) || '.xlsx' AS path,
-         row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) + 1 AS row
+         CAST(row_number() OVER (PARTITION BY c_custkey // 500 ORDER BY c_custkey) + 1 AS INT)
+           AS row
   FROM customer)"""
 ORACLES["workbook_cells"] = f"""WITH {_BOOKS}
 SELECT path, 'People' AS sheet, 0 AS sheet_no, row, 1 AS col,
