@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import csv
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,13 @@ from plumbline.operators.coercion import (
 from plumbline.sources import sniff as sniffing
 
 _ODD = "__odd_record"
-_READABLE = {"utf-8-sig": "UTF-8", "utf-16": "UTF-16", "iso-8859-1": "ISO-8859-1"}
+_READABLE = {
+    "utf-8": "UTF-8",
+    "utf-8-sig": "UTF-8",
+    "ascii": "UTF-8",
+    "utf-16": "UTF-16",
+    "iso-8859-1": "ISO-8859-1",
+}
 
 
 def fields_in(record: Column, delimiter: str) -> Column:
@@ -46,13 +54,15 @@ def read_delimited(
     ``multiline``, which makes each file one task, as does UTF-16.
     """
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, _ODD])
+    if encoding not in _READABLE:
+        return _read_code_page(spark, path, names, delimiter, encoding, header)
     df = (
         spark.read.schema(schema)
         .option("header", header)
         .option("sep", delimiter)
         .option("quote", '"')
         .option("escape", '"')
-        .option("encoding", _READABLE.get(encoding, encoding))
+        .option("encoding", _READABLE[encoding])
         .option("multiLine", multiline or encoding == "utf-16")
         .option("ignoreLeadingWhiteSpace", True)
         .option("ignoreTrailingWhiteSpace", False)
@@ -69,6 +79,61 @@ def read_delimited(
     return df.where(fields_in(odd, delimiter) <= len(names)).drop(_ODD)
 
 
+def _read_code_page(
+    spark: SparkSession,
+    path: str | list[str],
+    names: list[str],
+    delimiter: str,
+    encoding: str,
+    header: bool,
+) -> DataFrame:
+    """Files in a code page that Spark's reader does not know, decoded line by line in Python.
+
+    The lines come as raw bytes from the splittable text source and are taken apart by Spark. Line
+    feeds inside quotes are not supported here, and a line equal to the header is taken for one.
+    """
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [v.decode(encoding, "replace") for v in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+
+    raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    lines = raw.select(F.col("value").cast("binary")).mapInArrow(decode, "line string")
+    line = F.col("line")
+    schema = ", ".join(f"{quoted(n)} string" for n in names)
+    options = {
+        "sep": delimiter,
+        "quote": '"',
+        "escape": '"',
+        "ignoreLeadingWhiteSpace": "true",
+        "ignoreTrailingWhiteSpace": "false",
+    }
+    if header:
+        in_first_block = raw.where(F.col("_metadata.file_block_start") == 0)
+        heads = (
+            in_first_block.select(
+                F.col("_metadata.file_path").alias("path"),
+                F.monotonically_increasing_id().alias("at"),
+                F.col("value").cast("binary").alias("value"),
+            )
+            .groupBy("path")
+            .agg(F.min_by("value", "at").alias("value"))
+            .select("value")
+            .distinct()
+            .mapInArrow(decode, "line string")
+            .take(2)
+        )
+        if len(heads) > 1:
+            raise ValueError(f"The files do not share one header: {heads}")
+        lines = lines.where(~line.isin([row["line"] for row in heads]))
+    return (
+        lines.where((F.trim(line) != "") & (fields_in(line, delimiter) <= len(names)))
+        .select(F.from_csv(line, schema, options).alias("r"))
+        .select(*(F.col("r")[n].alias(n) for n in names))
+    )
+
+
 @dataclass(frozen=True)
 class LoadedTable:
     """A typed table with the facts about its files and the votes behind its types."""
@@ -106,7 +171,10 @@ def load_table(
         dialect = found[0].asDict()
         delimiter = delimiter or dialect["delimiter"]
         encoding = encoding or dialect["encoding"]
-        header = csv.reader([dialect["header"]], delimiter=delimiter, skipinitialspace=True)
+        first_line = dialect["header"]
+        if encoding not in _READABLE and dialect["encoding"] == "iso-8859-1":
+            first_line = first_line.encode("iso-8859-1").decode(encoding)
+        header = csv.reader([first_line], delimiter=delimiter, skipinitialspace=True)
         names = names or next(header)
         source.update({k: dialect[k] for k in ("files", "bytes", "lines")})
     source.update(encoding=encoding, delimiter=delimiter)

@@ -45,6 +45,19 @@ def test_encodings(spark, put):
     ]
 
 
+def test_code_pages_given_by_hand(spark, tmp_path, put):
+    os.mkdir(tmp_path / "cp")
+    text = "naïve,price €\n“a, b”,1\n\nŽ,2\nlong,3,4\nshort\n"
+    for i in range(2):
+        put(f"cp/{i}.csv", text.encode("cp1252"))
+    t = delimited.load_table(spark, str(tmp_path / "cp"), encoding="cp1252")
+    assert t.df.columns == ["naïve", "price €"]
+    assert sorted(rows(t), key=str) == [("short", None)] * 2 + [("Ž", 2)] * 2
+    kana = put("k.csv", "名前;値\nソニー;1\n表;2\n".encode("shift_jis"))
+    t = delimited.load_table(spark, kana, encoding="shift_jis")
+    assert t.df.columns == ["名前", "値"] and rows(t) == [("ソニー", 1), ("表", 2)]
+
+
 def test_delimiters(spark, put):
     for d, name in ((",", "a.csv"), (";", "b.csv"), ("|", "c.txt"), ("\t", "d.tsv")):
         t = delimited.load_table(spark, put(name, f"a{d}b{d}c\n1{d}2{d}3\n4{d}5{d}6\n"))
