@@ -577,16 +577,6 @@ def ragged_rows(spark, d):
     )
 
 
-def _dialect(spark, label: str, path: str) -> DataFrame:
-    found = sniff.dialects(sniff.sniff(spark, path))
-    return found.select(
-        F.lit(label).alias("folder"),
-        "encoding",
-        F.col("delimiter").alias("delimiter"),
-        (F.col("lines") - F.col("files")).alias("rows"),
-    )
-
-
 def _one_line(column: str):
     return F.regexp_replace(column, r"\s+", " ").alias("line")
 
@@ -601,18 +591,29 @@ def detect_encoding(spark, d):
         "marked": files.write_csv(marked, "marked", sep="|"),
         "latin": files.write_csv(plain, "latin", sep="|", encoding="ISO-8859-1"),
     }
-    parts = [_dialect(spark, label, path) for label, path in folders.items()]
-    return reduce(DataFrame.unionByName, parts).drop("delimiter")
+    parts = [
+        sniff.dialects(sniff.sniff(spark, path)).select(
+            F.lit(label).alias("folder"),
+            "encoding",
+            (F.col("lines") - F.col("files")).alias("rows"),
+        )
+        for label, path in folders.items()
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query
 def detect_delimiter(spark, d):
-    parts = []
+    paths, owners = [], []
     for name, sep in (("customer", ","), ("orders", ";"), ("lineitem", "\t"), ("part", "|")):
-        path = files.write_csv(table(spark, d, name), name, sep=sep)
-        parts.append(_dialect(spark, name, path))
-    out = reduce(DataFrame.unionByName, parts)
-    return out.select("folder", F.ascii("delimiter").alias("delimiter_code"), "rows")
+        df = table(spark, d, name)
+        paths.append(files.write_csv(df, name, sep=sep))
+        owners += [F.lit(sep.join(df.columns)), F.lit(name)]
+    return sniff.dialects(sniff.sniff(spark, paths)).select(
+        F.element_at(F.create_map(*owners), F.col("header")).alias("folder"),
+        F.ascii("delimiter").alias("delimiter_code"),
+        (F.col("lines") - F.col("files")).alias("rows"),
+    )
 
 
 @query

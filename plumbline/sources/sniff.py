@@ -1,8 +1,8 @@
 """What kind of text files are these? Encoding, delimiter, header and size, from whole files.
 
 The text source hands out lines as raw bytes and splits large files, so every byte votes and no
-file has to fit anywhere. One scan answers all questions; its counts are combined before the
-shuffle and are a few rows per file.
+file has to fit anywhere. The counts of the lines are combined before the shuffle and are a few
+rows per file.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
+from plumbline.session import shared_root
 
 # Two-byte marks as hexadecimal text. The three bytes of the UTF-8 mark never show: the text source
 # drops them, which leaves the lines that much shorter than the file.
@@ -35,7 +36,7 @@ def without_quoted(line: Column) -> Column:
 def _encoding(first_bytes: Column, valid_utf8: Column, unseen_bytes: Column) -> Column:
     """``unseen_bytes`` is the file size less its lines and line ends; the last end may be absent."""
     return (
-        F.when(F.substring(first_bytes, 1, 4).isin(*_WIDE_MARKS), "utf-16")
+        F.when(first_bytes.isin(*_WIDE_MARKS), "utf-16")
         .when(~valid_utf8, "iso-8859-1")
         .when(unseen_bytes.isin(2, 3), "utf-8-sig")
         .otherwise("utf-8")
@@ -52,85 +53,127 @@ def _text(raw: Column, encoding: Column) -> Column:
     return F.regexp_replace(decoded, "^﻿|[\r�]+$", "")
 
 
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines as raw bytes, with their file and a number that grows along each block of it."""
+    return (
+        spark.read.option("recursiveFileLookup", "true")
+        .option("lineSep", "\n")
+        .text(path)
+        .select(
+            "value",
+            F.col("_metadata.file_path").alias("path"),
+            F.col("_metadata.file_size").alias("bytes"),
+            (F.col("_metadata.file_block_start") == 0).alias("in_first_block"),
+            F.monotonically_increasing_id().alias("at"),
+            (F.trim(F.col("value"), F.lit(" \r")) != "").alias("filled"),
+        )
+    )
+
+
+_MANY_FILES = 200_000
+
+
+def _first_lines(spark: SparkSession, path: str | list[str], per_file: DataFrame) -> DataFrame:
+    """The bytes of the first filled line of each file, picked out of a second scan by number.
+
+    Carrying the text through the first aggregate would make Spark sort all lines. The wanted
+    numbers, one per file, are broadcast while they are few.
+    """
+    wanted = per_file.select("path", "at")
+    if per_file.count() <= _MANY_FILES:
+        wanted = F.broadcast(wanted)
+    raw = F.col("value").cast("binary").alias("raw")
+    lines = _lines(spark, path).where("in_first_block").select("path", "at", raw)
+    return lines.join(wanted, ["path", "at"])
+
+
 def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """One row per non-empty file: encoding, delimiter, first line, bytes and lines.
 
     The delimiter is the candidate whose most frequent non-zero count per line covers most lines;
     ties go to the higher count, then to the order of the candidates. Comma serves where none
-    occurs, and tab wherever the file name says so.
+    occurs, and tab wherever the file name says so. The first line is null in a blank file.
+
+    The counts of a line are its key in the first aggregate, so lines of the same shape are one row
+    before the shuffle, whatever the size of their file.
     """
-    filled = F.trim(F.col("value"), F.lit(" \r")) != ""
-    in_first_block = F.col("_metadata.file_block_start") == 0
-    raw = F.col("value").cast("binary")
-    lines = (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("lineSep", "\n")
-        .text(path)
+    shared_root(spark)
+    places = range(len(fixed.DELIMITERS))
+    bare = without_quoted(F.col("value"))
+    shapes = [
+        F.when(
+            F.col("filled"),
+            F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit(""))),
+        ).alias(f"n{i}")
+        for i, d in enumerate(fixed.DELIMITERS)
+    ]
+    counted = (
+        _lines(spark, path)
         .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_size").alias("bytes"),
-            F.is_valid_utf8("value").alias("valid"),
-            # Lines of one block come in order, so the smallest number is the first filled line.
-            F.when(
-                in_first_block & filled, F.struct(F.monotonically_increasing_id().alias("at"), raw.alias("raw"))
-            ).alias("first"),
+            "path",
+            "bytes",
+            F.is_valid_utf8("value").cast("int").alias("valid"),
             (F.octet_length("value") + 1).cast("bigint").alias("seen"),
-            filled.alias("filled"),
-            without_quoted(F.col("value")).alias("bare"),
+            F.when(F.col("in_first_block") & F.col("filled"), F.col("at")).alias("at"),
+            *shapes,
         )
-    )
-    candidates = F.array(
-        *(
-            F.struct(
-                F.lit(i).alias("rank"),
-                F.when(
-                    F.col("filled"),
-                    F.length("bare") - F.length(F.replace(F.col("bare"), F.lit(d), F.lit(""))),
-                ).alias("per_line"),
-            )
-            for i, d in enumerate(fixed.DELIMITERS)
+        .groupBy("path", *(f"n{i}" for i in places))
+        .agg(
+            F.count("*").alias("lines"),
+            F.max("bytes").alias("bytes"),
+            F.sum("seen").alias("seen"),
+            F.min("valid").alias("valid"),
+            F.min("at").alias("at"),
         )
     )
-    counted = (
-        lines.withColumn("c", F.explode(candidates))
+    usage = F.array(
+        *(F.struct(F.lit(i).alias("rank"), F.col(f"n{i}").alias("per_line")) for i in places)
+    )
+    used = F.col("per_line") > 0
+    per_delimiter = (
+        counted.withColumn("c", F.explode(usage))
         .groupBy("path", "c.rank", "c.per_line")
         .agg(
-            F.count("*").alias("n"),
+            F.sum("lines").alias("lines"),
             F.max("bytes").alias("bytes"),
             F.sum("seen").alias("seen"),
             F.min("valid").alias("valid"),
-            F.min_by(F.col("first")["raw"], F.col("first")["at"]).alias("raw"),
-            F.min(F.col("first")["at"]).alias("at"),
+            F.min("at").alias("at"),
+        )
+        .groupBy("path", "rank")
+        .agg(
+            F.sum("lines").alias("lines"),
+            F.max("bytes").alias("bytes"),
+            F.sum("seen").alias("seen"),
+            F.min("valid").alias("valid"),
+            F.min("at").alias("at"),
+            F.coalesce(F.max(F.when(used, F.col("lines"))), F.lit(0)).alias("agreeing"),
+            F.max_by(
+                F.when(used, F.col("per_line")), F.when(used, F.struct("lines", "per_line"))
+            ).alias("usual"),
         )
-    )
-    used = F.col("per_line") > 0
-    per_delimiter = counted.groupBy("path", "rank").agg(
-        F.sum("n").alias("lines"),
-        F.max("bytes").alias("bytes"),
-        F.sum("seen").alias("seen"),
-        F.min("valid").alias("valid"),
-        F.min_by("raw", "at").alias("raw"),
-        F.coalesce(F.max(F.when(used, F.col("n"))), F.lit(0)).alias("agreeing"),
-        F.max_by(F.when(used, F.col("per_line")), F.when(used, F.struct("n", "per_line"))).alias(
-            "usual"
-        ),
     )
     best = F.struct("agreeing", "usual", -F.col("rank"))
-    per_file = per_delimiter.groupBy("path").agg(
-        F.max("bytes").alias("bytes"),
-        F.max("lines").alias("lines"),
-        F.max("seen").alias("seen"),
-        F.min("valid").alias("valid"),
-        F.min_by("raw", "rank").alias("raw"),
-        F.max_by("rank", best).alias("winner"),
-        F.max("agreeing").alias("agreeing"),
+    per_file = (
+        per_delimiter.groupBy("path")
+        .agg(
+            F.max("bytes").alias("bytes"),
+            F.max("lines").alias("lines"),
+            F.max("seen").alias("seen"),
+            F.min("valid").alias("valid"),
+            F.min("at").alias("at"),
+            F.max_by("rank", best).alias("winner"),
+            F.max("agreeing").alias("agreeing"),
+        )
+        .checkpoint()
     )
     names = F.array(*map(F.lit, fixed.DELIMITERS))
     encoding = _encoding(
-        F.hex(F.substring("raw", 1, 2)), F.col("valid"), F.col("bytes") - F.col("seen")
+        F.hex(F.substring("raw", 1, 2)), F.col("valid") == 1, F.col("bytes") - F.col("seen")
     )
     return (
-        per_file.withColumn("encoding", encoding)
+        per_file.join(_first_lines(spark, path, per_file), ["path", "at"], "left")
+        .withColumn("encoding", encoding)
         .withColumn(
             "delimiter",
             F.when(F.lower("path").endswith(".tsv"), "\t")
