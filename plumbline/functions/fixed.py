@@ -148,3 +148,32 @@ DELIMITERS = (",", ";", "\t", "|")
 
 # Fixed value: how a chart payload starts.
 IMAGE_PREFIX = "data:image/png;base64,"
+
+# Messages of the guardrails.
+EMPTY_INPUT = "Empty or invalid input"
+INJECTION_FOUND = ("Prompt injection detected: '", "'. Request rejected.")
+INPUT_SAFE = "Input safe"
+BLOCKED = "SECURITY_BLOCKED: "
+VALIDATED = "Input validated"
+LIMIT_EXCEEDED = "Rate limit exceeded: {} requests per {}s. Please wait."
+
+# Reasons for refusing a file.
+NO_PATH = "Invalid file path provided."
+NOT_FOUND = "File not found: "
+NOT_A_FILE = "Path is not a file: "
+WRONG_TYPE = ("Invalid file type: ", ". Allowed: ")
+
+# Findings of the profile and the alert of the analysis.
+MISSING_FLAG = (" missing cells; worst column '", "' (", "% missing)")
+DUPLICATE_FLAG = " duplicate row(s)"
+CONSTANT_FLAG = "constant/near-empty column(s): "
+MISSING_ALERT = "ALERT: Missing values detected in "
+NO_ALERT = "No missing values detected."
+
+# Messages of the chart.
+NO_COLUMN = "Column '{}' not found. Available: {}"
+WRONG_CHART = "Unsupported chart_type '{}'. Use: {}."
+
+# What stands for a chart in memory and in a transcript.
+CHART_SUMMARY = "Chart generated"
+CHART_IN_TRANSCRIPT = "[Chart Image Generated]"

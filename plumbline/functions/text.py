@@ -32,14 +32,14 @@ def injection_match(text: Column) -> Column:
 def injection_reason(text: Column, match: Column) -> Column:
     """Why a prompt is accepted or refused, given its ``injection_match``."""
     return (
-        F.when(text.isNull() | (text == ""), "Empty or invalid input")
+        F.when(text.isNull() | (text == ""), fixed.EMPTY_INPUT)
         .when(
             match.isNotNull(),
             F.concat(
-                F.lit("Prompt injection detected: '"), match, F.lit("'. Request rejected.")
+                F.lit(fixed.INJECTION_FOUND[0]), match, F.lit(fixed.INJECTION_FOUND[1])
             ),
         )
-        .otherwise("Input safe")
+        .otherwise(fixed.INPUT_SAFE)
     )
 
 
@@ -117,7 +117,7 @@ def sanitize(
 
 def response_summary(text: Column, length: int = 200) -> Column:
     """What session memory keeps of a response: its start, or a note for charts."""
-    return F.when(is_image(text), "Chart generated").otherwise(F.substring(text, 1, length))
+    return F.when(is_image(text), fixed.CHART_SUMMARY).otherwise(F.substring(text, 1, length))
 
 
 def safe_session_id(session: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import fixed
 from plumbline.operators.coercion import number_columns, quoted
 from plumbline.operators.profile import column_missing
 from plumbline.operators.quantiles import exact_quantiles
@@ -75,11 +76,9 @@ def missing_alert(df: DataFrame) -> DataFrame:
         total.alias("total_missing"),
         F.when(
             total > 0,
-            F.concat(
-                F.lit("ALERT: Missing values detected in "), F.array_join(some["name"], ", ")
-            ),
+            F.concat(F.lit(fixed.MISSING_ALERT), F.array_join(some["name"], ", ")),
         )
-        .otherwise("No missing values detected.")
+        .otherwise(fixed.NO_ALERT)
         .alias("alert"),
     )
 
@@ -116,9 +115,9 @@ def chart_series(df: DataFrame, x: str, y: str, kind: str = "bar") -> DataFrame:
     """
     for name in (x, y):
         if name not in df.columns:
-            raise ValueError(f"Column '{name}' not found. Available: {df.columns}")
+            raise ValueError(fixed.NO_COLUMN.format(name, df.columns))
     if kind not in CHART_KINDS:
-        raise ValueError(f"Unsupported chart_type '{kind}'. Use: {', '.join(CHART_KINDS)}.")
+        raise ValueError(fixed.WRONG_CHART.format(kind, ", ".join(CHART_KINDS)))
     if not isinstance(df.schema[y].dataType, T.NumericType):
         raise ValueError(f"Column '{y}' is not numeric.")
     grouped = df.groupBy(F.col(quoted(x)).alias("x")).agg(

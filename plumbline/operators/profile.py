@@ -159,21 +159,21 @@ def flags() -> Column:
                 F.col("total_missing") > 0,
                 F.concat(
                     F.col("total_missing").cast("string"),
-                    F.lit(" missing cells; worst column '"),
+                    F.lit(fixed.MISSING_FLAG[0]),
                     worst["name"],
-                    F.lit("' ("),
+                    F.lit(fixed.MISSING_FLAG[1]),
                     worst["missing_pct"].cast("string"),
-                    F.lit("% missing)"),
+                    F.lit(fixed.MISSING_FLAG[2]),
                 ),
             ),
             F.when(
                 F.col("duplicate_rows") > 0,
-                F.concat(F.col("duplicate_rows").cast("string"), F.lit(" duplicate row(s)")),
+                F.concat(F.col("duplicate_rows").cast("string"), F.lit(fixed.DUPLICATE_FLAG)),
             ),
             F.when(
                 F.size("constants") > 0,
                 F.concat(
-                    F.lit("constant/near-empty column(s): "),
+                    F.lit(fixed.CONSTANT_FLAG),
                     F.array_join(F.col("constants")["name"], ", "),
                 ),
             ),

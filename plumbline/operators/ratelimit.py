@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions import fixed
 from plumbline.session import shared_root
 
 _CHUNK = "__chunk"
@@ -250,6 +251,4 @@ def rate_limit(
 
 
 def refusal(max_requests: int, window_seconds: int) -> str:
-    return (
-        f"Rate limit exceeded: {max_requests} requests per {window_seconds}s. Please wait."
-    )
+    return fixed.LIMIT_EXCEEDED.format(max_requests, window_seconds)

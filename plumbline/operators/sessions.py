@@ -82,12 +82,12 @@ def validate_requests(
         skip="__unsafe",
         allowed="__allowed",
     )
-    blocked = F.lit("SECURITY_BLOCKED: ")
+    blocked = F.lit(fixed.BLOCKED)
     return decided.select(
         *columns,
         F.coalesce("__allowed", F.lit(False)).alias("is_valid"),
         F.when(F.col("__unsafe"), F.concat(blocked, F.col("__reason")))
-        .when(F.col("__allowed"), "Input validated")
+        .when(F.col("__allowed"), fixed.VALIDATED)
         .otherwise(F.concat(blocked, F.lit(refusal(max_requests, window_seconds))))
         .alias("message"),
     )
@@ -107,7 +107,7 @@ def transcript_sections(
     conversation, however long, has to fit into one cell or one task.
     """
     speaker = F.when(F.col(role) == "user", "User").otherwise("Assistant")
-    content = F.when(is_image(F.col(text)), "[Chart Image Generated]").otherwise(F.col(text))
+    content = F.when(is_image(F.col(text)), fixed.CHART_IN_TRANSCRIPT).otherwise(F.col(text))
     first = F.min(turn)
     headings = messages.groupBy(conversation).agg((first - 1).alias("section_no")).select(
         conversation, "section_no", F.lit(f"# {title}\n\n").alias("section")

@@ -585,7 +585,7 @@ def _one_line(column: str):
 def detect_encoding(spark, d):
     docs = table(spark, d, "documents")
     plain = docs.select("doc_id", _one_line("text"))
-    marked = docs.select(F.col("doc_id").alias("﻿doc_id"), _one_line("text"))
+    marked = docs.select(F.col("doc_id").alias("\ufeffdoc_id"), _one_line("text"))
     folders = {
         "plain": files.write_csv(plain, "plain", sep="|"),
         "marked": files.write_csv(marked, "marked", sep="|"),

@@ -24,13 +24,15 @@ def admit_files(
     path = F.col("path")
     dotted = F.regexp_extract(path, r"(\.[^./]*)$", 1)
     reason = (
-        F.when(path.isNull() | (path == ""), "Invalid file path provided.")
-        .when(F.col("is_file").isNull(), F.concat(F.lit("File not found: "), path))
-        .when(~F.col("is_file"), F.concat(F.lit("Path is not a file: "), path))
+        F.when(path.isNull() | (path == ""), fixed.NO_PATH)
+        .when(F.col("is_file").isNull(), F.concat(F.lit(fixed.NOT_FOUND), path))
+        .when(~F.col("is_file"), F.concat(F.lit(fixed.NOT_A_FILE), path))
         .when(
             ~has_ending(path, endings),
             F.concat(
-                F.lit("Invalid file type: "), dotted, F.lit(f". Allowed: {', '.join(endings)}")
+                F.lit(fixed.WRONG_TYPE[0]),
+                dotted,
+                F.lit(fixed.WRONG_TYPE[1] + ", ".join(endings)),
             ),
         )
         .otherwise("")

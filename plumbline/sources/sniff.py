@@ -50,7 +50,7 @@ def _text(raw: Column, encoding: Column) -> Column:
         .when(encoding == "iso-8859-1", F.decode(raw, "ISO-8859-1"))
         .otherwise(F.decode(raw, "UTF-8"))
     )
-    return F.regexp_replace(decoded, "^﻿|[\r�]+$", "")
+    return F.regexp_replace(decoded, "^\ufeff|[\r\ufffd]+$", "")
 
 
 def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
