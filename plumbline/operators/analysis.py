@@ -91,14 +91,18 @@ def breakdown(
     Rows without a key are left out, and a key with only missing values sums to zero. Equal sums
     are ordered by key. Partial sums are combined before the shuffle, so hot keys do no harm.
     """
+    for name in (measure, units):
+        if name and not isinstance(df.schema[name].dataType, T.NumericType):
+            raise ValueError(f"Column '{name}' is not numeric.")
+    measure, units = quoted(measure), units and quoted(units)
     columns = [F.coalesce(F.sum(measure), F.lit(0)).cast("double").alias("total")]
     if units:
         columns.append(F.coalesce(F.sum(units), F.lit(0)).cast("bigint").alias("units"))
     out = (
         df.where(F.col(quoted(key)).isNotNull())
-        .groupBy(key)
+        .groupBy(quoted(key))
         .agg(*columns)
-        .orderBy(F.desc("total"), key)
+        .orderBy(F.desc("total"), quoted(key))
     )
     return out.limit(top) if top else out
 

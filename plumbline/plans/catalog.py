@@ -553,6 +553,19 @@ def load_messy_csv(spark, d):
     return delimited.load_table(spark, path).df
 
 
+@query
+def profile_files(spark, d):
+    raw = views.raw_orders(spark, d).withColumn("band", F.substring("priority", 1, 1))
+    path = scratch_path(spark, "bands")
+    raw.write.partitionBy("band").option("header", True).option("sep", ";").csv(path)
+    loaded = delimited.load_table(spark, path, path_column="folder").df
+    folder = F.regexp_extract("folder", "band=([0-9])", 1)
+    return profile.grouped_profile(loaded.withColumn("folder", folder), "folder").select(
+        "table_name", "rows", "cols", "duplicate_rows", "total_missing", "completeness",
+        "uniqueness", "quality_score",
+    )
+
+
 @query
 def csv_roundtrip(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")

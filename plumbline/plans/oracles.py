@@ -191,30 +191,37 @@ ORACLES["profile_many"] = dirty(
     {GRADE_SQL} AS quality_grade FROM scored"""
 )
 
-_GROUP_COLUMNS = [(c, t) for c, t in zip(ORDER_COLUMNS, ORDER_TYPES) if c != "priority"]
-_GROUP_CELLS = "\nUNION ALL\n".join(
-    f"""SELECT priority, {str(t != "string").lower()} AS typed, count(*) AS n,
-      count(*) - count({c}) AS missing, count(DISTINCT {c}) AS uniq
-    FROM dirty_orders GROUP BY priority"""
-    for c, t in _GROUP_COLUMNS
-)
-ORACLES["profile_groups"] = dirty(
-    f""", cells AS ({_GROUP_CELLS}),
-copies AS (SELECT priority, sum(k - 1) AS d FROM (
-  SELECT priority, count(*) AS k FROM dirty_orders GROUP BY {", ".join(ORDER_COLUMNS)})
-  GROUP BY priority),
+def _grouped_profile(group: str, columns: list[tuple[str, str]]) -> str:
+    cells = "\nUNION ALL\n".join(
+        f"""SELECT {group} AS g, {str(t != "string").lower()} AS typed, count(*) AS n,
+          count(*) - count({c}) AS missing, count(DISTINCT {c}) AS uniq
+        FROM dirty_orders GROUP BY {group}"""
+        for c, t in columns
+    )
+    cols = len(columns)
+    return dirty(
+        f""", cells AS ({cells}),
+copies AS (SELECT g, sum(k - 1) AS d FROM (
+  SELECT {group} AS g, count(*) AS k FROM dirty_orders GROUP BY {", ".join(ORDER_COLUMNS)})
+  GROUP BY g),
 summed AS (
-  SELECT priority, max(n) AS n, CAST(sum(missing) AS BIGINT) AS m, CAST(max(d) AS BIGINT) AS d,
+  SELECT g, max(n) AS n, CAST(sum(missing) AS BIGINT) AS m, CAST(max(d) AS BIGINT) AS d,
          count(*) FILTER (WHERE typed) / count(*) AS validity,
          1 - count(*) FILTER (WHERE missing = n OR (n > 1 AND uniq <= 1)) / count(*) AS consistency
-  FROM cells JOIN copies USING (priority) GROUP BY priority)
-SELECT priority AS table_name, n AS rows, {len(_GROUP_COLUMNS)} AS cols, d AS duplicate_rows,
-       m AS total_missing, round(1 - m / (n * {len(_GROUP_COLUMNS)}), 4) AS completeness,
-       round(1 - d / n, 4) AS uniqueness,
-       round(100 * (0.40 * (1 - m / (n * {len(_GROUP_COLUMNS)})) + 0.25 * (1 - d / n)
+  FROM cells JOIN copies USING (g) GROUP BY g)
+SELECT g AS table_name, n AS rows, {cols} AS cols, d AS duplicate_rows, m AS total_missing,
+       round(1 - m / (n * {cols}), 4) AS completeness, round(1 - d / n, 4) AS uniqueness,
+       round(100 * (0.40 * (1 - m / (n * {cols})) + 0.25 * (1 - d / n)
                     + 0.20 * consistency + 0.15 * validity), 1) AS quality_score
 FROM summed"""
+    )
+
+
+_TYPED_COLUMNS = list(zip(ORDER_COLUMNS, ORDER_TYPES))
+ORACLES["profile_groups"] = _grouped_profile(
+    "priority", [(c, t) for c, t in _TYPED_COLUMNS if c != "priority"]
 )
+ORACLES["profile_files"] = _grouped_profile("priority[1]", _TYPED_COLUMNS)
 
 # --- Coercion -----------------------------------------------------------------------------------
 

@@ -46,15 +46,19 @@ def read_delimited(
     encoding: str = "utf-8",
     multiline: bool = False,
     header: bool = True,
+    path_column: str | None = None,
 ) -> DataFrame:
     """All columns as text. Short records are padded, long ones dropped, blank lines skipped.
 
     A record with just the right number of fields is taken as it is. Only the odd ones keep their
     raw text, and their fields are counted to tell short from long. Quoted line feeds need
-    ``multiline``, which makes each file one task, as does UTF-16.
+    ``multiline``, which makes each file one task, as does UTF-16. ``path_column`` adds the path of
+    each row's file under that name.
     """
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, _ODD])
     if encoding not in _READABLE:
+        if path_column:
+            raise ValueError(f"path_column is not supported for {encoding}")
         return _read_code_page(spark, path, names, delimiter, encoding, header)
     df = (
         spark.read.schema(schema)
@@ -76,7 +80,9 @@ def read_delimited(
     # The empty piece of the first column keeps that column in the scan: the reader refuses to
     # return raw records alone.
     odd = F.concat_ws("", F.substring(F.col(quoted(names[0])), 1, 0), F.col(_ODD))
-    return df.where(fields_in(odd, delimiter) <= len(names)).drop(_ODD)
+    kept = df.where(fields_in(odd, delimiter) <= len(names))
+    extra = [F.col("_metadata.file_path").alias(path_column)] if path_column else []
+    return kept.select(*(F.col(quoted(n)) for n in names), *extra)
 
 
 def _read_code_page(
@@ -151,6 +157,7 @@ def load_table(
     encoding: str | None = None,
     names: list[str] | None = None,
     first_rows: int | None = None,
+    path_column: str | None = None,
 ) -> LoadedTable:
     """Find out the dialect of the files, read them, and give every column its voted type.
 
@@ -178,9 +185,12 @@ def load_table(
         names = names or next(header)
         source.update({k: dialect[k] for k in ("files", "bytes", "lines")})
     source.update(encoding=encoding, delimiter=delimiter)
-    raw = read_delimited(spark, path, header_names(names), delimiter, encoding, multiline)
+    names = header_names(names)
+    raw = read_delimited(
+        spark, path, names, delimiter, encoding, multiline, path_column=path_column
+    )
     if first_rows is not None:
         raw = raw.limit(first_rows)
     text = normalise_missing(raw)
-    verdicts = vote(text)
+    verdicts = vote(text, names)
     return LoadedTable(apply_verdicts(text, verdicts), verdicts, source)

@@ -188,6 +188,10 @@ def test_breakdown(spark):
         ("b", 5.0, 2), ("a", 1.0, 0), ("n", 0.0, 1),
     ]
     assert [r["k"] for r in analysis.breakdown(df, "k", "r", top=1).collect()] == ["b"]
+    odd = df.toDF("my key.1", "r.1", "u")
+    assert analysis.breakdown(odd, "my key.1", "r.1").count() == 3
+    with pytest.raises(ValueError, match="'k' is not numeric"):
+        analysis.breakdown(df, "k", "k")
 
 
 def test_chart(spark):
