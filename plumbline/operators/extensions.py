@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.analysis import QUARTILES, numeric_summary
@@ -17,7 +17,11 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, in one pass."""
     columns = number_columns(df) if columns is None else columns
     pairs = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(a, b).alias("correlation"))
+        F.struct(
+            F.lit(a).alias("a"),
+            F.lit(b).alias("b"),
+            F.corr(quoted(a), quoted(b)).alias("correlation"),
+        )
         for a, b in combinations(columns, 2)
     ]
     return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
@@ -55,10 +59,8 @@ def growth(df: DataFrame, ts: str, measure: str, by: str) -> DataFrame:
 
     The window runs over months, after the sums, so it is as small as the calendar.
     """
-    from pyspark.sql import Window
-
     monthly = df.groupBy(by, F.date_trunc("month", ts).cast("date").alias("month")).agg(
-        F.sum(measure).alias("total")
+        F.sum(quoted(measure)).alias("total")
     )
     before = F.lag("total").over(Window.partitionBy(by).orderBy("month"))
     return monthly.select(by, "month", "total", (F.col("total") / before - 1).alias("growth"))
