@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, exact_dedup, mixing, sharding
+from plumbline.llm import chat_format, exact_dedup, jaccard_join, mixing, sharding
 from plumbline.llm.common import written
 from plumbline.plans.views import table
 
@@ -28,6 +28,11 @@ def op4_mixing(spark, d):
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op5_jaccard_join(spark, d):
+    return jaccard_join.near_duplicates(table(spark, d, "documents"), k=4, percent=85)
+
+
 @query
 def op6_exact_dedup(spark, d):
     return exact_dedup.exact_duplicates(table(spark, d, "documents"), keep="largest")
