@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm import chat_format, decontaminate, exact_dedup, jaccard_join, mixing, sharding, token_store
+from plumbline.llm import (
+    chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, quality, sharding, token_store,
+)
 from plumbline.llm.common import written
 from plumbline.plans.views import table
 from plumbline.session import scratch_path
@@ -18,6 +20,11 @@ def query(f):
     return f
 
 
+@query
+def op2_html_extract(spark, d):
+    return html_extract.extract(table(spark, d, "pages"))
+
+
 @query
 def op3_sharding(spark, d):
     return sharding.shard_documents(table(spark, d, "documents"), 40)
@@ -65,6 +72,14 @@ def op7_token_store(spark, d):
     return token_store.read_tokens(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+@query
+def op9_quality(spark, d):
+    documents = table(spark, d, "documents")
+    model = quality.fit_quality(documents, table(spark, d, "labels"))
+    scored = quality.with_quality(documents.select("doc_id", "text"), model, threshold=0.3)
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 @query
 def op10_decontaminate(spark, d):
     hits = decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"), window=10)
