@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import types
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ROW_BITS = 33
 
 
+def process_state() -> dict:
+    """What this Python process keeps from task to task; task code itself arrives anew with every task."""
+    name = "_plumbline_process_state"
+    return sys.modules.setdefault(name, types.ModuleType(name)).__dict__
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z and nothing else; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.llm import (
-    chat_format, decontaminate, exact_dedup, html_extract, jaccard_join, mixing, quality, sharding, token_store,
+    chat_format,
+    decontaminate,
+    exact_dedup,
+    html_extract,
+    jaccard_join,
+    line_dedup,
+    mixing,
+    quality,
+    sharding,
+    token_store,
 )
 from plumbline.llm.common import written
 from plumbline.plans.views import table
@@ -20,6 +29,11 @@ def query(f):
     return f
 
 
+@query
+def op1_line_dedup(spark, d):
+    return line_dedup.deduplicate_lines(table(spark, d, "documents"), threshold=2, least=24)
+
+
 @query
 def op2_html_extract(spark, d):
     return html_extract.extract(table(spark, d, "pages"))

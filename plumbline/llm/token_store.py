@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import partition_offsets
+from plumbline.llm.common import partition_offsets, process_state
 
 # The format (fixed values): selector -> (ids in a word, bits of an id). 60 bits hold ids.
 WIDTHS = {1: (60, 1), 2: (30, 2), 3: (20, 3), 4: (15, 4), 5: (12, 5), 6: (10, 6), 7: (8, 7), 8: (7, 8),
@@ -31,7 +31,6 @@ BLOCK_IDS = 1 << 16
 CACHE_WORDS = 600_000
 
 _MARK = "\x01"
-_cache: dict[str, tuple] = {}
 
 
 def encode(ids: np.ndarray) -> np.ndarray:
@@ -156,9 +155,10 @@ class _Both(dict):
 
 
 def encoder(path: str) -> _Encoder:
-    if path not in _cache:
-        _cache[path] = _Encoder(path)
-    return _cache[path]
+    kept = process_state()
+    if path not in kept:
+        kept[path] = _Encoder(path)
+    return kept[path]
 
 
 BLOCK_SCHEMA = (

@@ -12,11 +12,12 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
+from plumbline.llm.common import process_state
+
 SLICE = 1 << 20
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -29,13 +30,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def _power_table(base: int, n: int) -> np.ndarray:
-    table = _powers.get(base)
+    tables = process_state()
+    table = tables.get(f"powers-{base}")
     if table is None or len(table) < n:
         size = max(n, SLICE + 1)
         table = np.full(size, base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
-        _powers[base] = table
+        tables[f"powers-{base}"] = table
     return table[:n]
 
 
@@ -74,12 +76,22 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.nda
         row = end
 
 
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """Polynomial sums of all beginnings of ``data``, one longer than it."""
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data)), out=sums[1:])
+    return sums
+
+
+def inverse_powers(n: int) -> np.ndarray:
+    """What a difference of prefix sums is multiplied with, by its first place, to forget the place."""
+    return _power_table(_INVERSE, n)
+
+
 def hash_pieces(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of every byte range [start, end)."""
-    n = len(data)
-    sums = np.zeros(n + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, n), out=sums[1:])
-    rolled = (sums[end] - sums[start]) * _power_table(_INVERSE, n + 1)[start]
+    """Hash of every range [start, end) of bytes or code points."""
+    sums = prefix_sums(data)
+    rolled = (sums[end] - sums[start]) * inverse_powers(len(data) + 1)[start]
     return mix(rolled + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
