@@ -108,6 +108,15 @@ def components(links: DataFrame) -> DataFrame:
     return nodes
 
 
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Most that multisets can share, from their uint8 counts by group along the last axis.
+
+    Counts stop at 255. Where both have stopped, nothing is known and the bound is out of reach.
+    """
+    least = np.minimum(a, b)
+    return np.where((least == 255).any(axis=-1), np.int64(1) << 40, least.sum(axis=-1, dtype=np.int64))
+
+
 def rtree_pairs(points_a, sizes_a, points_b, sizes_b, need) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs (i, j) whose overlap can reach ``need(size, size)``.
 
@@ -128,13 +137,13 @@ def rtree_pairs(points_a, sizes_a, points_b, sizes_b, need) -> tuple[np.ndarray,
     order_b, starts_b, corner_b, least_b = pack(points_b, sizes_b)
     left, right = [], []
     for leaf, start in enumerate(starts_a):
-        bound = np.minimum(corner_a[leaf], corner_b).sum(axis=1)
+        bound = overlap_bound(corner_a[leaf], corner_b)
         opened = np.flatnonzero(bound >= need(least_a[leaf], least_b))
         if not len(opened):
             continue
         mine = order_a[start : start + LEAF]
         theirs = np.concatenate([order_b[starts_b[k] : starts_b[k] + LEAF] for k in opened])
-        overlap = np.minimum(points_a[mine][:, None, :], points_b[theirs][None, :, :]).sum(axis=2)
+        overlap = overlap_bound(points_a[mine][:, None, :], points_b[theirs][None, :, :])
         i, j = np.nonzero(overlap >= need(sizes_a[mine][:, None], sizes_b[theirs][None, :]))
         left.append(mine[i])
         right.append(theirs[j])
@@ -183,7 +192,7 @@ def _open_pairs(members: DataFrame, points: DataFrame, groups: int, need: Callab
 
         for batch in batches:
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in names[:-1]}
-            flat = np.frombuffer(b"".join(batch.column("point").to_pylist()), dtype=np.int32)
+            flat = np.frombuffer(b"".join(batch.column("point").to_pylist()), dtype=np.uint8)
             rows["point"] = flat.reshape(-1, groups)
             held = {c: np.concatenate([held[c], rows[c]]) for c in names} if held else rows
             change = (np.diff(held["key"]) != 0) | (np.diff(held["i"]) != 0) | (np.diff(held["j"]) != 0)
@@ -208,7 +217,7 @@ def linked_classes(
     """(node, root) of all nodes that are linked with another.
 
     ``members`` (key, node): any two linked nodes share a key. ``points`` (node, size, point): a row per
-    node, ``point`` being ``groups`` little-endian int32 counts. ``need(size, size)`` bounds the overlap
+    node, ``point`` being ``groups`` bytes, each a count that stops at 255. ``need(size, size)`` bounds the overlap
     of linked nodes from below and does not fall with the sizes. ``verify`` keeps the true ones of
     candidate pairs (a, b).
     """

@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bitmap import bitmap_of, maybe_in
 from plumbline.llm.common import written
-from plumbline.llm.graph import linked_classes
+from plumbline.llm.graph import linked_classes, overlap_bound
 from plumbline.llm.wordhash import NOT_SPACE, mix, ngrams, words_of
 
-#: Groups of a point.
-GROUPS = 32
+#: Groups of a point: enough that sets just below the threshold rarely pass the bound.
+GROUPS = 256
 #: 64-bit hashes of sets and shingles stand for them; two differing ones agree with odds of 2**-64.
 
 _SMALL = np.uint64(0x51ED270B)
@@ -97,8 +97,8 @@ def _signatures(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     point.append(None), keys.append(None)
                     continue
                 seen.add(own)
-                counts = np.bincount((hashes >> np.uint64(59)).astype(np.int64), minlength=GROUPS)
-                point.append(counts.astype(np.int32).tobytes())
+                counts = np.bincount((hashes >> np.uint64(56)).astype(np.int64), minlength=GROUPS)
+                point.append(np.minimum(counts, 255).astype(np.uint8).tobytes())
                 keys.append(_filed_keys(hashes, percent).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -175,11 +175,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             if not batch.num_rows:
                 continue
             p_a, p_b = (
-                np.frombuffer(b"".join(batch.column(f"p_{c}").to_pylist()), dtype=np.int32).reshape(-1, GROUPS)
+                np.frombuffer(b"".join(batch.column(f"p_{c}").to_pylist()), dtype=np.uint8).reshape(-1, GROUPS)
                 for c in "ab"
             )
             n_a, n_b = (batch.column(f"n_{c}").to_numpy(zero_copy_only=False) for c in "ab")
-            good = np.minimum(p_a, p_b).sum(axis=1) >= need(n_a, n_b)
+            good = overlap_bound(p_a, p_b) >= need(n_a, n_b)
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in "ab"], ["a", "b"])
 
     roots = linked_classes(members, points, GROUPS, need, verify)

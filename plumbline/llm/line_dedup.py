@@ -20,7 +20,7 @@ from plumbline.llm.graph import linked_classes
 from plumbline.llm.wordhash import SLICE, hash_pieces, inverse_powers, mix, prefix_sums
 
 #: Groups that the characters of a line are counted in.
-GROUPS = 16
+GROUPS = 32
 #: Cells of code points that are compared at a time.
 CELLS = 1 << 21
 
@@ -204,12 +204,12 @@ def _arrow(kind) -> pa.DataType:
 
 
 def _counts(points: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[bytes]:
-    """Characters of each line by group, as int32 counts."""
+    """Characters of each line by group, as bytes that stop at 255."""
     size = end - start
     line = np.repeat(np.arange(len(size)), size)
     inside = np.arange(len(line)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)
     counts = np.bincount(line * GROUPS + points[inside] % GROUPS, minlength=len(size) * GROUPS)
-    return [row.tobytes() for row in counts.reshape(-1, GROUPS).astype(np.int32)]
+    return [row.tobytes() for row in np.minimum(counts, 255).reshape(-1, GROUPS).astype(np.uint8)]
 
 
 def _texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
