@@ -68,8 +68,10 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         taken[i] += more
         free[i] -= more
         rest -= more * int(lengths[i])
-    rest_fit = min(rest, KNAPSACK)
-    taken += _knapsack(lengths, free, rest_fit)
+    taken += _knapsack(lengths, free, min(rest, KNAPSACK))
+    if budget <= KNAPSACK and int((lengths * taken).sum()) < budget:
+        # few documents: the proportional part may stand in the way of a closer sum
+        return max(taken, _knapsack(lengths, counts, budget), key=lambda t: int((lengths * t).sum()))
     return taken
 
 
