@@ -3,8 +3,9 @@
 Members of a bucket may be linked. First every bucket proposes its members against its smallest one
 only; proposals are verified and their components formed. A bucket whose members now all belong to one
 component has nothing more to tell. In the others, pairs from different components are found through
-an R-tree over count vectors, block by block, and verified as well. So no link between components is
-missed, work within a component is linear, and no task holds more than two blocks of a bucket.
+an R-tree over count vectors, block by block: first every member's most promising partner alone, which
+joins most of what belongs together, then, between what is still apart, all of them. So no link between
+components is missed, work within a component is linear, and no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -117,15 +118,15 @@ def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where((least == 255).any(axis=-1), np.int64(1) << 40, least.sum(axis=-1, dtype=np.int64))
 
 
-def rtree_pairs(points_a, sizes_a, points_b, sizes_b, need) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j) whose overlap can reach ``need(size, size)``.
+def rtree_pairs(points_a, sizes_a, points_b, sizes_b, need) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index pairs (i, j) whose overlap can reach ``need(size, size)``, and by how much it can exceed it.
 
     The overlap of two multisets is at most the sum of the smaller of their counts, group by group. Both
     sides are packed into leaves by size and largest group; a leaf is bounded by its corner of maxima
     and its smallest size, and only leaves whose bound suffices are opened.
     """
     if not len(points_a) or not len(points_b):
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return (np.zeros(0, dtype=np.int64),) * 3
 
     def pack(points, sizes):
         order = np.lexsort((points.argmax(axis=1), sizes))
@@ -135,7 +136,7 @@ def rtree_pairs(points_a, sizes_a, points_b, sizes_b, need) -> tuple[np.ndarray,
 
     order_a, starts_a, corner_a, least_a = pack(points_a, sizes_a)
     order_b, starts_b, corner_b, least_b = pack(points_b, sizes_b)
-    left, right = [], []
+    left, right, over = [], [], []
     for leaf, start in enumerate(starts_a):
         bound = overlap_bound(corner_a[leaf], corner_b)
         opened = np.flatnonzero(bound >= need(least_a[leaf], least_b))
@@ -144,16 +145,28 @@ def rtree_pairs(points_a, sizes_a, points_b, sizes_b, need) -> tuple[np.ndarray,
         mine = order_a[start : start + LEAF]
         theirs = np.concatenate([order_b[starts_b[k] : starts_b[k] + LEAF] for k in opened])
         overlap = overlap_bound(points_a[mine][:, None, :], points_b[theirs][None, :, :])
-        i, j = np.nonzero(overlap >= need(sizes_a[mine][:, None], sizes_b[theirs][None, :]))
+        spare = overlap - need(sizes_a[mine][:, None], sizes_b[theirs][None, :])
+        i, j = np.nonzero(spare >= 0)
         left.append(mine[i])
         right.append(theirs[j])
+        over.append(spare[i, j])
     if not left:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    return np.concatenate(left), np.concatenate(right)
+        return (np.zeros(0, dtype=np.int64),) * 3
+    return np.concatenate(left), np.concatenate(right), np.concatenate(over)
 
 
-def _open_pairs(members: DataFrame, points: DataFrame, groups: int, need: Callable) -> DataFrame:
-    """(a, b): pairs of different roots in the buckets of (key, node, center, root, n)."""
+def _most_promising(a: np.ndarray, b: np.ndarray, over: np.ndarray) -> np.ndarray:
+    """Numbers of the pairs that are the best of one of their two ends."""
+    order = np.lexsort((b, a, -over))
+    firsts = [order[np.unique(side[order], return_index=True)[1]] for side in (a, b)]
+    return np.unique(np.concatenate(firsts))
+
+
+def _open_pairs(members: DataFrame, points: DataFrame, groups: int, need: Callable, best: bool) -> DataFrame:
+    """(a, b): pairs of different roots in the buckets of (key, node, center, root, n).
+
+    With ``best``, only every member's most promising pair of each two blocks.
+    """
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     pairs = F.transform(
@@ -173,13 +186,17 @@ def _open_pairs(members: DataFrame, points: DataFrame, groups: int, need: Callab
         i, j = group["i"][0], group["j"][0]
         rows_a = np.flatnonzero(own == i)
         rows_b = rows_a if i == j else np.flatnonzero(own == j)
-        x, y = rtree_pairs(point[rows_a], size[rows_a], point[rows_b], size[rows_b], need)
+        x, y, over = rtree_pairs(point[rows_a], size[rows_a], point[rows_b], size[rows_b], need)
         a, b = rows_a[x], rows_b[y]
         center = group["center"][0]
         good = (root[a] != root[b]) & (node[a] != center) & (node[b] != center)
         if i == j:
             good &= node[a] < node[b]
-        return np.minimum(node[a], node[b])[good], np.maximum(node[a], node[b])[good]
+        a, b = node[a][good], node[b][good]
+        if best and len(a):
+            chosen = _most_promising(a, b, over[good])
+            a, b = a[chosen], b[chosen]
+        return np.minimum(a, b), np.maximum(a, b)
 
     def join_groups(batches):
         held: dict[str, np.ndarray] = {}
@@ -226,17 +243,21 @@ def linked_classes(
     star = live.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
     links = written(verify(written(star, "star")), "links")
     roots = components(links)
-    labelled = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_keys = (
-        labelled.groupBy("key")
-        .agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
-        .filter("n > 2 AND low < high")
-        .select("key", "n")
-    )
-    rest = written(labelled.join(open_keys, "key"), "open")
-    if rest.isEmpty():
-        return roots
-    more = written(_open_pairs(rest, points.select("node", size, "point"), groups, need), "more")
-    if more.isEmpty():
-        return roots
-    return components(links.union(verify(more)))
+    points = points.select("node", size, "point")
+    for best in (True, False):
+        labelled = live.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        open_keys = (
+            labelled.groupBy("key")
+            .agg(F.count("*").alias("n"), F.min("root").alias("low"), F.max("root").alias("high"))
+            .filter("n > 2 AND low < high")
+            .select("key", "n")
+        )
+        rest = written(labelled.join(open_keys, "key"), "open")
+        if rest.isEmpty():
+            return roots
+        more = written(_open_pairs(rest, points, groups, need, best), "more")
+        if more.isEmpty():
+            return roots
+        links = written(links.union(verify(more)), "links")
+        roots = components(links)
+    return roots

@@ -75,10 +75,11 @@ def test_rtree_pairs_are_those_within_the_bound():
     def need(a, b):
         return (a + b) * 45 // 100
 
-    i, j = graph.rtree_pairs(points[:90], sizes[:90], points[90:], sizes[90:], need)
+    i, j, over = graph.rtree_pairs(points[:90], sizes[:90], points[90:], sizes[90:], need)
     bound = graph.overlap_bound(points[:90, None], points[None, 90:])
     want = np.nonzero(bound >= need(sizes[:90, None], sizes[None, 90:]))
     assert set(zip(i.tolist(), j.tolist())) == set(zip(*(w.tolist() for w in want)))
+    assert (over == bound[i, j] - need(sizes[:90][i], sizes[90:][j])).all()
 
 
 def test_open_buckets_are_joined_block_by_block(spark, monkeypatch):
