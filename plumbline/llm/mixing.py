@@ -142,7 +142,9 @@ def mix(
         rows = rows[rows["size"] > 0].sort_values("size")
         size = int(rows["source_size"].iloc[0]) if len(rows) else 0
         if not size:
-            return pd.DataFrame({"source_key": [], "size": [], "passes": [], "chosen": []})
+            return pd.DataFrame(
+                {c: pd.Series(dtype="int64" if c != "source_key" else "object") for c in ("source_key", "size", "passes", "chosen")}
+            )
         target = round(float(rows["target"].iloc[0]))
         passes = min(limit, target // size)
         chosen = fit_budget(

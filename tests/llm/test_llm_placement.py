@@ -84,7 +84,7 @@ def test_mix(spark, sf_dir):
         assert r.target == pytest.approx(targets[texts[r.doc_id][1]])
         taken[texts[r.doc_id][1]] += r.taken
     for s in sources:
-        assert abs(taken[s] - targets[s]) <= max(2, 0.01 * targets[s])  # sources of ten documents
+        assert abs(taken[s] - targets[s]) <= max(2, 0.02 * targets[s])  # sources of ten documents
     again = queries.QUERIES["op4_mixing"](spark, sf_dir).collect()
     assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
 
@@ -93,8 +93,8 @@ def test_mix_of_odd_tables(spark):
     docs = documents(spark, [None, "", "a b", "a b", "c"], ids=[1, 2, 3, 3, None], sources=[None, "x", "x", "x", None])
     rows = mixing.mix(docs).collect()
     assert sorted(r["size"] for r in rows) == [0, 0, 1, 2, 2]
-    assert {(r["source"], r["source_size"], r["target"]) for r in rows} == {("x", 4, 3.5714285714285716), (None, 1, 1.4285714285714286)} or all(
-        r["taken"] <= 3 * r["size"] for r in rows
-    )
+    targets = {r["source"]: (r["source_size"], round(r["target"], 6)) for r in rows}
+    assert targets == {"x": (4, 3.571429), None: (1, 1.428571)}
+    assert sum(r["taken"] for r in rows if r["source"] is None) == 1
     assert mixing.mix(documents(spark, [])).collect() == []
     assert {r["taken"] for r in mixing.mix(documents(spark, ["", None])).collect()} == {0}
