@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The knapsack runs over budgets up to so many words; larger rests are filled greedily down to it.
 KNAPSACK = 1 << 16
 
-_CHOICE = "source_key string, size long, passes long, chosen long"
+_CHOICE = "source_key string, size long, chosen long"
 
 
 def word_count(text: Column) -> Column:
@@ -49,7 +49,7 @@ def water_fill(sizes: Sequence[int], weights: Sequence[float], limit: float) ->
 
 
 def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many of each length to take, so that the words come as near below ``budget`` as they can.
+    """How many of each length to take, so that the words come near ``budget``.
 
     At most ``counts`` of each; lengths are positive and distinct, sum(lengths * counts) > budget.
     """
@@ -69,34 +69,35 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         free[i] -= more
         rest -= more * int(lengths[i])
     taken += _knapsack(lengths, free, min(rest, KNAPSACK))
-    if budget <= KNAPSACK and int((lengths * taken).sum()) < budget:
-        # few documents: the proportional part may stand in the way of a closer sum
-        return max(taken, _knapsack(lengths, counts, budget), key=lambda t: int((lengths * t).sum()))
     return taken
 
 
 def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack by dynamic programming: the largest reachable sum up to ``budget``."""
-    reach = np.zeros(budget + 1, dtype=bool)
+    """Bounded knapsack by dynamic programming: the reachable sum nearest to ``budget``, the lower of two."""
+    if budget <= 0 or not len(lengths):
+        return np.zeros(len(lengths), dtype=np.int64)
+    top = budget + min(budget, int(lengths.max()))
+    reach = np.zeros(top + 1, dtype=bool)
     reach[0] = True
-    via = np.full(budget + 1, -1, dtype=np.int64)
+    via = np.full(top + 1, -1, dtype=np.int64)
     steps: list[tuple[int, int]] = []
     for i in np.argsort(-lengths, kind="stable"):
-        length, left, power = int(lengths[i]), int(free[i]), 1
-        left = min(left, budget // length)
+        length, power = int(lengths[i]), 1
+        left = min(int(free[i]), top // length)
         while left > 0 and not reach[budget]:
             n = min(power, left)
             left -= n
             power *= 2
             w = n * length
-            new = reach[: budget + 1 - w] & ~reach[w:]
+            new = reach[: top + 1 - w] & ~reach[w:]
             via[w:][new] = len(steps)
             reach[w:] |= new
             steps.append((int(i), n))
         if reach[budget]:
             break
     out = np.zeros(len(lengths), dtype=np.int64)
-    at = int(np.flatnonzero(reach)[-1])
+    sums = np.flatnonzero(reach)
+    at = int(sums[np.argmin(np.abs(sums - budget))])
     while at > 0:
         i, n = steps[via[at]]
         out[i] += n
@@ -104,6 +105,26 @@ def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
     return out
 
 
+def fit_source(lengths: np.ndarray, counts: np.ndarray, target: int, limit: int) -> np.ndarray:
+    """How often documents of each length are taken in all, at most ``limit`` times each.
+
+    Whole passes first, then a subset for the rest. Where few documents make no subset that comes near,
+    and the target is within the knapsack, documents may be repeated unevenly to come nearer.
+    """
+    total = int((lengths * counts).sum())
+    passes = min(limit, target // total)
+    taken = passes * counts
+    if passes < limit:
+        taken = taken + fit_budget(lengths, counts, target - passes * total)
+
+    def miss(t):
+        return abs(int((lengths * t).sum()) - target)
+
+    if target <= KNAPSACK and 1000 * miss(taken) > target:
+        taken = min(taken, _knapsack(lengths, limit * counts, target), key=miss)
+    return taken
+
+
 def mix(
     docs: DataFrame,
     weights: Sequence[float] = (5, 2, 1),
@@ -143,27 +164,24 @@ def mix(
         size = int(rows["source_size"].iloc[0]) if len(rows) else 0
         if not size:
             return pd.DataFrame(
-                {c: pd.Series(dtype="int64" if c != "source_key" else "object") for c in ("source_key", "size", "passes", "chosen")}
+                {c: pd.Series(dtype="int64" if c != "source_key" else "object") for c in ("source_key", "size", "chosen")}
             )
-        target = round(float(rows["target"].iloc[0]))
-        passes = min(limit, target // size)
-        chosen = fit_budget(
-            rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), target - passes * size
-        ) if passes < limit else np.zeros(len(rows), dtype=np.int64)
-        return pd.DataFrame(
-            {"source_key": key[0], "size": rows["size"], "passes": passes, "chosen": chosen}
+        chosen = fit_source(
+            rows["size"].to_numpy(np.int64), rows["n"].to_numpy(np.int64), round(float(rows["target"].iloc[0])), limit
         )
+        return pd.DataFrame({"source_key": key[0], "size": rows["size"], "chosen": chosen})
 
     choice = (
         lengths.join(F.broadcast(plan), "source_key")
         .groupBy("source_key")
         .applyInPandas(choose, _CHOICE)
     )
-    starts = lengths.select("source_key", "size", "first_position").join(
+    starts = lengths.select("source_key", "size", "first_position", "n").join(
         choice, ["source_key", "size"], "left"
     )
     rank = F.col("position") - F.col("first_position")
-    copies = F.coalesce(F.col("passes") + (rank < F.col("chosen")).cast("long"), F.lit(0))
+    each, rest = F.expr("chosen div n"), F.col("chosen") % F.col("n")
+    copies = F.coalesce(each + (rank < rest).cast("long"), F.lit(0))
     return (
         placed.join(starts, ["source_key", "size"])
         .join(F.broadcast(plan), "source_key")
