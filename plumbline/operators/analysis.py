@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import fixed
-from plumbline.operators.coercion import number_columns, quoted
+from plumbline.operators.coercion import number_columns, quoted, without_nan
 from plumbline.operators.profile import column_missing
 from plumbline.operators.quantiles import exact_quantiles
 
@@ -88,16 +88,18 @@ def breakdown(
 ) -> DataFrame:
     """Sum of ``measure`` per key, largest first; ``units`` is summed alongside and truncated.
 
-    Rows without a key are left out, and a key with only missing values sums to zero. Equal sums
+    Rows without a key are left out, NaN counts as missing, and a key with only missing values sums
+    to zero. Units beyond a bigint are null. Equal sums
     are ordered by key. Partial sums are combined before the shuffle, so hot keys do no harm.
     """
     for name in (measure, units):
         if name and not isinstance(df.schema[name].dataType, T.NumericType):
             raise ValueError(f"Column '{name}' is not numeric.")
-    measure, units = quoted(measure), units and quoted(units)
-    columns = [F.coalesce(F.sum(measure), F.lit(0)).cast("double").alias("total")]
+    amount = F.sum(without_nan(df, measure))
+    columns = [F.coalesce(amount, F.lit(0)).cast("double").alias("total")]
     if units:
-        columns.append(F.coalesce(F.sum(units), F.lit(0)).cast("bigint").alias("units"))
+        pieces = F.coalesce(F.sum(without_nan(df, units)), F.lit(0))
+        columns.append(pieces.try_cast("bigint").alias("units"))
     out = (
         df.where(F.col(quoted(key)).isNotNull())
         .groupBy(quoted(key))
@@ -125,7 +127,7 @@ def chart_series(df: DataFrame, x: str, y: str, kind: str = "bar") -> DataFrame:
     if not isinstance(df.schema[y].dataType, T.NumericType):
         raise ValueError(f"Column '{y}' is not numeric.")
     grouped = df.groupBy(F.col(quoted(x)).alias("x")).agg(
-        F.sum(quoted(y)).alias("s"), F.count("*").alias("n")
+        F.sum(without_nan(df, y)).alias("s"), F.count("*").alias("n")
     )
     repeats = F.col("most") > 1
     most = grouped.agg(F.max("n").alias("most"))
@@ -204,9 +206,9 @@ def joined_breakdown(
     Facts are summed per join key before the join, so a key with a third of all facts reaches the
     join as one row.
     """
-    sums = [F.sum(measure).alias("__measure")]
+    sums = [F.sum(without_nan(facts, measure)).alias("__measure")]
     if units:
-        sums.append(F.sum(units).alias("__units"))
+        sums.append(F.sum(without_nan(facts, units)).alias("__units"))
     totals = (
         facts.where(F.col(fact_key).isNotNull())
         .groupBy(F.col(fact_key).alias("__key"))

@@ -18,6 +18,14 @@ def text_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
 
 
+def without_nan(df: DataFrame, column: str) -> Column:
+    """The column with NaN as null: a measure that is not a number is missing."""
+    c = F.col(quoted(column))
+    if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c), c)
+    return c
+
+
 def number_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema if isinstance(f.dataType, T.NumericType)]
 

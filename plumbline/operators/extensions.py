@@ -9,13 +9,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.analysis import QUARTILES, numeric_summary
-from plumbline.operators.coercion import number_columns, quoted
+from plumbline.operators.coercion import number_columns, quoted, without_nan
 from plumbline.operators.quantiles import exact_quantiles
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, in one pass."""
+    """Pearson correlation of every pair of numeric columns, in one pass.
+
+    A pair uses the rows where both values are numbers. With fewer than two columns there are no pairs.
+    """
     columns = number_columns(df) if columns is None else columns
+    if len(columns) < 2:
+        return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
+    df = df.select(*(without_nan(df, c).alias(c) for c in columns))
     pairs = [
         F.struct(
             F.lit(a).alias("a"),
@@ -28,8 +34,11 @@ def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
-    """Rows per equal-width bin between minimum and maximum; the maximum is in the last bin."""
-    value = F.col(quoted(column)).cast("double")
+    """Rows per equal-width bin between minimum and maximum; the maximum is in the last bin.
+
+    Nulls and NaN are in no bin.
+    """
+    value = without_nan(df, column).cast("double")
     span = df.agg(F.struct(F.min(value).alias("low"), F.max(value).alias("high")).alias("span"))
     low, high = F.col("span")["low"], F.col("span")["high"]
     bin_no = F.when(high == low, F.lit(0)).otherwise(
@@ -50,68 +59,71 @@ def outliers(df: DataFrame, column: str, reach: float = 1.5) -> DataFrame:
     if q1 is None:
         return df.limit(0)
     width = reach * (q3 - q1)
-    c = F.col(quoted(column))
+    c = without_nan(df, column)
     return df.where((c < q1 - width) | (c > q3 + width))
 
 
 def growth(df: DataFrame, ts: str, measure: str, by: str) -> DataFrame:
-    """Monthly totals with their change against the month before, per ``by``.
+    """Monthly totals with their change against the calendar month before, per ``by``.
 
-    The window runs over months, after the sums, so it is as small as the calendar.
+    There is no change where that month has no rows or a total of zero. The window runs over months,
+    after the sums, so it is as small as the calendar.
     """
     monthly = df.groupBy(by, F.date_trunc("month", ts).cast("date").alias("month")).agg(
-        F.sum(quoted(measure)).alias("total")
+        F.sum(without_nan(df, measure)).alias("total")
     )
-    before = F.lag("total").over(Window.partitionBy(by).orderBy("month"))
-    return monthly.select(by, "month", "total", (F.col("total") / before - 1).alias("growth"))
+    in_order = Window.partitionBy(by).orderBy("month")
+    adjacent = F.lag("month").over(in_order) == F.add_months("month", -1)
+    before = F.when(adjacent, F.lag("total").over(in_order))
+    change = F.try_divide(F.col("total"), before) - 1
+    return monthly.select(by, "month", "total", change.alias("growth"))
 
 
 def key_overlap(columns: dict[str, DataFrame]) -> DataFrame:
     """How far the distinct values of one column are found in another, for every pair.
 
-    Each distinct value is reduced to a bit set of the columns that hold it. Counting equal bit
-    sets leaves a table as small as the schema, and pairs are formed there, never among values.
+    Each distinct value is reduced to the set of the columns that hold it. Counting equal sets leaves
+    a table of few rows, and pairs are formed there, never among values.
     """
     names = list(columns)
-    if len(names) > 62:
-        raise ValueError("at most 62 columns can be compared in one call")
     held = reduce(
         DataFrame.unionByName,
         (
             df.select(
                 F.col(quoted(df.columns[0])).cast("string").alias("v"),
-                F.lit(1 << i).cast("bigint").alias("bit"),
+                F.lit(i).alias("column_no"),
             )
             for i, df in enumerate(columns.values())
         ),
     ).where(F.col("v").isNotNull())
     sets = (
         held.groupBy("v")
-        .agg(F.bit_or("bit").alias("held"))
+        .agg(F.array_sort(F.collect_set("column_no")).alias("held"))
         .groupBy("held")
         .agg(F.count("*").alias("n"))
     )
-
-    def having(mask: int):
-        return F.coalesce(
-            F.sum(F.when(F.col("held").bitwiseAND(F.lit(mask).cast("bigint")) == mask, F.col("n"))),
-            F.lit(0),
-        )
-
-    pairs = [
-        F.struct(
-            F.lit(a).alias("left_column"),
-            F.lit(b).alias("right_column"),
-            having(1 << i).alias("left_values"),
-            having(1 << i | 1 << j).alias("shared_values"),
-        )
-        for i, a in enumerate(names)
-        for j, b in enumerate(names)
-        if i != j
-    ]
+    shared = (
+        sets.select("n", F.explode("held").alias("i"), "held")
+        .select("n", "i", F.explode("held").alias("j"))
+        .groupBy("i", "j")
+        .agg(F.sum("n").alias("shared"))
+    )
+    spark = next(iter(columns.values())).sparkSession
+    numbers = spark.createDataFrame(list(enumerate(names)), "no int, name string")
+    left = numbers.select(F.col("no").alias("i"), F.col("name").alias("left_column"))
+    right = numbers.select(F.col("no").alias("j"), F.col("name").alias("right_column"))
+    own = shared.where("i = j").select("i", F.col("shared").alias("left_values"))
+    # One row per pair of columns: as many as the answer has.
+    pairs = left.join(right, F.col("i") != F.col("j"))
     return (
-        sets.agg(F.array(*pairs).alias("p"))
-        .select(F.inline("p"))
+        pairs.join(own, "i", "left")
+        .join(shared, ["i", "j"], "left")
+        .select(
+            "left_column",
+            "right_column",
+            F.coalesce("left_values", F.lit(0)).alias("left_values"),
+            F.coalesce("shared", F.lit(0)).alias("shared_values"),
+        )
         .withColumn("overlap", F.col("shared_values") / F.greatest("left_values", F.lit(1)))
     )
 

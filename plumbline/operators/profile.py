@@ -23,18 +23,22 @@ _META = "table_name string, position int, name string, dtype string"
 
 
 _LONG = 100
+_MARK = "\0"
 
 
 def _as_text(field: T.StructField) -> Column:
     """The value as a text to be counted.
 
     A long text is counted by its SHA-256 digest, so that a column of documents shuffles digests
-    and not documents. The mark in front keeps digests apart from texts that look like one.
+    and not documents. A digest has a mark in front, and so has a short text that begins with the
+    mark, with another letter behind: no text is taken for a digest.
     """
     c = F.col(quoted(field.name))
     if isinstance(field.dataType, T.StringType):
-        digest = F.concat(F.lit("\0"), F.sha2(c, 256))
-        return F.when(F.octet_length(c) > _LONG, digest).otherwise(c)
+        digest = F.concat(F.lit(_MARK + "d"), F.sha2(c, 256))
+        marked = F.concat(F.lit(_MARK + "t"), c)
+        short = F.when(F.startswith(c, F.lit(_MARK)), marked).otherwise(c)
+        return F.when(F.octet_length(c) > _LONG, digest).otherwise(short)
     if isinstance(field.dataType, (T.DoubleType, T.FloatType)):
         c = F.when(c == 0, F.lit(0.0)).when(~F.isnan(c), c)
     elif isinstance(field.dataType, T.BinaryType):
@@ -290,45 +294,30 @@ def summary_cards(profile: DataFrame) -> DataFrame:
 
 
 def column_samples(
-    df: DataFrame, order_by: list[str] | None = None, n: int = 3, look: int = 20
+    df: DataFrame, order_by: list[str] | None = None, n: int = 3
 ) -> DataFrame:
-    """The first ``n`` present values of every column, in the order of ``order_by``.
+    """The first ``n`` present values of every column, by ``order_by`` and then by value.
 
     Without ``order_by`` it is the order of the scan, which for one file is the order of its lines.
-
-    The first ``look`` rows, a top-n scan, serve all columns that have enough values there. Only
-    the sparse columns that are left need a second scan, of their present cells alone, where every
-    task keeps its first n per column.
+    One scan serves all columns: every task keeps its first n cells per column before the shuffle.
     """
-    spark = df.sparkSession
     fields = [(i, f.name) for i, f in enumerate(df.schema)]
     key = F.monotonically_increasing_id()
     if order_by:
         key = F.struct(*(F.col(quoted(k)) for k in order_by))
+    places = [str(i) for i, _ in fields]
     wide = df.select(
         key.alias("k"), *(F.col(quoted(name)).cast("string").alias(str(i)) for i, name in fields)
     )
-    head = wide.orderBy("k").limit(look).collect()
-    firsts, sparse = [], []
-    for i, name in fields:
-        present = sorted((row["k"], row[str(i)]) for row in head if row[str(i)] is not None)
-        if len(present) >= n:
-            firsts.append((i, [value for _, value in present[:n]]))
-        else:
-            sparse.append(str(i))
-    samples = spark.createDataFrame(firsts, "position int, sample array<string>")
-    if sparse:
-        in_order = Window.partitionBy("position").orderBy("k", "value")
-        rest = (
-            wide.select("k", *sparse)
-            .unpivot(["k"], sparse, "position", "value")
-            .where(F.col("value").isNotNull())
-            .withColumn("rank", F.row_number().over(in_order))
-            .where(F.col("rank") <= n)
-            .groupBy(F.col("position").cast("int").alias("position"))
-            # At most n values per column arrive here.
-            .agg(F.array_sort(F.collect_list(F.struct("rank", "value")))["value"].alias("sample"))
-        )
-        samples = samples.unionByName(rest)
+    in_order = Window.partitionBy("position").orderBy("k", "value")
+    samples = (
+        wide.unpivot(["k"], places, "position", "value")
+        .where(F.col("value").isNotNull())
+        .withColumn("rank", F.row_number().over(in_order))
+        .where(F.col("rank") <= n)
+        .groupBy(F.col("position").cast("int").alias("position"))
+        # At most n values per column arrive here.
+        .agg(F.array_sort(F.collect_list(F.struct("rank", "value")))["value"].alias("sample"))
+    )
     names = F.array(*(F.lit(name) for _, name in fields))
     return samples.select("position", F.get(names, F.col("position")).alias("name"), "sample")

@@ -162,7 +162,7 @@ def quality_report_markdown(
 
 
 def _two_places(c: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", c), F.lit("nan"))
+    return F.when(c.isNull(), F.lit("nan")).otherwise(F.format_string("%.2f", c))
 
 
 def analysis_report_lines(

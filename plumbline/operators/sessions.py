@@ -18,7 +18,7 @@ def latest_values(
 
     The latest set and the last clear are both plain maxima, combined before the shuffle. They
     meet only afterwards, when a session has one row per key left, so a hot session is small by
-    then. A key lives if its latest set is later than the last clear.
+    then. A key lives if its latest set is later than the last clear. Null is a session like any other.
     """
     is_clear = F.coalesce(clears, F.lit(False))
     live = (
@@ -28,19 +28,23 @@ def latest_values(
     )
     cleared = (
         log.where(is_clear)
-        .groupBy(F.col(session).alias("session"))
+        .groupBy(F.col(session).alias("cleared_session"))
         .agg(F.max(seq).alias("cleared_at"))
     )
     return (
-        live.join(cleared, "session", "left")
+        live.join(cleared, F.col("session").eqNullSafe(F.col("cleared_session")), "left")
         .where(F.col("cleared_at").isNull() | (F.col("seq") > F.col("cleared_at")))
         .select("session", "key", "value", "seq")
     )
 
 
 def state_documents(latest: DataFrame) -> DataFrame:
-    """One JSON object per session. A session has one row per key here, whatever the log held."""
-    entries = F.array_sort(F.collect_list(F.struct("key", "value")))
+    """One JSON object per session. A session has one row per key here, whatever the log held.
+
+    A null key has no place in an object and is left out.
+    """
+    named = F.when(F.col("key").isNotNull(), F.struct("key", "value"))
+    entries = F.array_sort(F.collect_list(named))
     return latest.groupBy("session").agg(
         F.to_json(F.map_from_entries(entries)).alias("memory")
     )

@@ -49,8 +49,13 @@ def recorded_events(
         .orderBy(seq)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
+    carried = carried.select(
+        F.col(session).alias("__session"), F.col("__block").alias("__at"), "__carried", "__cleared"
+    )
+    # Null is a session like any other.
+    same = F.col(session).eqNullSafe(F.col("__session")) & F.col("__block").eqNullSafe(F.col("__at"))
     return (
-        rows.join(carried, [session, "__block"])
+        rows.join(carried, same)
         .withColumn(
             "__on",
             F.coalesce(

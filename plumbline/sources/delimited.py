@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import codecs
 import csv
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,15 +24,26 @@ from plumbline.operators.coercion import (
 from plumbline.sources import sniff as sniffing
 
 _ODD = "__odd_record"
+# Encodings that Spark's own reader knows, by their normal names.
 _READABLE = {
     "utf-8": "UTF-8",
     "utf-8-sig": "UTF-8",
     "ascii": "UTF-8",
     "utf-16": "UTF-16",
-    "iso-8859-1": "ISO-8859-1",
+    "iso8859-1": "ISO-8859-1",
 }
 
 
+def normal_encoding(name: str) -> str:
+    """The normal name of an encoding, however it is spelt; an unknown one is a LookupError."""
+    return codecs.lookup(name).name
+
+
+def _readable_path(path: str) -> str:
+    """The path of a file as the scan reports it, in the form the reader takes."""
+    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
+
+
 def fields_in(record: Column, delimiter: str) -> Column:
     """Number of fields of a raw record; delimiters inside quoted fields do not count."""
     d = re.escape(delimiter)
@@ -56,9 +69,12 @@ def read_delimited(
     each row's file under that name.
     """
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, _ODD])
+    encoding = normal_encoding(encoding)
     if encoding not in _READABLE:
-        if path_column:
-            raise ValueError(f"path_column is not supported for {encoding}")
+        if path_column or multiline:
+            raise ValueError(f"path_column and multiline are not supported for {encoding}")
+        if len("\n".encode(encoding)) != 1:
+            raise ValueError(f"{encoding} does not end lines with one byte; convert the files first")
         return _read_code_page(spark, path, names, delimiter, encoding, header)
     df = (
         spark.read.schema(schema)
@@ -96,16 +112,27 @@ def _read_code_page(
     """Files in a code page that Spark's reader does not know, decoded line by line in Python.
 
     The lines come as raw bytes from the splittable text source and are taken apart by Spark. Line
-    feeds inside quotes are not supported here, and a line equal to the header is taken for one.
+    feeds inside quotes are not supported here. The header is the first line of each file: the first
+    batch of a piece that begins a file has it at its head.
     """
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun = None
         for batch in batches:
-            lines = [v.decode(encoding, "replace") for v in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], names=["line"])
+            lines, heads = [], []
+            for value, path, at in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                lines.append(value.decode(encoding, "replace"))
+                heads.append(header and at == 0 and (path, at) != begun)
+                begun = (path, at)
+            columns = [pa.array(lines, pa.string()), pa.array(heads, pa.bool_())]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", "is_header"])
 
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
-    lines = raw.select(F.col("value").cast("binary")).mapInArrow(decode, "line string")
+    block = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
+    decoded = raw.select(F.col("value").cast("binary"), *block).mapInArrow(
+        decode, "line string, is_header boolean"
+    )
+    lines = decoded.where(~F.col("is_header"))
     line = F.col("line")
     schema = ", ".join(f"{quoted(n)} string" for n in names)
     options = {
@@ -116,23 +143,9 @@ def _read_code_page(
         "ignoreTrailingWhiteSpace": "false",
     }
     if header:
-        in_first_block = raw.where(F.col("_metadata.file_block_start") == 0)
-        heads = (
-            in_first_block.select(
-                F.col("_metadata.file_path").alias("path"),
-                F.monotonically_increasing_id().alias("at"),
-                F.col("value").cast("binary").alias("value"),
-            )
-            .groupBy("path")
-            .agg(F.min_by("value", "at").alias("value"))
-            .select("value")
-            .distinct()
-            .mapInArrow(decode, "line string")
-            .take(2)
-        )
+        heads = decoded.where("is_header").select("line").distinct().take(2)
         if len(heads) > 1:
-            raise ValueError(f"The files do not share one header: {heads}")
-        lines = lines.where(~line.isin([row["line"] for row in heads]))
+            raise ValueError(f"The files do not share one header: {[h['line'] for h in heads]}")
     return (
         lines.where((F.trim(line) != "") & (fields_in(line, delimiter) <= len(names)))
         .select(F.from_csv(line, schema, options).alias("r"))
@@ -158,18 +171,27 @@ def load_table(
     names: list[str] | None = None,
     first_rows: int | None = None,
     path_column: str | None = None,
+    header: bool = True,
 ) -> LoadedTable:
     """Find out the dialect of the files, read them, and give every column its voted type.
 
-    All rows are read and vote. ``first_rows`` asks for that many rows instead. Where delimiter,
-    encoding and names are all given, the pass that finds them out is left out.
+    All rows are read and vote. ``first_rows`` asks for that many rows instead. Files whose quotes do
+    not pair up line by line are read record by record, each as one task; the others stay splittable.
+    ``header=False`` takes the first line for data; then give ``names``, else columns are numbered.
+    Where delimiter, encoding and names are all given, the pass that finds the dialect out is left out,
+    and ``multiline`` has to say whether records span lines.
     """
     source = {"sampled": first_rows is not None}
+    across, by_line = [], []
     if not (delimiter and encoding and names):
         filled = sniffing.sniff(spark, path).where(F.col("header").isNotNull())
         found = sniffing.dialects(filled).take(2)
         if not found:
             raise ValueError(f"No readable file at {path}")
+        if len(found) > 1 and not header:
+            # First lines of data differ; one of them tells how many columns there are.
+            whole = sniffing.dialects(filled.withColumn("header", F.lit(found[0]["header"])))
+            found = whole.take(1)
         if len(found) > 1:
             raise ValueError(
                 "The files do not share one header and delimiter; load each kind by itself: "
@@ -179,16 +201,25 @@ def load_table(
         delimiter = delimiter or dialect["delimiter"]
         encoding = encoding or dialect["encoding"]
         first_line = dialect["header"]
+        encoding = normal_encoding(encoding)
         if encoding not in _READABLE and dialect["encoding"] == "iso-8859-1":
             first_line = first_line.encode("iso-8859-1").decode(encoding)
-        header = csv.reader([first_line], delimiter=delimiter, skipinitialspace=True)
-        names = names or next(header)
+        fields = next(csv.reader([first_line], delimiter=delimiter, skipinitialspace=True))
+        names = names or (fields if header else [f"column_{i + 1}" for i in range(len(fields))])
+        if encoding in _READABLE and not multiline:
+            across, by_line = ([_readable_path(p) for p in dialect[c]] for c in ("across_lines", "by_line"))
         source.update({k: dialect[k] for k in ("files", "bytes", "lines")})
     source.update(encoding=encoding, delimiter=delimiter)
     names = header_names(names)
-    raw = read_delimited(
-        spark, path, names, delimiter, encoding, multiline, path_column=path_column
-    )
+    options = {"header": header, "path_column": path_column}
+    if across:
+        raw = read_delimited(spark, across, names, delimiter, encoding, True, **options)
+        if by_line:
+            raw = raw.unionByName(
+                read_delimited(spark, by_line, names, delimiter, encoding, False, **options)
+            )
+    else:
+        raw = read_delimited(spark, path, names, delimiter, encoding, multiline, **options)
     if first_rows is not None:
         raw = raw.limit(first_rows)
     text = normalise_missing(raw)

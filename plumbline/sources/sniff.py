@@ -70,18 +70,13 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-_MANY_FILES = 200_000
-
-
 def _first_lines(spark: SparkSession, path: str | list[str], per_file: DataFrame) -> DataFrame:
     """The bytes of the first filled line of each file, picked out of a second scan by number.
 
-    Carrying the text through the first aggregate would make Spark sort all lines. The wanted
-    numbers, one per file, are broadcast while they are few.
+    Carrying the text through the first aggregate would make Spark sort all lines. Spark broadcasts
+    the wanted numbers, one per file, where their size allows.
     """
     wanted = per_file.select("path", "at")
-    if per_file.count() <= _MANY_FILES:
-        wanted = F.broadcast(wanted)
     raw = F.col("value").cast("binary").alias("raw")
     lines = _lines(spark, path).where("in_first_block").select("path", "at", raw)
     return lines.join(wanted, ["path", "at"])
@@ -93,6 +88,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
     The delimiter is the candidate whose most frequent non-zero count per line covers most lines;
     ties go to the higher count, then to the order of the candidates. Comma serves where none
     occurs, and tab wherever the file name says so. The first line is null in a blank file.
+    ``quoted_feeds`` tells files with lines whose quotes do not pair up: their records may span lines.
 
     The counts of a line are its key in the first aggregate, so lines of the same shape are one row
     before the shuffle, whatever the size of their file.
@@ -113,6 +109,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
             "path",
             "bytes",
             F.is_valid_utf8("value").cast("int").alias("valid"),
+            (F.regexp_count("value", F.lit('"')) % 2).cast("bigint").alias("odd"),
             (F.octet_length("value") + 1).cast("bigint").alias("seen"),
             F.when(F.col("in_first_block") & F.col("filled"), F.col("at")).alias("at"),
             *shapes,
@@ -122,6 +119,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.count("*").alias("lines"),
             F.max("bytes").alias("bytes"),
             F.sum("seen").alias("seen"),
+            F.sum("odd").alias("odd"),
             F.min("valid").alias("valid"),
             F.min("at").alias("at"),
         )
@@ -137,6 +135,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.sum("lines").alias("lines"),
             F.max("bytes").alias("bytes"),
             F.sum("seen").alias("seen"),
+            F.sum("odd").alias("odd"),
             F.min("valid").alias("valid"),
             F.min("at").alias("at"),
         )
@@ -145,6 +144,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.sum("lines").alias("lines"),
             F.max("bytes").alias("bytes"),
             F.sum("seen").alias("seen"),
+            F.sum("odd").alias("odd"),
             F.min("valid").alias("valid"),
             F.min("at").alias("at"),
             F.coalesce(F.max(F.when(used, F.col("lines"))), F.lit(0)).alias("agreeing"),
@@ -160,6 +160,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
             F.max("bytes").alias("bytes"),
             F.max("lines").alias("lines"),
             F.max("seen").alias("seen"),
+            F.max("odd").alias("odd"),
             F.min("valid").alias("valid"),
             F.min("at").alias("at"),
             F.max_by("rank", best).alias("winner"),
@@ -187,6 +188,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
             "encoding",
             "delimiter",
             _text(F.col("raw"), F.col("encoding")).alias("header"),
+            (F.col("odd") > 0).alias("quoted_feeds"),
         )
     )
 
@@ -196,18 +198,23 @@ def dialects(sniffed: DataFrame) -> DataFrame:
 
     A folder of part files is one table, so its files decide together: one byte-order mark, or one
     byte that is not UTF-8, settles the encoding, and most lines settle the delimiter.
+    ``across_lines`` has the paths of the files with quoted line feeds, ``by_line`` those of the others.
     """
     marked = F.max(F.when(F.col("encoding").isin("utf-8-sig", "utf-16"), F.col("encoding")))
     latin = F.max(F.when(F.col("encoding") == "iso-8859-1", F.col("encoding")))
     sums = [F.sum(c).alias(c) for c in ("files", "bytes", "lines")]
+    across = F.collect_list(F.when(F.col("quoted_feeds"), F.col("path")))
+    others = F.collect_list(F.when(~F.col("quoted_feeds"), F.col("path")))
     return (
         sniffed.withColumn("files", F.lit(1))
         .groupBy("header", "delimiter")
-        .agg(marked.alias("marked"), latin.alias("latin"), *sums)
+        .agg(marked.alias("marked"), latin.alias("latin"), across.alias("across_lines"), others.alias("by_line"), *sums)
         .groupBy("header")
         .agg(
             F.coalesce(F.max("marked"), F.max("latin"), F.lit("utf-8")).alias("encoding"),
             F.max_by("delimiter", F.struct("lines", "delimiter")).alias("delimiter"),
+            F.flatten(F.collect_list("across_lines")).alias("across_lines"),
+            F.flatten(F.collect_list("by_line")).alias("by_line"),
             *sums,
         )
     )
