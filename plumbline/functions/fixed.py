@@ -138,6 +138,8 @@ TRACE_ICONS = {
     "error": "[ERR]",
 }
 OTHER_ICON = "*"
+TRACE_TITLE = "AGENT EXECUTION TRACE"
+TRACE_RULE = "=" * 60
 
 # File endings admitted for analysis and for the quality report.
 ANALYSIS_ENDINGS = (".csv", ".xlsx", ".xls")

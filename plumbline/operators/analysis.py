@@ -84,7 +84,12 @@ def missing_alert(df: DataFrame) -> DataFrame:
 
 
 def breakdown(
-    df: DataFrame, key: str, measure: str, units: str | None = None, top: int | None = None
+    df: DataFrame,
+    key: str,
+    measure: str,
+    units: str | None = None,
+    top: int | None = None,
+    ordered: bool = True,
 ) -> DataFrame:
     """Sum of ``measure`` per key, largest first; ``units`` is summed alongside and truncated.
 
@@ -100,12 +105,10 @@ def breakdown(
     if units:
         pieces = F.coalesce(F.sum(without_nan(df, units)), F.lit(0))
         columns.append(pieces.try_cast("bigint").alias("units"))
-    out = (
-        df.where(F.col(quoted(key)).isNotNull())
-        .groupBy(quoted(key))
-        .agg(*columns)
-        .orderBy(F.desc("total"), quoted(key))
-    )
+    out = df.where(F.col(quoted(key)).isNotNull()).groupBy(quoted(key)).agg(*columns)
+    if not ordered:
+        return out
+    out = out.orderBy(F.desc("total"), quoted(key))
     return out.limit(top) if top else out
 
 
@@ -130,7 +133,8 @@ def chart_series(df: DataFrame, x: str, y: str, kind: str = "bar") -> DataFrame:
         F.sum(without_nan(df, y)).alias("s"), F.count("*").alias("n")
     )
     repeats = F.col("most") > 1
-    most = grouped.agg(F.max("n").alias("most"))
+    # The sum is kept in the maximum, so that both readings of ``grouped`` share one shuffle.
+    most = grouped.agg(F.max(F.struct("n", "s"))["n"].alias("most"))
     return (
         grouped.withColumn("most", most.scalar())
         .where(~repeats | F.col("x").isNotNull())
@@ -176,18 +180,13 @@ def analysis_report(
     for section, key in (("product", product), ("region", region)):
         if key in df.columns and revenue in df.columns:
             extra = units if units in df.columns else None
-            totals = breakdown(df, key, revenue, extra)
-            parts.append(
-                totals.select(
-                    *_item(section, F.concat(key, F.lit(".revenue")), F.col("total"))
-                )
-            )
-            if extra:
-                parts.append(
-                    totals.select(
-                        *_item(section, F.concat(key, F.lit(".units")), F.col("units"))
-                    )
-                )
+            totals = breakdown(df, key, revenue, extra, ordered=False)
+            shown = {".revenue": "total", **({".units": "units"} if extra else {})}
+            items = [
+                F.struct(*_item(section, F.concat(key, F.lit(ending)), F.col(c)))
+                for ending, c in shown.items()
+            ]
+            parts.append(totals.select(F.inline(F.array(*items))))
     return reduce(DataFrame.unionByName, parts)
 
 

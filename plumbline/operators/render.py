@@ -171,9 +171,11 @@ def analysis_report_lines(
     region: str = "Region",
     revenue: str = "Revenue",
     units: str | None = "Units",
+    file: str | None = None,
 ) -> DataFrame:
     """The analysis report as text lines, ordered by (block, place, -amount, line).
 
+    ``file`` is the name that the report gives for the table's source.
     Breakdowns have a line per group and may be long, so lines are never gathered into one cell.
     """
     spark = df.sparkSession
@@ -204,7 +206,7 @@ def analysis_report_lines(
     totals = missing.agg(F.sum("missing").alias("total"), listed.alias("listed"))
     types = ", ".join(f"'{n}': '{t}'" for n, t in df.dtypes)
     parts = [
-        fixed_lines(0, fixed.ANALYSIS_TITLE, "=" * 18),
+        fixed_lines(0, fixed.ANALYSIS_TITLE, "=" * 18, *([f"File: {file}"] if file else [])),
         df.agg(F.count("*").alias("n")).select(
             *line(1, 0, F.concat(F.lit("Rows: "), count("n")))
         ),
@@ -255,7 +257,7 @@ def analysis_report_lines(
             sold = F.concat(sold, F.lit(", "), F.col("units").cast("string"), F.lit(" units"))
         parts.append(fixed_lines(7 + 2 * k, "", title, "-" * 30))
         parts.append(
-            breakdown(df, key, revenue, extra).select(*line(8 + 2 * k, 0, sold, F.col("total")))
+            breakdown(df, key, revenue, extra, ordered=False).select(*line(8 + 2 * k, 0, sold, F.col("total")))
         )
     parts.append(fixed_lines(11, "", "DATA QUALITY FLAGS", "-" * 18))
     parts.append(missing_alert(df).select(*line(12, 0, F.col("alert"))))

@@ -103,3 +103,23 @@ def trace_lines(
     )
     lines = F.concat(F.array(F.lit(""), head, body), extra)
     return events.select(session, seq, F.posexplode(lines).alias("line_no", "line"))
+
+
+def trace_document(lines: DataFrame, session: str, seq: str) -> DataFrame:
+    """The whole printed trace, ordered by (session, part, seq, line_no).
+
+    Part 0 of a session is its title, part 1 has the ``lines`` of its events, part 2 is the closing rule.
+    """
+    rule = fixed.TRACE_RULE
+    frame = F.array(
+        *(
+            F.struct(F.lit(part).alias("part"), F.lit(no).alias("line_no"), F.lit(text).alias("line"))
+            for part, no, text in (
+                (0, 0, rule), (0, 1, fixed.TRACE_TITLE), (0, 2, rule), (2, 0, ""), (2, 1, rule),
+            )
+        )
+    )
+    framed = lines.select(session).distinct().select(session, F.inline(frame))
+    return framed.withColumn(seq, F.lit(None).cast(lines.schema[seq].dataType)).unionByName(
+        lines.withColumn("part", F.lit(1))
+    )

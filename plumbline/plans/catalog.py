@@ -71,6 +71,14 @@ def column_samples(spark, d):
     return samples.select("position", "name", F.array_join("sample", ", ").alias("sample"))
 
 
+@query
+def samples_tied(spark, d):
+    """All rows tie in the order, so the smallest values are the samples."""
+    tied = table(spark, d, "customer").select(F.lit(1).alias("k"), "c_name", "c_mktsegment")
+    samples = profile.column_samples(tied, ["k"])
+    return samples.select("position", "name", F.array_join("sample", ", ").alias("sample"))
+
+
 @query
 def duplicate_rows(spark, d):
     return duplicates.duplicate_rows(clean_orders(spark, d))
@@ -244,7 +252,9 @@ def analysis_report(spark, d):
 @query
 def analysis_report_lines(spark, d):
     df = clean_orders(spark, d).withColumn("amount", F.col("amount").cast(MONEY))
-    lines = render.analysis_report_lines(df, "priority", "status", "amount", "customer")
+    lines = render.analysis_report_lines(
+        df, "priority", "status", "amount", "customer", file="orders.csv"
+    )
     return lines.select("block", "place", "line")
 
 
@@ -473,6 +483,11 @@ def trace_text(spark, d):
     )
 
 
+@query
+def trace_document(spark, d):
+    return trace.trace_document(trace_text(spark, d), "session", "seq")
+
+
 @query
 def export_transcript(spark, d):
     return sessions.transcript_sections(table(spark, d, "conversations"))
@@ -494,6 +509,45 @@ def x_histogram(spark, d):
     return extensions.histogram(table(spark, d, "orders"), "o_totalprice", 20)
 
 
+def _with_gaps(spark, d):
+    """Events whose values are NaN in places and null in others."""
+    value = F.when(views.every("event_id", 5), F.lit(float("nan"))).when(
+        ~views.every("event_id", 7), F.col("value")
+    )
+    return table(spark, d, "events").select("event_id", "event_type", value.alias("value"))
+
+
+@query
+def breakdown_gaps(spark, d):
+    rows = _with_gaps(spark, d)
+    cents = F.when(F.isnan("value"), F.lit(float("nan"))).otherwise(F.floor("value"))
+    return analysis.breakdown(rows.withColumn("value", cents), "event_type", "value")
+
+
+@query
+def x_histogram_gaps(spark, d):
+    return extensions.histogram(_with_gaps(spark, d), "value", 10)
+
+
+@query
+def x_outliers_gaps(spark, d):
+    return extensions.outliers(_with_gaps(spark, d), "value", 0.2).select("event_id", "value")
+
+
+@query
+def session_state_gaps(spark, d):
+    """Sessions and keys that are null in places."""
+    log = table(spark, d, "events").select(
+        F.when(~views.every("user_id", 3), F.col("user_id")).alias("user_id"),
+        "event_id",
+        F.when(~views.every("event_id", 11), F.col("event_type")).alias("event_type"),
+        "props",
+    )
+    clears = views.every("event_id", 50)
+    latest = sessions.latest_values(log, "user_id", "event_id", "event_type", "props", clears)
+    return latest.select("session", "key", "value", "seq")
+
+
 @query
 def x_outliers(spark, d):
     return extensions.outliers(table(spark, d, "events"), "value").select("event_id", "value")
@@ -570,7 +624,27 @@ def profile_files(spark, d):
 def csv_roundtrip(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")
     path = files.write_csv(docs, "documents", quoteAll=True)
-    return delimited.load_table(spark, path, multiline=True).df
+    return delimited.load_table(spark, path).df
+
+
+@query
+def load_headerless(spark, d):
+    customers = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    path = files.write_csv(customers, "customer", sep=";", header=False)
+    return delimited.load_table(spark, path, names=customers.columns, header=False).df
+
+
+@query
+def code_page_rows(spark, d):
+    """Every seventh row repeats the header in a code page that Spark's reader does not know."""
+    header = F.lit("c_name;c_mktsegment")
+    line = F.concat_ws(";", "c_name", "c_mktsegment")
+    written = table(spark, d, "customer").select(F.when(views.every("c_custkey", 7), header).otherwise(line))
+    path = scratch_path(spark, "code-page")
+    written.write.text(path)
+    return delimited.read_delimited(
+        spark, path, ["c_name", "c_mktsegment"], ";", "CP1252", header=False
+    )
 
 
 @query

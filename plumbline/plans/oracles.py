@@ -336,7 +336,8 @@ _SOLD = """'  ' || {0} || ': $'
 ORACLES["analysis_report_lines"] = dirty(
     f""", cells AS ({_column_profile("dirty_orders")})
 SELECT i AS block, k AS place, line FROM (VALUES
-  (0, 0, 'DATA SCOUT REPORT'), (0, 1, repeat('=', 18)), (2, 0, 'Columns: {len(ORDER_COLUMNS)}'),
+  (0, 0, 'DATA SCOUT REPORT'), (0, 1, repeat('=', 18)),
+  (0, 2, 'File: orders.csv'), (2, 0, 'Columns: {len(ORDER_COLUMNS)}'),
   (2, 1, 'Column Names: {", ".join(ORDER_COLUMNS)}'), (2, 2, {literal("Data Types: {" + _TYPE_LIST + "}")}),
   (5, 0, ''), (5, 1, 'NUMERIC SUMMARY'), (5, 2, repeat('-', 15)),
   (7, 0, ''), (7, 1, 'PRODUCT-LEVEL BREAKDOWN'), (7, 2, repeat('-', 30)),
@@ -574,6 +575,12 @@ UNION ALL SELECT session, seq, 1, '[' || strftime(ts, '%H:%M:%S') || '] '
        WHEN 'error' THEN '[ERR]' ELSE '*' END || ' ' || agent_name FROM recorded
 UNION ALL SELECT session, seq, 2, '    ' || upper(event_type) || ': ' || message FROM recorded
 UNION ALL SELECT session, seq, 3, '    * k: ' || detail FROM recorded"""
+ORACLES["trace_document"] = f"""
+SELECT *, 1 AS part FROM ({ORACLES["trace_text"]})
+UNION ALL SELECT session, NULL, k, line, part FROM (
+  SELECT DISTINCT session FROM ({ORACLES["trace_text"]})), (VALUES
+  (0, 0, repeat('=', 60)), (0, 1, 'AGENT EXECUTION TRACE'), (0, 2, repeat('=', 60)),
+  (2, 0, ''), (2, 1, repeat('=', 60))) AS v(part, k, line)"""
 ORACLES["export_transcript"] = """
 SELECT conv_id, turn AS section_no,
   '## ' || CASE role WHEN 'user' THEN 'User' ELSE 'Assistant' END || repeat(chr(10), 2)
@@ -602,10 +609,41 @@ ORACLES["x_growth"] = """
 WITH monthly AS (
   SELECT o_orderpriority, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
          sum(CAST(o_totalprice AS DECIMAL(18,2))) AS total FROM orders GROUP BY 1, 2)
-SELECT o_orderpriority, month, CAST(total AS DOUBLE) AS total,
-       round(CAST(total AS DOUBLE) / CAST(lag(total) OVER (
-         PARTITION BY o_orderpriority ORDER BY month) AS DOUBLE) - 1, 4) AS growth
-FROM monthly"""
+SELECT m.o_orderpriority, m.month, CAST(m.total AS DOUBLE) AS total,
+       round(CAST(m.total AS DOUBLE) / nullif(CAST(b.total AS DOUBLE), 0) - 1, 4) AS growth
+FROM monthly m LEFT JOIN monthly b ON b.o_orderpriority = m.o_orderpriority
+  AND b.month = CAST(m.month - INTERVAL 1 MONTH AS DATE)"""
+ORACLES["samples_tied"] = """
+SELECT 0 AS position, 'k' AS name, '1, 1, 1' AS sample
+UNION ALL SELECT 1, 'c_name', (SELECT string_agg(v, ', ' ORDER BY v)
+  FROM (SELECT c_name AS v FROM customer ORDER BY v LIMIT 3))
+UNION ALL SELECT 2, 'c_mktsegment', (SELECT string_agg(v, ', ' ORDER BY v)
+  FROM (SELECT c_mktsegment AS v FROM customer ORDER BY v LIMIT 3))"""
+_GAPS = "SELECT event_id, event_type, value FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0"
+ORACLES["breakdown_gaps"] = f"""
+SELECT t.event_type, coalesce(sum(floor(g.value)), 0) AS total FROM events t
+LEFT JOIN ({_GAPS}) g ON g.event_id = t.event_id
+GROUP BY t.event_type"""
+ORACLES["x_histogram_gaps"] = f"""
+WITH g AS ({_GAPS}), span AS (SELECT min(value) AS low, max(value) AS high FROM g)
+SELECT CAST(least(floor((value - low) / ((high - low) / 10)), 9) AS BIGINT) AS bin, count(*) AS n
+FROM g, span GROUP BY 1"""
+ORACLES["x_outliers_gaps"] = f"""
+WITH g AS ({_GAPS}), q AS (
+  SELECT quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.75) AS q3 FROM g)
+SELECT event_id, value FROM g, q
+WHERE value < q1 - 0.2 * (q3 - q1) OR value > q3 + 0.2 * (q3 - q1)"""
+ORACLES["session_state_gaps"] = """
+WITH log AS (
+  SELECT CASE WHEN user_id % 3 <> 0 THEN user_id END AS session, event_id AS seq,
+         CASE WHEN event_id % 11 <> 0 THEN event_type END AS key, props AS value,
+         event_id % 50 = 0 AS clear FROM events),
+cleared AS (SELECT session, max(seq) AS at FROM log WHERE clear GROUP BY session),
+live AS (SELECT session, key, arg_max(value, seq) AS value, max(seq) AS seq
+         FROM log WHERE NOT clear GROUP BY session, key)
+SELECT l.session, l.key, l.value, l.seq FROM live l
+LEFT JOIN cleared c ON c.session IS NOT DISTINCT FROM l.session
+WHERE c.at IS NULL OR l.seq > c.at"""
 _KEYS = {
     "orders.o_custkey": ("orders", "o_custkey"),
     "customer.c_custkey": ("customer", "c_custkey"),
@@ -636,6 +674,11 @@ ORACLES["x_recheck"] = "\nUNION ALL\n".join(
 
 ORACLES["load_messy_csv"] = dirty("SELECT * FROM dirty_orders")
 ORACLES["csv_roundtrip"] = "SELECT doc_id, text FROM documents"
+ORACLES["load_headerless"] = "SELECT c_custkey, c_name, c_mktsegment FROM customer"
+ORACLES["code_page_rows"] = """
+SELECT CASE WHEN c_custkey % 7 = 0 THEN 'c_name' ELSE c_name END AS c_name,
+       CASE WHEN c_custkey % 7 = 0 THEN 'c_mktsegment' ELSE c_mktsegment END AS c_mktsegment
+FROM customer"""
 ORACLES["header_normalise"] = """
 SELECT c_custkey, c_custkey AS "c_custkey.1", c_name AS "Unnamed: 2", c_mktsegment FROM customer"""
 ORACLES["ragged_rows"] = """
