@@ -28,7 +28,7 @@ ESCAPE = 14
 BLOCK_IDS = 1 << 16
 
 #: Words that a task remembers with their ids; beyond them words are encoded again.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 1_500_000
 
 _MARK = "\x01"
 
@@ -39,15 +39,22 @@ def encode(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    bits = np.maximum(1, np.ceil(np.log2(ids.astype(np.float64) + 1)).astype(np.int64))
-    bits[(ids >> np.minimum(bits, 63).astype(np.uint64)) > 0] += 1
-    # fits[s][i]: the count of selector s ids from i on all have its width (or the ids end before)
-    best = np.full(n, ESCAPE, dtype=np.int64)
-    step = np.ones(n, dtype=np.int64)
+    bits = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.int8)
+    # a value just below a power of two may have been rounded up to it
+    bits[(ids >> (bits.astype(np.uint64) - np.uint64(1))) == 0] -= 1
+    bits = np.maximum(bits, 1)
+    best = np.full(n, ESCAPE, dtype=np.int8)
+    step = np.ones(n, dtype=np.int8)
+    places = np.arange(n)
     for selector, (count, width) in sorted(WIDTHS.items(), reverse=True):
-        wide = np.concatenate([[0], np.cumsum(bits > width)])
-        end = np.minimum(np.arange(n) + count, n)
-        fits = (wide[end] - wide[:-1] == 0) & (np.arange(n) + count <= n)
+        if count > n:
+            break
+        # the ids from i on fit when the next id that is too wide is at least ``count`` away
+        wide = np.append(np.flatnonzero(bits > width), n)
+        runs = np.diff(wide, prepend=-1)
+        if int(runs.max()) <= count:  # a run counts the id that ends it, too
+            continue
+        fits = np.repeat(wide, runs)[:n] - places >= count
         best[fits], step[fits] = selector, count
     at, starts = 0, []
     steps = step.tolist()
@@ -55,7 +62,7 @@ def encode(ids: np.ndarray) -> np.ndarray:
         starts.append(at)
         at += steps[at]
     starts = np.array(starts)
-    selectors = best[starts]
+    selectors = best[starts].astype(np.int64)
     words = selectors.astype(np.uint64)
     for selector, (count, width) in WIDTHS.items():
         rows = np.flatnonzero(selectors == selector)
@@ -92,9 +99,11 @@ class _Encoder:
     """Encodes texts word by word with the library, remembering words.
 
     The vocabulary's normaliser and splitter treat words between white space apart from each other, so a
-    text's ids are its words' ids in turn. New words go to the library together, set apart by a control
-    character that forms a token of its own. Texts that hold this character or a special token's string
-    are encoded as they are.
+    text's ids are its words' ids in turn. A new word of Latin-1 letters, with a full stop or comma behind
+    or not, goes right to the library's model where a trial shows that the vocabulary lower-cases and
+    keeps such words whole. Other new words go to the library together, set apart by a control character
+    that forms a token of its own. Texts that hold this character or a special token's string are
+    encoded as they are.
     """
 
     def __init__(self, path: str):
@@ -105,6 +114,29 @@ class _Encoder:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         mark = self.library.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        letters = [chr(c) for c in range(256) if chr(c).isalpha()]
+        # the byte-level alphabet: printable Latin-1 stands for itself, the rest is moved behind it
+        shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+        moved = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        spelt = {c: "".join(moved.get(b, chr(b)) for b in c.lower().encode()) for c in letters}
+        self.spelling = str.maketrans(spelt)
+        self.stops = {c: self.plain(c) for c in ".,"}
+        trials = [*letters, "".join(letters), "Abc.", "éÉß,", "naïve", "ÀÖØÞ.", "it.", "ªº"]
+        self.direct = True
+        self.direct = all(self._one(w) == self.plain(w) for w in trials)
+
+    def _one(self, word: str) -> bytes | None:
+        """The ids of a word of Latin-1 letters and perhaps a stop; None for other words."""
+        stem, stop = (word[:-1], self.stops[word[-1]]) if word[-1] in self.stops else (word, b"")
+        if not self.direct or not stem.isalpha():
+            return None
+        if stem.isascii():
+            spelt = stem.lower()
+        elif max(stem) <= "ÿ":
+            spelt = stem.translate(self.spelling)
+        else:
+            return None
+        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(spelt)]) + stop
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -121,37 +153,29 @@ class _Encoder:
         return {w: raw[a:b] for w, a, b in zip(new, starts.tolist(), ends.tolist())}
 
     def encode_texts(self, texts: list[str]) -> list[bytes]:
-        split, new = [], set()
+        known = self.words
+        split, found, new = [], [], set()
         for text in texts:
             if self.mark is None or _MARK in text or any(s in text for s in self.special):
-                split.append(None)
+                split.append(None), found.append([self.plain(text)])
                 continue
             words = text.split()
-            split.append(words)
-            new.update(words)
-        new = [w for w in new if w not in self.words]
-        known = self.words
-        if new:
-            fresh = {}
-            for start in range(0, len(new), 20_000):
-                fresh.update(self._learn(new[start : start + 20_000]))
-            if len(known) + len(fresh) <= CACHE_WORDS:
-                known.update(fresh)
-            else:
-                known = _Both(known, fresh)
-        get = known.__getitem__
-        return [self.plain(t) if w is None else b"".join(map(get, w)) for t, w in zip(texts, split)]
-
-
-class _Both(dict):
-    """Two dictionaries as one, without copying the large one."""
-
-    def __init__(self, known: dict, fresh: dict):
-        super().__init__(fresh)
-        self.known = known
-
-    def __missing__(self, word):
-        return self.known[word]
+            parts = list(map(known.get, words))
+            split.append(words), found.append(parts)
+            if None in parts:
+                new.update(w for w, p in zip(words, parts) if p is None)
+        fresh = {w: ids for w in new if (ids := self._one(w)) is not None}
+        new = [w for w in new if w not in fresh]
+        for start in range(0, len(new), 20_000):
+            fresh.update(self._learn(new[start : start + 20_000]))
+        if len(known) < CACHE_WORDS:
+            known.update(fresh)
+        out = []
+        for words, parts in zip(split, found):
+            if words and None in parts:
+                parts = [fresh[w] if p is None else p for w, p in zip(words, parts)]
+            out.append(b"".join(parts))
+        return out
 
 
 def encoder(path: str) -> _Encoder:
@@ -213,8 +237,11 @@ def _arrow_schema() -> pa.Schema:
                       ("lengths", longs), ("words", pa.binary()), ("n_ids", pa.int64())])
 
 
-def read_tokens(spark, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, ids) of the files of ``write_tokens``; a row per document."""
+def read_tokens(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32, ids) of the files of ``write_tokens``; a row per document.
+
+    All ids are read in any case; ``with_ids=False`` leaves their column out of the result.
+    """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     counts = [(r[0], r[1]) for r in blocks.groupBy("part").agg(F.sum("n_ids")).collect()]
     offsets = partition_offsets(spark, counts).withColumnRenamed("before", "part_before")
@@ -226,18 +253,20 @@ def read_tokens(spark, path: str) -> DataFrame:
                 ends = np.cumsum(row["lengths"])
                 begins = ends - row["lengths"]
                 parts = [ids[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(row["doc_ids"], pa.int64()),
-                        pa.array(begins + row["before"] + row["part_before"], pa.int64()),
-                        pa.array(row["lengths"], pa.int64()),
-                        pa.array([zlib.crc32(p.tobytes()) for p in parts], pa.int64()),
-                        pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                columns = [
+                    pa.array(row["doc_ids"], pa.int64()),
+                    pa.array(begins + row["before"] + row["part_before"], pa.int64()),
+                    pa.array(row["lengths"], pa.int64()),
+                    pa.array([zlib.crc32(p) for p in parts], pa.int64()),
+                ]
+                if with_ids:
+                    bounds = pa.array(np.append(0, ends), pa.int32())
+                    columns.append(pa.ListArray.from_arrays(bounds, pa.array(ids.view(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     joined = blocks.join(F.broadcast(offsets), "part").select(
         "before", "part_before", "doc_ids", "lengths", "words"
     )
-    return joined.mapInArrow(unpack, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
+    names = [field.split()[0] for field in schema.split(", ")]
+    return joined.mapInArrow(unpack, schema)
