@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bitmap import bitmap_of, maybe_in
-from plumbline.llm.common import LOWER, UPPER, written
+from plumbline.llm.common import LOWER, TEXT_BATCH, UPPER, written
 from plumbline.llm.wordhash import ALPHANUMERIC, mix, ngrams, words_of
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -132,7 +132,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Da
     signed = docs.select("doc_id", "text").mapInArrow(
         sign, f"doc_id {kind}, text string, n_words long, fps array<long>"
     )
-    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "bench-docs")
+    signed = written(signed.withColumn("row", F.monotonically_increasing_id()), "bench-docs", TEXT_BATCH)
     met = (
         signed.select("row", F.explode("fps").alias("fp"))
         .join(prints, "fp")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bitmap import bitmap_of, maybe_in
-from plumbline.llm.common import written
+from plumbline.llm.common import TEXT_BATCH, written
 from plumbline.llm.graph import linked_classes, overlap_bound
 from plumbline.llm.wordhash import NOT_SPACE, mix, ngrams, words_of
 
@@ -152,7 +152,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     share a component through their equal sets. An empty table gives no rows; other columns are not
     looked at.
     """
-    signed = written(_signatures(docs, k, percent), "signatures")
+    signed = written(_signatures(docs, k, percent), "signatures", TEXT_BATCH)
     members = signed.select("node", F.explode("keys").alias("key"))
     points = signed.filter("point IS NOT NULL").dropDuplicates(["node"]).select("node", "size", "point")
 
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         bounded = pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(bound, "a long, b long")
         bounded = written(bounded, "bounded")
         nodes = bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        sets = written(_sets_of(docs, written(nodes, "nodes"), signed, k), "sets")
+        sets = written(_sets_of(docs, written(nodes, "nodes"), signed, k), "sets", TEXT_BATCH)
         ends = [sets.select(F.col("node").alias(c), F.col("shingles").alias(f"s_{c}")) for c in "ab"]
         both = F.size(F.array_intersect("s_a", "s_b"))
         union = F.size("s_a") + F.size("s_b") - both

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.bitmap import bitmap_of, maybe_in
-from plumbline.llm.common import written
+from plumbline.llm.common import TEXT_BATCH, written
 from plumbline.llm.graph import linked_classes
 from plumbline.llm.wordhash import SLICE, hash_pieces, inverse_powers, mix, prefix_sums
 
@@ -244,7 +244,7 @@ def deduplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> D
     """
     if not 0 < threshold < 31 or least <= 2 * threshold:
         raise ValueError("the threshold is 1 to 30 edits, and lines have to be over twice as long")
-    signed = written(_signatures(docs, threshold, least), "lines")
+    signed = written(_signatures(docs, threshold, least), "lines", TEXT_BATCH)
     filed = signed.filter("node IS NOT NULL")
     members = filed.select("node", F.explode("keys").alias("key"))
     points = filed.dropDuplicates(["node"]).select("node", "size", "point")
@@ -260,7 +260,7 @@ def deduplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> D
 
     def verify(pairs: DataFrame) -> DataFrame:
         nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "line-nodes")
-        texts = written(_texts_of(docs, nodes), "line-texts")
+        texts = written(_texts_of(docs, nodes), "line-texts", TEXT_BATCH)
         ends = [texts.select(F.col("node").alias(c), F.col("line").alias(f"l_{c}")) for c in "ab"]
         met = pairs.join(ends[0], "a").join(ends[1], "b")
         near = F.abs(F.length("l_a") - F.length("l_b")) <= threshold

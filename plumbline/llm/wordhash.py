@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from plumbline.llm.common import process_state
 
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
