@@ -40,26 +40,28 @@ HEADINGS = "h1 h2 h3 h4 h5 h6"
 # Words in class, id and role that tell what an element is for.
 BOILERPLATE_NAMES = (
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary "
-    "consent contentinfo cookie cookies disclaimer disqus footer gdpr hidden masthead menu modal nav navbar "
-    "navigation newsletter notice notices pagination popup promo promoted promotion recommended related reply "
-    "replies respond search share sharing sidebar signup social sponsor sponsored subscribe teaser toolbar tags "
-    "topbar widget alert"
+    "consent contentinfo cookie cookies copyright disclaimer discussion disqus footer gdpr hidden login masthead "
+    "menu modal nav navbar navigation newsletter notice notices overlay pagination popup promo promoted promotion "
+    "recommended related reply replies respond responses search share sharing sidebar signin signup skip social "
+    "sponsor sponsored subscribe teaser toc toolbar tags topbar widget alert"
 )
+# Outside of articles alone.
+PAGE_NAMES = "header"
 CONTENT_NAMES = "article content entry main post story body text"
 # Log odds of content that mark-up is worth, and capacities of the edges.
 BOILERPLATE_ODDS, CONTENT_ODDS, NAME_ODDS, TEXT_LIMIT = -8.0, 3.0, 1.5, 2.0
 NEXT_EDGE, SIBLING_EDGE = 0.6, 0.3
 
-_UNREAD, _VOID, _BLOCKS, _BOILERPLATE, _CONTENT, _HEADINGS, _BAD, _GOOD = (
+_UNREAD, _VOID, _BLOCKS, _BOILERPLATE, _CONTENT, _HEADINGS, _BAD, _PAGE, _GOOD = (
     frozenset(s.split())
-    for s in (UNREAD, VOID, BLOCKS, BOILERPLATE, CONTENT, HEADINGS, BOILERPLATE_NAMES, CONTENT_NAMES)
+    for s in (UNREAD, VOID, BLOCKS, BOILERPLATE, CONTENT, HEADINGS, BOILERPLATE_NAMES, PAGE_NAMES, CONTENT_NAMES)
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
-_WORD = re.compile(r"[a-z]+")
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that an opening of the same kind closes, with what they cannot reach beyond.
 _CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 _WALLS = frozenset("ul ol dl table div section article aside main body nav footer header form blockquote".split())
@@ -149,8 +151,10 @@ def _opened(name: str, number: int, attributes: str, above: tuple) -> tuple:
     elif name in _CONTENT and certain >= 0:
         odds, certain = CONTENT_ODDS, 1
     if attributes.strip() and name not in ("html", "body"):
-        names = {w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())}
-        if names & _BAD and name not in _CONTENT or _HIDDEN.search(attributes):
+        said = (m[1] or m[2] or m[3] or "" for m in _NAMES.finditer(attributes))
+        names = {w.lower() for value in said for w in _WORD.findall(value)}
+        bad = names & _BAD or certain <= 0 and names & _PAGE
+        if bad and name not in _CONTENT or _HIDDEN.search(attributes):
             odds = min(odds, 0.0) + BOILERPLATE_ODDS if odds > BOILERPLATE_ODDS else odds
             certain = 0 if certain > 0 else certain
         elif names & _GOOD and odds > BOILERPLATE_ODDS / 2:

@@ -42,6 +42,7 @@ def test_pages(spark, sf_dir):
         ("<header>no</header><nav>no</nav><article><header><h1>T</h1></header>x</article><footer>no</footer>", "T\n\nx"),
         ("<article><form>no<input></form><script>if (a < b) '</p>'</script><p>x</p><style>p{}</style></article>", "x"),
         ("<article><p>a < b and c > d</p><!-- no --><p hidden>no</p></article>", "a < b and c > d"),
+        ("<div class='siteHeader'>no</div><article><div class=header>T</div><p>x</p><p class=adBox>no</p></article>", "T\n\nx"),
         ("<article><ul><li>i<li>j</ul><table><tr><td>k<td>l</table></article>", "i\n\nj\n\nk\n\nl"),
         ("<article><p>open <b>bold<p>next</article></b></p><div id=cookie-notice>no</div>", "open bold\n\nnext"),
     ],
