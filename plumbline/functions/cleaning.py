@@ -12,7 +12,12 @@ _INFINITY = r"(?i)^\s*[+-]?inf(inity)?\s*$"
 _INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 
 # How a text of any date layout starts.
-DATE_START = r"^[0-9]{1,4}[-/][0-9]{1,2}[-/][0-9]"
+DATE_START = r"^([0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]|[0-9]{1,2}[- ][A-Za-z]{3}|[A-Za-z]{3,9}\.?[- ][0-9])"
+
+# The months, by the letters that tell them apart.
+MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
+_MONTH = "((?:" + "|".join(MONTHS) + r")[A-Za-z]{0,6})\.?"
+_CLOCK = r"([0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?)"
 
 # Date layouts: name, pattern of the whole text, rewrite to year-month-day. One layout serves a
 # whole column. Earlier ones win ties, so month comes before day where both would do.
@@ -20,7 +25,7 @@ DATE_LAYOUTS = (
     ("iso", r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})$", "$1-$2-$3"),
     (
         "iso_time",
-        r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})[ T]([0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)$",
+        r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})[ T]([0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?)[0-9]{0,3}$",
         "$1-$2-$3 $4",
     ),
     ("ymd_slash", r"^([0-9]{4})/([0-9]{1,2})/([0-9]{1,2})$", "$1-$2-$3"),
@@ -38,6 +43,20 @@ DATE_LAYOUTS = (
         r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) ([0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)$",
         "$3-$2-$1 $4",
     ),
+    ("dmy_dot", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "$3-$2-$1"),
+    ("dmy_dot_time", rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}) {_CLOCK}$", "$3-$2-$1 $4"),
+    # A clock of twelve hours keeps its half of the day, and a zone its offset, for later.
+    ("mdy_slash_half", rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}) {_CLOCK} ?([AaPp])[Mm]$", "$3-$1-$2 $4|$5"),
+    ("dmy_slash_half", rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}) {_CLOCK} ?([AaPp])[Mm]$", "$3-$2-$1 $4|$5"),
+    (
+        "iso_zone",
+        r"^([0-9]{4})-([0-9]{1,2})-([0-9]{1,2})[ T]([0-9]{1,2}:[0-9]{2}(?::[0-9]{2}(?:\.[0-9]{1,6})?)?)"
+        r"[0-9]{0,3} ?(?:[Zz]|([+-][0-9]{2}):?([0-9]{2}))$",
+        "$1-$2-$3 $4|$5|$6",
+    ),
+    # Month names, in either order, with or without a time.
+    ("dmy_name", rf"(?i)^([0-9]{{1,2}})[- ]{_MONTH}[- ,]+([0-9]{{4}})(?: {_CLOCK})?$", "$3-$2-$1 $4"),
+    ("mdy_name", rf"(?i)^{_MONTH}[- ]([0-9]{{1,2}}),?[- ]([0-9]{{4}})(?:,? {_CLOCK})?$", "$3-$1-$2 $4"),
 )
 
 
@@ -92,11 +111,46 @@ def to_timestamp(text: Column, layout: str) -> Column:
     daylight saving skips somewhere is not lost.
     """
     pattern, rewrite = next((p, r) for name, p, r in DATE_LAYOUTS if name == layout)
-    return F.when(
-        text.rlike(pattern), F.regexp_replace(text, pattern, rewrite).try_cast("timestamp_ntz")
+    plain = F.regexp_replace(text, pattern, rewrite)
+    if layout.endswith("_name"):
+        plain = _month_to_number(plain)
+    if layout.endswith("_half"):
+        stamp = _with_half_day(plain)
+    elif layout.endswith("_zone"):
+        stamp = _without_zone(plain)
+    else:
+        stamp = F.rtrim(plain).try_cast("timestamp_ntz")
+    return F.when(text.rlike(pattern), stamp)
+
+
+def _month_to_number(plain: Column) -> Column:
+    """Year, month by name, day and time as a standard text."""
+    name = F.lower(F.regexp_extract(plain, "-([A-Za-z]+)-", 1))
+    numbers = F.create_map(*(F.lit(v) for i, m in enumerate(MONTHS, 1) for v in (m, str(i))))
+    number = F.element_at(numbers, F.substring(name, 1, 3))
+    return F.concat_ws(
+        "-", F.substring_index(plain, "-", 1), number, F.regexp_extract(plain, "-[A-Za-z]+-(.*)$", 1)
     )
 
 
+def _with_half_day(plain: Column) -> Column:
+    """Noon is 12 PM, midnight 12 AM; hours beyond 12 are none of this clock."""
+    stamp = F.substring_index(plain, "|", 1).try_cast("timestamp_ntz")
+    later = F.lower(F.substring_index(plain, "|", -1)) == "p"
+    hour = F.hour(stamp)
+    shift = F.when(later & (hour < 12), 12).when(~later & (hour == 12), -12).otherwise(0)
+    return F.when(hour.between(1, 12), stamp + F.make_dt_interval(hours=shift))
+
+
+def _without_zone(plain: Column) -> Column:
+    """The moment on the clock of UTC."""
+    parts = F.split(plain, r"\|")
+    hours = F.coalesce(parts[1].try_cast("int"), F.lit(0))
+    minutes = F.coalesce(parts[2].try_cast("int"), F.lit(0))
+    minutes = F.when(F.startswith(parts[1], F.lit("-")), -minutes).otherwise(minutes)
+    return parts[0].try_cast("timestamp_ntz") - F.make_dt_interval(hours=hours, mins=minutes)
+
+
 def header_names(raw: list[str | None]) -> list[str]:
     """Strip, name the blanks by position, and number the repeats."""
     taken: set[str] = set()

@@ -230,6 +230,11 @@ SELECT nullif(status, 'N/A') AS status, count(*) AS n FROM raw_orders GROUP BY 1
 ORACLES["coerce_numeric"] = dirty("SELECT order_id, customer, amount FROM dirty_orders")
 ORACLES["coerce_datetime"] = dirty("SELECT order_id, order_date FROM dirty_orders")
 
+ORACLES["coerce_date_layouts"] = """
+WITH d AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS t FROM orders)
+SELECT o_orderkey, t AS name_dash, t + INTERVAL 10 HOUR AS name_time, t + INTERVAL 8 HOUR AS zone,
+       t + INTERVAL 905 MINUTE AS half_day, t AS dots FROM d"""
+
 
 def _loss(column: str, type_name: str | None) -> str:
     c = f"CASE WHEN {column} <> 'N/A' THEN {column} END"

@@ -5,7 +5,7 @@ import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import analysis, extensions, profile, render, sessions, trace
+from plumbline.operators import analysis, coercion, extensions, profile, render, sessions, trace
 from plumbline.sources.delimited import load_table, read_delimited
 
 
@@ -112,3 +112,30 @@ def test_missing_deviation_is_printed_as_nan(spark):
     one = spark.createDataFrame([(1.0,)], "v double")
     text = "\n".join(r["line"] for r in render.analysis_report_lines(one).collect())
     assert "std=nan" in text
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("2025-01-02T10:00:00Z", (2025, 1, 2, 10)),
+        ("2025-01-02 10:00:00+02:00", (2025, 1, 2, 8)),
+        ("2025-01-02T10:30-0530", (2025, 1, 2, 16, 0)),
+        ("2025-01-02T10:00:00.123456789", (2025, 1, 2, 10, 0, 0, 123456)),
+        ("01-Jan-2025", (2025, 1, 1)),
+        ("5 march 2025 12:30", (2025, 3, 5, 12, 30)),
+        ("Sept. 5, 2025 10:00", (2025, 9, 5, 10)),
+        ("12/31/2024 12:05 am", (2024, 12, 31, 0, 5)),
+        ("12/31/2024 3:05 PM", (2024, 12, 31, 15, 5)),
+        ("31/12/2024 12:00:01 PM", (2024, 12, 31, 12, 0, 1)),
+        ("31.12.2024 10:00", (2024, 12, 31, 10)),
+    ],
+)
+def test_date_layouts(spark, text, want):
+    df = coercion.coerce_types(spark.createDataFrame([(text,), (None,)], "d string"))
+    assert df.dtypes == [("d", "timestamp_ntz")]
+    assert {r["d"] for r in df.collect()} == {None, datetime.datetime(*want)}
+
+
+@pytest.mark.parametrize("text", ["31-Foo-2025", "12/31/2024 13:05 PM", "2025-01-02T10:00:00X", "a-b-c", "Mar-Apr-2025"])
+def test_what_is_no_date_stays_text(spark, text):
+    assert coercion.coerce_types(spark.createDataFrame([(text,)], "d string")).dtypes == [("d", "string")]
