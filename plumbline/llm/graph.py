@@ -229,19 +229,20 @@ def linked_classes(
     points: DataFrame,
     groups: int,
     need: Callable,
-    verify: Callable[[DataFrame], DataFrame],
+    verify: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> DataFrame:
     """(node, root) of all nodes that are linked with another.
 
     ``members`` (key, node): any two linked nodes share a key. ``points`` (node, size, point): a row per
     node, ``point`` being ``groups`` bytes, each a count that stops at 255. ``need(size, size)`` bounds the overlap
     of linked nodes from below and does not fall with the sizes. ``verify`` keeps the true ones of
-    candidate pairs (a, b).
+    candidate pairs (a, b); it is told all nodes (node) that may come up, and is asked up to three times.
     """
     live = written(live_members(members), "live")
     size = F.col("size")
     star = live.filter("node != center").select(F.col("center").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verify(written(star, "star")), "links")
+    nodes = live.select("node").distinct()
+    links = written(verify(written(star, "star"), nodes), "links")
     roots = components(links)
     points = points.select("node", size, "point")
     for best in (True, False):
@@ -258,6 +259,6 @@ def linked_classes(
         more = written(_open_pairs(rest, points, groups, need, best), "more")
         if more.isEmpty():
             return roots
-        links = written(links.union(verify(more)), "links")
+        links = written(links.union(verify(more, nodes)), "links")
         roots = components(links)
     return roots

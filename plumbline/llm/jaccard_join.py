@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     def need(a, b):
         return -(-(a + b) * percent // (100 + percent))
 
-    def verify(pairs: DataFrame) -> DataFrame:
+    def verify(pairs: DataFrame, _nodes: DataFrame) -> DataFrame:
         ends = [points.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("point").alias(f"p_{c}")) for c in "ab"]
         bounded = pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(bound, "a long, b long")
         bounded = written(bounded, "bounded")

@@ -258,9 +258,12 @@ def deduplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> D
                 good = close_pairs(batch.column("l_a").to_pylist(), batch.column("l_b").to_pylist(), threshold)
                 yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in "ab"], ["a", "b"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        nodes = written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "line-nodes")
-        texts = written(_texts_of(docs, nodes), "line-texts", TEXT_BATCH)
+    kept: list[DataFrame] = []
+
+    def verify(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+        if not kept:  # the lines of all candidates, read once
+            kept.append(written(_texts_of(docs, written(nodes, "line-nodes")), "line-texts", TEXT_BATCH))
+        (texts,) = kept
         ends = [texts.select(F.col("node").alias(c), F.col("line").alias(f"l_{c}")) for c in "ab"]
         met = pairs.join(ends[0], "a").join(ends[1], "b")
         near = F.abs(F.length("l_a") - F.length("l_b")) <= threshold

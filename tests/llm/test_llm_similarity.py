@@ -91,7 +91,7 @@ def test_open_buckets_are_joined_block_by_block(spark, monkeypatch):
     points = nodes.selectExpr("node", "10L AS size", "cast('aa' AS binary) AS point")
     table = spark.createDataFrame(list(enumerate(values)), "id long, v long")
 
-    def verify(pairs):
+    def verify(pairs, _nodes):
         a, b = (table.withColumnsRenamed({"id": c, "v": f"v{c}"}) for c in "ab")
         return pairs.join(a, "a").join(b, "b").filter("abs(va - vb) <= 40").select("a", "b")
 
