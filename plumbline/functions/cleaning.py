@@ -43,7 +43,6 @@ DATE_LAYOUTS = (
         r"^([0-9]{1,2})/([0-9]{1,2})/([0-9]{4}) ([0-9]{1,2}:[0-9]{2}(:[0-9]{2})?)$",
         "$3-$2-$1 $4",
     ),
-    ("dmy_dot", r"^([0-9]{1,2})\.([0-9]{1,2})\.([0-9]{4})$", "$3-$2-$1"),
     ("dmy_dot_time", rf"^([0-9]{{1,2}})\.([0-9]{{1,2}})\.([0-9]{{4}}) {_CLOCK}$", "$3-$2-$1 $4"),
     # A clock of twelve hours keeps its half of the day, and a zone its offset, for later.
     ("mdy_slash_half", rf"^([0-9]{{1,2}})/([0-9]{{1,2}})/([0-9]{{4}}) {_CLOCK} ?([AaPp])[Mm]$", "$3-$1-$2 $4|$5"),

@@ -158,7 +158,7 @@ def coerce_date_layouts(spark, d):
     """The order date in one layout per column."""
     layouts = {
         "name_dash": "dd-MMM-yyyy", "name_time": "MMM d, yyyy 10:00", "zone": "yyyy-MM-dd'T'10:00:00'+02:00'",
-        "half_day": "MM/dd/yyyy 3:05 'PM'", "dots": "dd.MM.yyyy",
+        "half_day": "MM/dd/yyyy 3:05 'PM'", "dots": "dd.MM.yyyy 10:00",
     }
     raw = table(spark, d, "orders").select(
         "o_orderkey", *(F.date_format("o_orderdate", f).alias(name) for name, f in layouts.items())

@@ -233,7 +233,7 @@ ORACLES["coerce_datetime"] = dirty("SELECT order_id, order_date FROM dirty_order
 ORACLES["coerce_date_layouts"] = """
 WITH d AS (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS t FROM orders)
 SELECT o_orderkey, t AS name_dash, t + INTERVAL 10 HOUR AS name_time, t + INTERVAL 8 HOUR AS zone,
-       t + INTERVAL 905 MINUTE AS half_day, t AS dots FROM d"""
+       t + INTERVAL 905 MINUTE AS half_day, t + INTERVAL 10 HOUR AS dots FROM d"""
 
 
 def _loss(column: str, type_name: str | None) -> str:
