@@ -9,6 +9,7 @@ protocol makes lost executors harmless.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
@@ -32,6 +33,10 @@ CACHE_WORDS = 1_500_000
 
 _MARK = "\x01"
 
+#: White space to str.split() and not to the vocabulary, where each is part of a word.
+_KEPT = "\x1c\x1d\x1e\x1f"
+_WORD = re.compile(rf"[\S{_KEPT}]+")
+
 
 def encode(ids: np.ndarray) -> np.ndarray:
     """Packs non-negative ids below 2**60 into words, greedily with as many ids as fit each time."""
@@ -159,7 +164,7 @@ class _Encoder:
             if self.mark is None or _MARK in text or any(s in text for s in self.special):
                 split.append(None), found.append([self.plain(text)])
                 continue
-            words = text.split()
+            words = _WORD.findall(text) if any(c in text for c in _KEPT) else text.split()
             parts = list(map(known.get, words))
             split.append(words), found.append(parts)
             if None in parts:

@@ -97,6 +97,15 @@ def test_words_are_encoded_as_the_library_does():
         assert np.frombuffer(raw, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
 
 
+def test_separators_that_are_no_white_space_to_the_vocabulary():
+    tool, own = library(), token_store._Encoder(public_tokenizers.path(queries.TOKENIZER))
+    texts = ["a\x1cb", "\x1d", " \x1e x\x1f", "a\x1c\x85b\u2028c", "a\x1f \x01 b"]
+    rng = random.Random(1)
+    texts += ["".join(rng.choice("aé 's\n\x85\x1c\x1d\x1e\x1f\u3000.9") for _ in range(80)) for _ in range(60)]
+    for text, raw in zip(texts, own.encode_texts(texts)):
+        assert np.frombuffer(raw, "<u4").tolist() == tool.encode(text, add_special_tokens=False).ids
+
+
 def test_tokens_from_files(spark, sf_dir):
     tool, at = library(), 0
     got = {r.doc_id: r for r in queries.QUERIES["op7_token_store"](spark, sf_dir).collect()}
