@@ -1,4 +1,4 @@
-"""Duplicate rows: their number from digests alone, their groups from the rows themselves."""
+"""Duplicate rows: their number and their groups, both by the values of the rows."""
 
 from __future__ import annotations
 
@@ -30,12 +30,12 @@ def duplicate_groups(df: DataFrame, count: str = "copies") -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """One row: how many rows repeat an earlier identical row (null equals null).
 
-    Rows are counted by the SHA-256 digest of their values, one scan that moves digests only.
+    Rows are grouped by their values as in ``duplicate_groups``; no text form of them decides.
     """
-    values = F.struct(*(_comparable(f).alias(str(i)) for i, f in enumerate(df.schema)))
-    digest = F.unhex(F.sha2(F.to_json(values), 256))
+    names = [str(i) for i in range(len(df.columns))]
+    rows = df.select(*(_comparable(f).alias(name) for name, f in zip(names, df.schema)))
     return (
-        df.groupBy(digest.alias("digest"))
+        rows.groupBy(*(F.col(quoted(name)) for name in names))
         .agg(F.count("*").alias("n"))
-        .agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).cast("bigint").alias("duplicate_rows"))
+        .agg(F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).cast("bigint").alias("duplicate_rows"))
     )

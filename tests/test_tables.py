@@ -141,6 +141,25 @@ def test_duplicates_with_nulls_and_hot_copies(spark):
     }
 
 
+def test_rows_a_microsecond_apart_are_no_duplicates(spark):
+    times = spark.sql(
+        "SELECT timestamp_micros(m) AS t, CAST(timestamp_micros(m) AS timestamp_ntz) AS n, "
+        "array(named_struct('t', timestamp_micros(m))) AS a FROM VALUES (123456L), (123457L), (123999L), (123999L) AS v(m)"
+    )
+    for df in (times, *(times.select(c) for c in times.columns)):
+        assert duplicates.duplicate_rows(df).first()[0] == 1
+        assert [r["copies"] for r in duplicates.duplicate_groups(df).collect()] == [2]
+    assert profile.table_profile(times.select("t", "n")).first()["duplicate_rows"] == 1
+
+
+def test_duplicates_of_odd_tables(spark):
+    df = table(spark, "n string, `a.b` double", ("x", 0.0), ("x", -0.0), (None, None), (None, None))
+    assert duplicates.duplicate_rows(df).first()[0] == 2
+    assert duplicates.duplicate_rows(df.limit(0)).first()[0] == 0
+    assert duplicates.duplicate_rows(df.select()).first()[0] == 3
+    assert duplicates.duplicate_rows(df.limit(0).select()).first()[0] == 0
+
+
 def test_report_is_redacted(spark):
     df = table(spark, "mail string", ("a@b.org",), ("c@d.org",))
     lines = [r["line"] for r in render.quality_report_lines(df, ["mail"]).orderBy("line_no").collect()]
