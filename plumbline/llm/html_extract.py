@@ -28,6 +28,10 @@ TRAIN_PAGES = 1_000
 
 # Elements by role.
 UNREAD = "script style template noscript svg math iframe object embed canvas audio video textarea select datalist title"
+#: Their text holds no tags and ends at their end tag only, or with the page.
+RAW = "script style textarea title"
+#: Their tags, and those of all elements in them, may close themselves by a slash.
+FOREIGN = "svg math"
 VOID = "area base br col embed hr img input link meta param source track wbr"
 BLOCKS = (
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -52,13 +56,19 @@ CONTENT_NAMES = "article content entry main post story body text"
 BOILERPLATE_ODDS, CONTENT_ODDS, NAME_ODDS, TEXT_LIMIT = -8.0, 3.0, 1.5, 2.0
 NEXT_EDGE, SIBLING_EDGE = 0.6, 0.3
 
-_UNREAD, _VOID, _BLOCKS, _BOILERPLATE, _CONTENT, _HEADINGS, _BAD, _PAGE, _GOOD = (
+_UNREAD, _FOREIGN, _VOID, _BLOCKS, _BOILERPLATE, _CONTENT, _HEADINGS, _BAD, _PAGE, _GOOD = (
     frozenset(s.split())
-    for s in (UNREAD, VOID, BLOCKS, BOILERPLATE, CONTENT, HEADINGS, BOILERPLATE_NAMES, PAGE_NAMES, CONTENT_NAMES)
+    for s in (
+        UNREAD, FOREIGN, VOID, BLOCKS, BOILERPLATE, CONTENT, HEADINGS, BOILERPLATE_NAMES, PAGE_NAMES, CONTENT_NAMES
+    )
 )
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
 )
+#: What ends a raw text, by its element.
+_RAW = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I) for name in RAW.split()}
+#: What starts a tag, though the page may end before the tag does.
+_START = re.compile(r"</?[a-zA-Z]")
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true)|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -67,6 +77,62 @@ _CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th",
 _WALLS = frozenset("ul ol dl table div section article aside main body nav footer header form blockquote".split())
 
 
+def _closed(stack: list[tuple], name: str) -> int:
+    """The place in the stack of the element that an end tag closes; 0 if there is none."""
+    for depth in range(len(stack) - 1, 0, -1):
+        if stack[depth][0] == name:
+            return depth
+        if stack[depth][0] in _WALLS and name not in _WALLS and name not in _UNREAD and name not in ("html", "body"):
+            break
+    return 0
+
+
+def _replaced(stack: list[tuple], name: str, walls: frozenset[str]) -> int:
+    """The place in the stack of the element that an opening closes; 0 if there is none."""
+    if closed := _CLOSES.get(name):
+        for depth in range(len(stack) - 1, 0, -1):
+            if stack[depth][0] in closed.split():
+                return depth
+            if stack[depth][0] in walls:
+                break
+    return 0
+
+
+def _after_raw(page: str, name: str, at: int) -> int:
+    end = _RAW[name].search(page, at)
+    return end.end() if end else len(page)
+
+
+def _unread_ends(page: str, at: int, around: list[str]) -> dict[int, int]:
+    """Where elements of UNREAD end: the place behind the end tag by the place behind the opening.
+
+    One without an end tag of its own, before the elements around it end, is not there: only its tag
+    goes unread.
+    """
+    stack = [(name, 0, False) for name in around]
+    ends: dict[int, int] = {}
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        name, foreign = m[2].lower(), stack[-1][2]
+        if m[1]:
+            if depth := _closed(stack, name):
+                ends[stack[depth][1]] = at
+                del stack[depth:]
+            continue
+        if not foreign and name in _RAW:
+            at = _after_raw(page, name, at)
+            continue
+        foreign = foreign or name in _FOREIGN
+        if name in _VOID or m[3].endswith("/") and (foreign or name not in _UNREAD):
+            continue
+        if depth := _replaced(stack, name, _WALLS | _UNREAD):
+            del stack[depth:]
+        stack.append((name, at, foreign))
+    return ends
+
+
 @dataclass(slots=True)
 class Block:
     text: str
@@ -85,6 +151,7 @@ def blocks_of(page: str | None) -> list[Block]:
     out: list[Block] = []
     pieces: list[str] = []
     linked = number = at = 0
+    ends: dict[int, int] | None = None
 
     def flush(top) -> None:
         nonlocal linked
@@ -112,34 +179,30 @@ def blocks_of(page: str | None) -> list[Block]:
         if m[1]:
             if name in _BLOCKS:
                 flush(stack[-1])
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] == name:
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in _WALLS and name not in _WALLS and name not in ("html", "body"):
-                    break
+            if depth := _closed(stack, name):
+                del stack[depth:]
             continue
         if name == "br":
             pieces.append(" ")
             continue
         if name in _BLOCKS:
             flush(stack[-1])
-        if name in _UNREAD:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+        if name in _VOID or m[3].endswith("/") and (name in _FOREIGN or name not in _UNREAD):
             continue
-        if name in _VOID or m[3].endswith("/"):
+        if name in _RAW:
+            at = _after_raw(page, name, at)
+            continue
+        if name in _UNREAD:
+            if ends is None:
+                ends = _unread_ends(page, m.start(), [e[0] for e in stack])
+            at = ends.get(at, at)
             continue
-        if closed := _CLOSES.get(name):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth][0] in closed.split():
-                    del stack[depth:]
-                    break
-                if stack[depth][0] in _WALLS:
-                    break
+        if depth := _replaced(stack, name, _WALLS):
+            del stack[depth:]
         number += 1
         stack.append(_opened(name, number, m[3], stack[-1]))
-    say(page[at:] if "<" not in page[at:] else page[at:].partition("<")[0])
+    cut = _START.search(page, at)
+    say(page[at : cut.start()] if cut else page[at:])
     flush(stack[-1])
     return out
 

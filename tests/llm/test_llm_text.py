@@ -51,6 +51,30 @@ def test_main_text(page, want):
     assert html_extract.main_text(page, ZERO) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<article><p>a</p><embed src=x><p>b</p></article>", "a\n\nb"),
+        ("<article><p>a</p><svg viewBox='0'/><math /><p>b</p></article>", "a\n\nb"),
+        ("<article><p>a</p><svg/><p>b</p><svg><title/><path/><text>no</text></svg>c</article>", "a\n\nb\n\nc"),
+        *(
+            (f"<article><p>a</p><{name} id=x><p>b</p></article>{more}", "a\n\nb")
+            for name in "noscript object audio video canvas select datalist iframe template svg".split()
+            for more in ("", f"<nav>no</nav><{name}>no</{name}>", f"</{name}>")
+        ),
+        ("<article><p>a<video><p>no</p></video>b</p><noscript><div>no</noscript><p>c</p></article>", "ab\n\nc"),
+        ("<article><object><object>no</object>no</object>a<canvas><audio>no</audio></canvas>b</article>", "ab"),
+        ("<article><audio><p>b</p><audio>no</audio><p>c</p></article>", "b\n\nc"),
+        ("<article><p>a</p><script>if (a < b) '<p>'</script x><p>b</p><style>p{}", "a\n\nb"),
+        ("<article><p>if a < b then c", "if a < b then c"),
+        ("<article>1 < 2 <3 </ x", "1 < 2 <3 </ x"),
+        ("<article><p>a < b<a href='x", "a < b"),
+    ],
+)
+def test_nothing_is_lost_behind_elements_without_an_end(page, want):
+    assert html_extract.main_text(page, ZERO) == want
+
+
 def test_min_cut_against_all_labellings():
     rng = random.Random(0)
     for _ in range(150):
