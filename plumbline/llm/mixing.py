@@ -2,7 +2,8 @@
 
 Documents are counted by exact length. A source first gives as many whole passes as its target holds.
 The rest of the target is filled length by length in proportion, and what remains of it after that is
-met by a bounded knapsack over the lengths still free. Which documents of a length are taken is
+met by a bounded knapsack over the lengths still free. A source that this leaves off its target repeats
+documents unevenly, its long ones first. Which documents of a length are taken is
 decided by a seeded hash of their ids.
 """
 
@@ -19,7 +20,8 @@ from plumbline.llm.common import with_positions
 
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: The knapsack runs over budgets up to so many words; larger rests are filled greedily down to it.
+#: Sums that the knapsack tells apart, up to its budget: all of them up to so many words, and above one
+#: of each range of budget / KNAPSACK words. Larger rests are filled greedily down to it where they can be.
 KNAPSACK = 1 << 16
 
 _CHOICE = "source_key string, size long, chosen long"
@@ -68,60 +70,110 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarr
         taken[i] += more
         free[i] -= more
         rest -= more * int(lengths[i])
-    taken += _knapsack(lengths, free, min(rest, KNAPSACK))
+    taken += _knapsack(lengths, free, rest)
     return taken
 
 
-def _knapsack(lengths: np.ndarray, free: np.ndarray, budget: int) -> np.ndarray:
-    """Bounded knapsack by dynamic programming: the reachable sum nearest to ``budget``, the lower of two."""
-    if budget <= 0 or not len(lengths):
+def _knapsack(
+    lengths: np.ndarray, free: np.ndarray, budget: int, low: int | None = None, high: int | None = None
+) -> np.ndarray:
+    """Bounded knapsack by dynamic programming: the reachable sum nearest to ``budget``, the lower of two.
+
+    With ``low`` and ``high`` a sum between them goes before others, and one near them before one far
+    off. Sums are true ones; of those that fall into one range the first one stays.
+    """
+    low, high = budget if low is None else low, budget if high is None else high
+    if high <= 0 or not len(lengths):
         return np.zeros(len(lengths), dtype=np.int64)
-    top = budget + min(budget, int(lengths.max()))
-    reach = np.zeros(top + 1, dtype=bool)
-    reach[0] = True
-    via = np.full(top + 1, -1, dtype=np.int64)
+    unit = -(-high // KNAPSACK)
+    top = high + min(high, int(lengths.max()))
+    sums = np.full(top // unit + 1, -1, dtype=np.int64)
+    sums[0] = 0
+    via = np.full(len(sums), -1, dtype=np.int64)
     steps: list[tuple[int, int]] = []
+    # a step that gives the budget itself, though another sum may hold its range
+    last = 0 if budget == 0 else -1
     for i in np.argsort(-lengths, kind="stable"):
         length, power = int(lengths[i]), 1
         left = min(int(free[i]), top // length)
-        while left > 0 and not reach[budget]:
+        while left > 0 and last < 0:
             n = min(power, left)
             left -= n
             power *= 2
             w = n * length
-            new = reach[: top + 1 - w] & ~reach[w:]
-            via[w:][new] = len(steps)
-            reach[w:] |= new
+            held = sums[sums >= 0]
+            found = held[held <= top - w] + w
+            if (found == budget).any():
+                last = w
+            place = found // unit
+            new = sums[place] < 0
+            sums[place[new]] = found[new]
+            via[place[new]] = len(steps)
             steps.append((int(i), n))
-        if reach[budget]:
+        if last >= 0:
             break
     out = np.zeros(len(lengths), dtype=np.int64)
-    sums = np.flatnonzero(reach)
-    at = int(sums[np.argmin(np.abs(sums - budget))])
+    if last > 0:
+        i, n = steps[-1]
+        out[i] += n
+        at = budget - last
+    elif last == 0:
+        at = 0
+    else:
+        held = np.sort(sums[sums >= 0])
+        off = np.maximum(np.maximum(low - held, held - high), 0)
+        held = held[off == off.min()]
+        at = int(held[np.argmin(np.abs(held - budget))])
     while at > 0:
-        i, n = steps[via[at]]
+        i, n = steps[via[at // unit]]
         out[i] += n
         at -= n * int(lengths[i])
     return out
 
 
-def fit_source(lengths: np.ndarray, counts: np.ndarray, target: int, limit: int) -> np.ndarray:
-    """How often documents of each length are taken in all, at most ``limit`` times each.
-
-    Whole passes first, then a subset for the rest. Where few documents make no subset that comes near,
-    and the target is within the knapsack, documents may be repeated unevenly to come nearer.
-    """
+def _in_proportion(lengths: np.ndarray, counts: np.ndarray, target: int, limit: int) -> np.ndarray:
+    """Whole passes, then a subset for the rest."""
     total = int((lengths * counts).sum())
     passes = min(limit, target // total)
     taken = passes * counts
     if passes < limit:
         taken = taken + fit_budget(lengths, counts, target - passes * total)
+    return taken
+
+
+def _long_first(lengths: np.ndarray, counts: np.ndarray, target: int, limit: int) -> np.ndarray:
+    """The long documents by a knapsack near their share, then the short ones in proportion.
+
+    Long are those of more than a thousandth of the target. The knapsack leaves no more than the short
+    ones can fill, where it can.
+    """
+    long = lengths * 1000 > target
+    total, short = int((lengths * counts).sum()), int((lengths * counts)[~long].sum())
+    low = max(0, target - limit * short)
+    share = min(max((total - short) * target // total, low), target)
+    taken = np.zeros(len(lengths), dtype=np.int64)
+    taken[long] = _knapsack(lengths[long], limit * counts[long], share, low, target)
+    if short:
+        rest = max(0, target - int((lengths * taken).sum()))
+        taken[~long] = _in_proportion(lengths[~long], counts[~long], rest, limit)
+    return taken
+
+
+def fit_source(lengths: np.ndarray, counts: np.ndarray, target: int, limit: int) -> np.ndarray:
+    """How often documents of each length are taken in all, at most ``limit`` times each.
+
+    Whole passes first, then a subset for the rest. Where no subset comes near, documents may be
+    repeated unevenly to come nearer: the long ones first, and if that misses, all of them.
+    """
 
     def miss(t):
         return abs(int((lengths * t).sum()) - target)
 
-    if target <= KNAPSACK and 1000 * miss(taken) > target:
-        taken = min(taken, _knapsack(lengths, limit * counts, target), key=miss)
+    taken = _in_proportion(lengths, counts, target, limit)
+    if 1000 * miss(taken) > target:
+        taken = min(taken, _long_first(lengths, counts, target, limit), key=miss)
+        if miss(taken):
+            taken = min(taken, _knapsack(lengths, limit * counts, target), key=miss)
     return taken
 
 

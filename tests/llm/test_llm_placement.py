@@ -72,6 +72,37 @@ def test_fit_budget_is_exact_where_it_can_be():
     assert abs(few @ [30, 50, 3000] - 200) <= 10 and (few <= 3).all()
 
 
+@pytest.mark.parametrize("scale", [1, 10, 1000, 100_000])
+def test_fit_source_does_not_depend_on_scale(scale):
+    lengths, counts = np.array([100, 10_000]) * scale, np.array([30, 1])
+    assert mixing.fit_source(lengths, counts, 9_000 * scale, 3).tolist() == [90, 0]
+    # off any common measure: fifteen short ones and long ones above the rest
+    lengths = np.array([97, 101, 9_973, 10_007]) * scale + np.array([1, 2, 3, 4])
+    counts = np.array([8, 7, 1, 1])
+    for target in (9_000, 12_000, 22_000, 31_000):
+        taken = mixing.fit_source(lengths, counts, target * scale, 3)
+        sums = [
+            lengths @ [a, b, c, d] for a in range(25) for b in range(22) for c in range(4) for d in range(4)
+        ]
+        best = min(abs(int(x) - target * scale) for x in sums)
+        assert (taken >= 0).all() and (taken <= 3 * counts).all()
+        assert abs(int(lengths @ taken) - target * scale) <= best + 2 * target * scale / mixing.KNAPSACK
+
+
+def test_fit_source_meets_large_targets_to_the_word():
+    rng = np.random.default_rng(11)
+    lengths = np.unique(np.append(rng.integers(100, 1_200, 60), [400_000, 900_000]))
+    counts = np.ones(len(lengths), dtype=np.int64)
+    for target in (70_000, 95_000, 440_000, 1_000_003, 1_234_567):
+        taken = mixing.fit_source(lengths, counts, target, 3)
+        assert int(lengths @ taken) == target and (taken <= 3).all()
+
+
+def test_fit_budget_gives_the_knapsack_the_true_rest():
+    lengths, counts = np.array([140_000, 200_000]), np.array([1, 1])
+    assert mixing.fit_budget(lengths, counts, 80_000).tolist() == [1, 0]
+
+
 def test_mix(spark, sf_dir):
     rows = queries.QUERIES["op4_mixing"](spark, sf_dir).collect()
     texts = {i: (t, s) for i, t, s in table_rows(spark, sf_dir, "documents", "doc_id", "text", "source")}
