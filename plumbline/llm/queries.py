@@ -13,6 +13,7 @@ from plumbline.llm import (
     line_dedup,
     mixing,
     quality,
+    secret_scan,
     sharding,
     token_store,
 )
@@ -142,3 +143,8 @@ SELECT conv_id, count(*) AS n_turns,
                 + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
 """
+
+
+@query
+def op13_secret_scan(spark, d):
+    return secret_scan.digest(secret_scan.scan(table(spark, d, "documents")))
