@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import (
     chat_format,
+    collocations,
     decontaminate,
     exact_dedup,
     html_extract,
     jaccard_join,
+    lexical_search,
     line_dedup,
     mixing,
     quality,
@@ -148,3 +150,79 @@ FROM rows GROUP BY conv_id
 @query
 def op13_secret_scan(spark, d):
     return secret_scan.digest(secret_scan.scan(table(spark, d, "documents")))
+
+
+@query
+def op12_lexical_search(spark, d):
+    return lexical_search.search(table(spark, d, "documents"), table(spark, d, "benchmark"), k=20)
+
+
+ORACLES["op12_lexical_search"] = r"""
+WITH doc_terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), item_terms AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+           'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), lengths AS (SELECT doc_id, count(*) AS n FROM doc_terms GROUP BY doc_id),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS words FROM lengths),
+factors AS (SELECT doc_id, 75 + (25 * n * docs) // words AS m FROM lengths, totals),
+tfs AS (
+  SELECT doc_id, term, count(*) AS tf FROM doc_terms SEMI JOIN item_terms USING (term) GROUP BY doc_id, term
+),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tfs, totals GROUP BY term, docs
+),
+gains AS (
+  SELECT doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS gain
+  FROM tfs JOIN weights USING (term) JOIN factors USING (doc_id)
+),
+scores AS (
+  SELECT item_id, doc_id, CAST(sum(gain) AS BIGINT) AS score
+  FROM item_terms JOIN gains USING (term) GROUP BY item_id, doc_id HAVING sum(gain) > 0
+),
+ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM scores
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query
+def op11_collocations(spark, d):
+    return collocations.collocations(table(spark, d, "documents"))
+
+
+ORACLES["op11_collocations"] = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), said AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase
+  FROM said, (VALUES (1), (2), (3), (4)) AS sizes(k) WHERE len(w) >= k
+),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 30),
+inner_phrases AS (
+  SELECT lang, a, unnest([array_to_string(w[i:i + j - 1], ' ') FOR i IN range(1, k - j + 2)]) AS phrase
+  FROM candidates, (VALUES (2), (3)) AS sizes(j) WHERE j < k
+),
+covers AS (SELECT lang, phrase, max(a) AS longer FROM inner_phrases GROUP BY ALL),
+cuts AS (
+  SELECT lang, phrase, a, c, array_to_string(w[1:c], ' ') AS head, array_to_string(w[c + 1:], ' ') AS tail
+  FROM candidates, (VALUES (1), (2), (3)) AS places(c) WHERE c < k
+),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, a, c, h.f AS l, t.f AS r, CAST((2000000 * a::HUGEINT) // (h.f + t.f) AS BIGINT) AS score
+  FROM cuts JOIN f h ON h.lang = cuts.lang AND h.phrase = head JOIN f t ON t.lang = cuts.lang AND t.phrase = tail
+),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+ranked AS (
+  SELECT best.*, row_number() OVER (PARTITION BY best.lang ORDER BY score DESC, a DESC, encode(best.phrase)) AS rank
+  FROM best LEFT JOIN covers USING (lang, phrase) WHERE NOT coalesce(100 * longer >= 80 * a, false)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

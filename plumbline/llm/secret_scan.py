@@ -174,8 +174,10 @@ def digest(found: DataFrame, base: tuple[str, ...] = tuple(r.kind for r in BASE)
         parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"]))
         return F.array_join(parts, ",")
 
-    of_base = F.filter("spans", lambda s: s["kind"].isin(*base))
-    counts = [F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in base]
+    def of(*kinds):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
     return found.select(
-        "doc_id", *counts, F.sha2(joined(of_base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
+        "doc_id", *counts, F.sha2(joined(of(*base)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans")
     )
