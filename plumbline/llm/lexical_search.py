@@ -23,7 +23,7 @@ from plumbline.llm.wordhash import ALPHANUMERIC, words_of
 BLOCK_TERMS = 1 << 19
 
 #: Cells (class, item) and products that a task holds at once.
-CELLS = 1 << 21
+CELLS = 1 << 20
 
 _MATCH_SCHEMA = "item_row long, score long, class long, m long, vec binary, first_id long"
 
@@ -110,35 +110,33 @@ def _weights(spark: SparkSession, documents: int, df: np.ndarray) -> np.ndarray:
     return np.array([known[int(d)] for d in held], dtype=np.int64)[np.searchsorted(held, df)]
 
 
+def _cut(item: np.ndarray, score: np.ndarray, first: np.ndarray, k: int) -> np.ndarray:
+    """Places of every item's k best: highest score, then smallest first member; items ascend."""
+    order = np.lexsort((first, -score, item))
+    item = item[order]
+    return order[np.arange(len(item)) - np.searchsorted(item, item) < k]
+
+
 class _Best:
-    """The best classes of every item so far: highest score, then smallest first member."""
+    """The best classes of every item so far; of others, nothing is held."""
 
     def __init__(self, items: int, k: int):
         self.k = k
         self.least = np.zeros(items, dtype=np.int64)  # the k-th best score, once there are k
-        self.kept: list[tuple[np.ndarray, ...]] = []
-        self.held = 0
-
-    def add(self, item: np.ndarray, score: np.ndarray, first: np.ndarray, other: list[np.ndarray]):
-        self.kept.append((item, score, first, *other))
-        self.held += len(item)
-        if self.held > 4 * self.k * len(self.least) + 10_000:
-            self.prune()
-
-    def prune(self):
-        columns = [np.concatenate(c) for c in zip(*self.kept)] if self.kept else None
-        if columns is None:
-            return None
-        item, score, first = columns[:3]
-        order = np.lexsort((first, -score, item))
-        item = item[order]
-        place = np.arange(len(item)) - np.searchsorted(item, item)
-        good = place < self.k
-        columns = [c[order][good] for c in columns]
-        last = place[good] == self.k - 1
-        self.least[columns[0][last]] = columns[1][last]
-        self.kept, self.held = [tuple(columns)], int(good.sum())
-        return columns
+        self.columns: list[np.ndarray] | None = None
+
+    def add(self, item: np.ndarray, score: np.ndarray, first: np.ndarray, others):
+        """``others(places)`` gives the further columns of rows at these places; it is asked for few."""
+        places = _cut(item, score, first, self.k)
+        new = [item[places], score[places], first[places], *others(places)]
+        if self.columns is not None:
+            new = [np.concatenate(pair) for pair in zip(self.columns, new)]
+            kept = _cut(*new[:3], self.k)
+            new = [c[kept] for c in new]
+        self.columns = new
+        item, score = new[:2]
+        last = np.arange(len(item)) - np.searchsorted(item, item) == self.k - 1
+        self.least[item[last]] = score[last]
 
 
 def _match(classes: DataFrame, asked: list, vocabulary: np.ndarray, weight: np.ndarray, k: int) -> DataFrame:
@@ -180,13 +178,17 @@ def _match(classes: DataFrame, asked: list, vocabulary: np.ndarray, weight: np.n
                 total = total.reshape(end - row, len(asked))
                 r, i = np.nonzero((total > 0) & (total >= best.least))
                 if len(r):
-                    held = [ids.take(pa.array(row + r)).to_numpy(), factors[row + r],
-                            np.array(vec.take(pa.array(row + r)).to_pylist(), dtype=object)]
-                    best.add(i, total[r, i], first[row + r], held)
+
+                    def others(places):
+                        at = pa.array(row + r[places])
+                        bags = np.empty(len(places), dtype=object)
+                        bags[:] = vec.take(at).to_pylist()
+                        return [ids.take(at).to_numpy(), factors[row + r[places]], bags]
+
+                    best.add(i, total[r, i], first[row + r], others)
                 row = end
-        columns = best.prune()
-        if columns is not None:
-            i, total, first, ids, m, bags = columns
+        if best.columns is not None:
+            i, total, first, ids, m, bags = best.columns
             yield pa.RecordBatch.from_arrays(
                 [pa.array(item_rows[i]), pa.array(total), pa.array(ids), pa.array(m), pa.array(bags, pa.binary()),
                  pa.array(first, mask=first == nobody)],
