@@ -7,7 +7,6 @@ import csv
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,6 +21,7 @@ from plumbline.operators.coercion import (
     vote,
 )
 from plumbline.sources import sniff as sniffing
+from plumbline.sources.records import read_records
 
 _ODD = "__odd_record"
 # Encodings that Spark's own reader knows, by their normal names.
@@ -39,11 +39,6 @@ def normal_encoding(name: str) -> str:
     return codecs.lookup(name).name
 
 
-def _readable_path(path: str) -> str:
-    """The path of a file as the scan reports it, in the form the reader takes."""
-    return re.sub(r"([\\*?\[\]{}])", r"\\\1", unquote(path))
-
-
 def fields_in(record: Column, delimiter: str) -> Column:
     """Number of fields of a raw record; delimiters inside quoted fields do not count."""
     d = re.escape(delimiter)
@@ -60,22 +55,30 @@ def read_delimited(
     multiline: bool = False,
     header: bool = True,
     path_column: str | None = None,
+    line_end: str = "\n",
+    keep: Column | None = None,
 ) -> DataFrame:
     """All columns as text. Short records are padded, long ones dropped, blank lines skipped.
 
     A record with just the right number of fields is taken as it is. Only the odd ones keep their
     raw text, and their fields are counted to tell short from long. Quoted line feeds need
-    ``multiline``, which makes each file one task, as does UTF-16. ``path_column`` adds the path of
-    each row's file under that name.
+    ``multiline``, which reads every split twice (``records``); UTF-16 makes each file one task.
+    ``path_column`` adds the path of each row's file under that name. ``keep`` is a condition on
+    ``_metadata`` that says which files to read; Spark drops the others when it lists them.
     """
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, _ODD])
     encoding = normal_encoding(encoding)
     if encoding not in _READABLE:
-        if path_column or multiline:
-            raise ValueError(f"path_column and multiline are not supported for {encoding}")
+        if path_column or multiline or keep is not None:
+            raise ValueError(f"path_column, multiline and keep are not supported for {encoding}")
         if len("\n".encode(encoding)) != 1:
             raise ValueError(f"{encoding} does not end lines with one byte; convert the files first")
         return _read_code_page(spark, path, names, delimiter, encoding, header)
+    if multiline and encoding != "utf-16":
+        found = read_records(spark, path, delimiter, _READABLE[encoding], header, line_end, keep)
+        record = F.regexp_replace("record", "\r$", "")
+        extra = [F.col("path").alias(path_column)] if path_column else []
+        return _taken_apart(found.select("path", record.alias("line")), names, delimiter, extra)
     df = (
         spark.read.schema(schema)
         .option("header", header)
@@ -93,6 +96,8 @@ def read_delimited(
         .option("recursiveFileLookup", True)
         .csv(path)
     )
+    if keep is not None:
+        df = df.where(keep)
     # The empty piece of the first column keeps that column in the scan: the reader refuses to
     # return raw records alone.
     odd = F.concat_ws("", F.substring(F.col(quoted(names[0])), 1, 0), F.col(_ODD))
@@ -133,6 +138,15 @@ def _read_code_page(
         decode, "line string, is_header boolean"
     )
     lines = decoded.where(~F.col("is_header"))
+    if header:
+        heads = decoded.where("is_header").select("line").distinct().take(2)
+        if len(heads) > 1:
+            raise ValueError(f"The files do not share one header: {[h['line'] for h in heads]}")
+    return _taken_apart(lines, names, delimiter)
+
+
+def _taken_apart(lines: DataFrame, names: list[str], delimiter: str, extra: list[Column] = ()) -> DataFrame:
+    """The fields of raw records in the column ``line``, and further columns."""
     line = F.col("line")
     schema = ", ".join(f"{quoted(n)} string" for n in names)
     options = {
@@ -141,15 +155,12 @@ def _read_code_page(
         "escape": '"',
         "ignoreLeadingWhiteSpace": "true",
         "ignoreTrailingWhiteSpace": "false",
+        "multiLine": "true",  # line ends inside quotes stay as they are
     }
-    if header:
-        heads = decoded.where("is_header").select("line").distinct().take(2)
-        if len(heads) > 1:
-            raise ValueError(f"The files do not share one header: {[h['line'] for h in heads]}")
     return (
         lines.where((F.trim(line) != "") & (fields_in(line, delimiter) <= len(names)))
-        .select(F.from_csv(line, schema, options).alias("r"))
-        .select(*(F.col("r")[n].alias(n) for n in names))
+        .withColumn("r", F.from_csv(line, schema, options))
+        .select(*(F.col("r")[n].alias(n) for n in names), *extra)
     )
 
 
@@ -162,6 +173,16 @@ class LoadedTable:
     source: dict
 
 
+#: Files with records that span lines which are told apart from the others by name. Where there are more,
+#: all files are read as such.
+LISTED_FILES = 1000
+
+
+def _sniffed(spark: SparkSession, path: str | list[str], line_end: str) -> DataFrame:
+    """What the files with text are, kept, as several questions are asked of it."""
+    return sniffing.sniff(spark, path, line_end).where(F.col("header").isNotNull()).checkpoint()
+
+
 def load_table(
     spark: SparkSession,
     path: str | list[str],
@@ -176,18 +197,22 @@ def load_table(
     """Find out the dialect of the files, read them, and give every column its voted type.
 
     All rows are read and vote. ``first_rows`` asks for that many rows instead. Files whose quotes do
-    not pair up line by line are read record by record, each as one task; the others stay splittable.
+    not pair up line by line are read as records that may span lines, the others line by line.
     ``header=False`` takes the first line for data; then give ``names``, else columns are numbered.
     Where delimiter, encoding and names are all given, the pass that finds the dialect out is left out,
     and ``multiline`` has to say whether records span lines.
     """
     source = {"sampled": first_rows is not None}
-    across, by_line = [], []
+    across, line_end = [], "\n"
     if not (delimiter and encoding and names):
-        filled = sniffing.sniff(spark, path).where(F.col("header").isNotNull())
+        filled = _sniffed(spark, path, line_end)
         found = sniffing.dialects(filled).take(2)
         if not found:
             raise ValueError(f"No readable file at {path}")
+        if "\r" in found[0]["header"]:  # lines end with a carriage return alone
+            line_end = "\r"
+            filled = _sniffed(spark, path, line_end)
+            found = sniffing.dialects(filled).take(2)
         if len(found) > 1 and not header:
             # First lines of data differ; one of them tells how many columns there are.
             whole = sniffing.dialects(filled.withColumn("header", F.lit(found[0]["header"])))
@@ -207,19 +232,19 @@ def load_table(
         fields = next(csv.reader([first_line], delimiter=delimiter, skipinitialspace=True))
         names = names or (fields if header else [f"column_{i + 1}" for i in range(len(fields))])
         if encoding in _READABLE and not multiline:
-            across, by_line = ([_readable_path(p) for p in dialect[c]] for c in ("across_lines", "by_line"))
+            odd = filled.where("quoted_feeds").select("path").take(LISTED_FILES + 1)
+            across = [r["path"] for r in odd]
         source.update({k: dialect[k] for k in ("files", "bytes", "lines")})
     source.update(encoding=encoding, delimiter=delimiter)
     names = header_names(names)
-    options = {"header": header, "path_column": path_column}
-    if across:
-        raw = read_delimited(spark, across, names, delimiter, encoding, True, **options)
-        if by_line:
-            raw = raw.unionByName(
-                read_delimited(spark, by_line, names, delimiter, encoding, False, **options)
-            )
+    options = {"header": header, "path_column": path_column, "line_end": line_end}
+    if 0 < len(across) <= LISTED_FILES:
+        spanning = F.col("_metadata.file_path").isin(across)
+        raw = read_delimited(spark, path, names, delimiter, encoding, True, keep=spanning, **options).unionByName(
+            read_delimited(spark, path, names, delimiter, encoding, False, keep=~spanning, **options)
+        )
     else:
-        raw = read_delimited(spark, path, names, delimiter, encoding, multiline, **options)
+        raw = read_delimited(spark, path, names, delimiter, encoding, multiline or bool(across), **options)
     if first_rows is not None:
         raw = raw.limit(first_rows)
     text = normalise_missing(raw)

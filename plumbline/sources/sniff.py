@@ -53,11 +53,11 @@ def _text(raw: Column, encoding: Column) -> Column:
     return F.regexp_replace(decoded, "^\ufeff|[\r\ufffd]+$", "")
 
 
-def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], line_end: str) -> DataFrame:
     """Lines as raw bytes, with their file and a number that grows along each block of it."""
     return (
         spark.read.option("recursiveFileLookup", "true")
-        .option("lineSep", "\n")
+        .option("lineSep", line_end)
         .text(path)
         .select(
             "value",
@@ -70,7 +70,7 @@ def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     )
 
 
-def _first_lines(spark: SparkSession, path: str | list[str], per_file: DataFrame) -> DataFrame:
+def _first_lines(spark: SparkSession, path: str | list[str], per_file: DataFrame, line_end: str) -> DataFrame:
     """The bytes of the first filled line of each file, picked out of a second scan by number.
 
     Carrying the text through the first aggregate would make Spark sort all lines. Spark broadcasts
@@ -78,11 +78,11 @@ def _first_lines(spark: SparkSession, path: str | list[str], per_file: DataFrame
     """
     wanted = per_file.select("path", "at")
     raw = F.col("value").cast("binary").alias("raw")
-    lines = _lines(spark, path).where("in_first_block").select("path", "at", raw)
+    lines = _lines(spark, path, line_end).where("in_first_block").select("path", "at", raw)
     return lines.join(wanted, ["path", "at"])
 
 
-def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def sniff(spark: SparkSession, path: str | list[str], line_end: str = "\n") -> DataFrame:
     """One row per non-empty file: encoding, delimiter, first line, bytes and lines.
 
     The delimiter is the candidate whose most frequent non-zero count per line covers most lines;
@@ -104,7 +104,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
         for i, d in enumerate(fixed.DELIMITERS)
     ]
     counted = (
-        _lines(spark, path)
+        _lines(spark, path, line_end)
         .select(
             "path",
             "bytes",
@@ -173,7 +173,7 @@ def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
         F.hex(F.substring("raw", 1, 2)), F.col("valid") == 1, F.col("bytes") - F.col("seen")
     )
     return (
-        per_file.join(_first_lines(spark, path, per_file), ["path", "at"], "left")
+        per_file.join(_first_lines(spark, path, per_file, line_end), ["path", "at"], "left")
         .withColumn("encoding", encoding)
         .withColumn(
             "delimiter",
@@ -198,23 +198,18 @@ def dialects(sniffed: DataFrame) -> DataFrame:
 
     A folder of part files is one table, so its files decide together: one byte-order mark, or one
     byte that is not UTF-8, settles the encoding, and most lines settle the delimiter.
-    ``across_lines`` has the paths of the files with quoted line feeds, ``by_line`` those of the others.
     """
     marked = F.max(F.when(F.col("encoding").isin("utf-8-sig", "utf-16"), F.col("encoding")))
     latin = F.max(F.when(F.col("encoding") == "iso-8859-1", F.col("encoding")))
     sums = [F.sum(c).alias(c) for c in ("files", "bytes", "lines")]
-    across = F.collect_list(F.when(F.col("quoted_feeds"), F.col("path")))
-    others = F.collect_list(F.when(~F.col("quoted_feeds"), F.col("path")))
     return (
         sniffed.withColumn("files", F.lit(1))
         .groupBy("header", "delimiter")
-        .agg(marked.alias("marked"), latin.alias("latin"), across.alias("across_lines"), others.alias("by_line"), *sums)
+        .agg(marked.alias("marked"), latin.alias("latin"), *sums)
         .groupBy("header")
         .agg(
             F.coalesce(F.max("marked"), F.max("latin"), F.lit("utf-8")).alias("encoding"),
             F.max_by("delimiter", F.struct("lines", "delimiter")).alias("delimiter"),
-            F.flatten(F.collect_list("across_lines")).alias("across_lines"),
-            F.flatten(F.collect_list("by_line")).alias("by_line"),
             *sums,
         )
     )
