@@ -22,7 +22,7 @@ from plumbline.operators import (
 from plumbline.plans import files, views
 from plumbline.plans.views import table
 from plumbline.session import scratch_path
-from plumbline.sources import admission, delimited, sniff, workbook
+from plumbline.sources import admission, delimited, folder, sniff, workbook
 from plumbline.streaming import jobs
 from plumbline.streaming.state import newest_version
 
@@ -626,13 +626,41 @@ def profile_files(spark, d):
     path = scratch_path(spark, "bands")
     raw.write.partitionBy("band").option("header", True).option("sep", ";").csv(path)
     loaded = delimited.load_table(spark, path, path_column="folder").df
-    folder = F.regexp_extract("folder", "band=([0-9])", 1)
-    return profile.grouped_profile(loaded.withColumn("folder", folder), "folder").select(
+    band = F.regexp_extract("folder", "band=([0-9])", 1)
+    return profile.grouped_profile(loaded.withColumn("folder", band), "folder").select(
         "table_name", "rows", "cols", "duplicate_rows", "total_missing", "completeness",
         "uniqueness", "quality_score",
     )
 
 
+@query
+def folder_load(spark, d):
+    return folder.load_folder(spark, files.write_customer_folder(spark, d)).df
+
+
+@query
+def folder_status(spark, d):
+    status = folder.load_folder(spark, files.write_customer_folder(spark, d)).status
+    sheets = F.array_join("sheets", "/").alias("sheets")
+    return status.groupBy("ending", "encoding", "delimiter", "status", sheets).agg(
+        F.count("*").alias("files"), F.sum("lines").alias("lines"), F.max("reason").alias("reason")
+    )
+
+
+@query
+def folder_quality_report(spark, d):
+    path = files.write_order_folder(views.raw_orders(spark, d))
+    return folder.quality_report(spark, path, order_by=["order_id"])
+
+
+@query
+def folder_analysis_report(spark, d):
+    path = files.write_order_folder(views.raw_orders(spark, d))
+    return folder.analysis_report(
+        spark, path, product="priority", region="status", revenue="amount", units="customer"
+    )
+
+
 @query
 def csv_roundtrip(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text")

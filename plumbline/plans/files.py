@@ -105,3 +105,65 @@ def customer_workbooks(spark: SparkSession, sf_dir: str, per_book: int = 500) ->
         .groupBy("book")
         .applyInPandas(_customer_book, "path string, content binary")
     )
+
+
+def _write_books(rows: list, folder: str) -> None:
+    """Puts (path, content) rows into a folder that every executor reaches."""
+    from pyarrow import fs
+
+    if "://" in folder or folder.startswith("file:"):
+        store, root = fs.FileSystem.from_uri(folder)
+    else:
+        store, root = fs.LocalFileSystem(), folder
+    store.create_dir(root, recursive=True)
+    for row in rows:
+        with store.open_output_stream(f"{root}/{row['path']}") as out:
+            out.write(row["content"])
+
+
+def write_customer_folder(spark: SparkSession, sf_dir: str) -> str:
+    """Customers as four kinds of files, by key modulo four, and files that no table is made of.
+
+    Commas with quoted line feeds; tabs; semicolons in Latin-1 with other columns in another order; and
+    workbooks whose columns are in yet another order.
+    """
+    folder = scratch_path(spark, "customers")
+    customers = table(spark, sf_dir, "customer").withColumn("kind", F.col("c_custkey") % 4)
+    columns = ["c_custkey", "c_name", "c_mktsegment"]
+
+    def write(kind: int, rows: DataFrame, ending: str, **options):
+        mine = rows.where(F.col("kind") == kind).drop("kind").repartition(2, "c_custkey")
+        settings = {"header": True, "escape": '"', "extension": ending, "ignoreTrailingWhiteSpace": False, **options}
+        mine.write.options(**settings).csv(f"{folder}/{ending}")
+
+    spanning = F.when(F.col("c_custkey") % 8 == 0, F.concat("c_mktsegment", F.lit("\nline, two"))).otherwise(F.col("c_mktsegment"))
+    write(0, customers.select("kind", "c_custkey", "c_name", spanning.alias("c_mktsegment")), "csv")
+    write(1, customers.select("kind", *columns), "tsv", sep="\t")
+    named = F.concat("c_name", F.lit(" é")).alias("c_name")
+    write(2, customers.select("kind", named, "c_nationkey", "c_custkey"), "txt", sep=";", encoding="ISO-8859-1")
+    books = customers.where("kind = 3").withColumn("book", F.floor(F.col("c_custkey") / 2000))
+    made = books.groupBy("book").applyInPandas(_turned_book, "path string, content binary")
+    made.foreachPartition(lambda rows: _write_books(rows, f"{folder}/books"))
+    customers.select("c_custkey").limit(3).coalesce(1).write.json(f"{folder}/json")
+    broken = [{"path": "broken.xlsx", "content": b"no workbook"}, {"path": "old.xls", "content": b"old"}]
+    spark.sparkContext.parallelize(broken, 1).foreachPartition(lambda rows: _write_books(rows, f"{folder}/broken"))
+    return folder
+
+
+def _turned_book(group: pd.DataFrame) -> pd.DataFrame:
+    rows = group.sort_values("c_custkey")[["c_mktsegment", "c_name", "c_custkey"]].astype(object)
+    sheets = {"People": [list(rows.columns), *rows.values.tolist()], "Other": [["x"], [1]]}
+    return pd.DataFrame({"path": [f"book-{group['book'].iloc[0]}.xlsx"], "content": [workbook_bytes(sheets)]})
+
+
+#: Files of each kind that ``write_order_folder`` writes.
+ORDER_FILES = 4
+
+
+def write_order_folder(raw: DataFrame) -> str:
+    """Rows of ``raw`` in files with semicolons and files with commas, by the order."""
+    folder = scratch_path(raw.sparkSession, "orders")
+    for half, sep in enumerate(";,"):
+        part = raw.where(F.col("order_id").cast("long") % 2 == half).repartition(ORDER_FILES, "order_id")
+        part.write.options(header=True, sep=sep).csv(f"{folder}/{half}")
+    return folder

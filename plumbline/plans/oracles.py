@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from plumbline.functions import fixed
+from plumbline.plans.files import ORDER_FILES
 from plumbline.plans.views import (
     DIRTY_ORDERS_SQL,
     RAW_ORDERS_SQL,
@@ -368,6 +369,12 @@ UNION ALL SELECT 12, 0, 'ALERT: Missing values detected in '
 ORACLES["analysis_report_lines"] = (
     f"SELECT block, place, {_redacted('line')} AS line FROM ({ORACLES['analysis_report_lines']})"
 )
+# The same report of the orders as read from files: several of them, so no file is named, and doubles.
+ORACLES["folder_analysis_report"] = (
+    ORACLES["analysis_report_lines"]
+    .replace("(0, 2, 'File: orders.csv'), ", "")
+    .replace("decimal(18,2)", "double")
+)
 ORACLES["sample_head"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100"
 
 # --- Text guardrails ----------------------------------------------------------------------------
@@ -807,6 +814,38 @@ lines AS (
 SELECT line_no, {_redacted("line")} AS line FROM lines"""
 )
 
+_HEADER = ";".join(ORDER_COLUMNS)
+_ORDER_BYTES = f"""(SELECT {2 * ORDER_FILES * (len(_HEADER) + 1)}
+  + CAST(sum(strlen(concat_ws(';', {", ".join(f"coalesce({c}, '')" for c in ORDER_COLUMNS)})) + 1) AS BIGINT)
+  FROM raw_orders)"""
+ORACLES["folder_quality_report"] = f"""
+SELECT line_no + (line_no >= 2)::INT AS line_no, line FROM ({ORACLES["quality_report_lines"]})
+UNION ALL SELECT 2, (SELECT 'Encoding: utf-8 | Delimiter: '',, ;'' | Size: ' || format('{{:,}}', n) || ' bytes'
+  FROM ({dirty(f"SELECT {_ORDER_BYTES} AS n")}))"""
+
+_CUSTOMER_KINDS = """kinds AS (
+  SELECT c_custkey AS k, c_custkey % 4 AS kind, * FROM customer)"""
+ORACLES["folder_load"] = f"""
+WITH {_CUSTOMER_KINDS}
+SELECT c_custkey, c_name || CASE WHEN kind = 2 THEN ' é' ELSE '' END AS c_name,
+       CASE WHEN kind = 2 THEN NULL
+            ELSE c_mktsegment || CASE WHEN k % 8 = 0 THEN chr(10) || 'line, two' ELSE '' END END AS c_mktsegment,
+       CASE WHEN kind = 2 THEN CAST(c_nationkey AS BIGINT) END AS c_nationkey
+FROM kinds"""
+ORACLES["folder_status"] = f"""
+WITH {_CUSTOMER_KINDS}, found AS (
+  SELECT '.csv' AS ending, 'utf-8' AS encoding, ',' AS delimiter, 'ok' AS status, NULL AS sheets, 2 AS files,
+         2 + count(*) + count(*) FILTER (k % 8 = 0) AS lines, '' AS reason FROM kinds WHERE kind = 0
+  UNION ALL SELECT '.tsv', 'utf-8', chr(9), 'ok', NULL, 2, 2 + count(*), '' FROM kinds WHERE kind = 1
+  UNION ALL SELECT '.txt', 'iso-8859-1', ';', 'ok', NULL, 2, 2 + count(*), '' FROM kinds WHERE kind = 2
+  UNION ALL SELECT '.xlsx', NULL, NULL, 'ok', 'People/Other', count(DISTINCT k // 2000), NULL, ''
+            FROM kinds WHERE kind = 3
+  UNION ALL SELECT '.xlsx', NULL, NULL, 'unreadable', '', 1, NULL, 'BadZipFile: File is not a zip file'
+  UNION ALL SELECT '.xls', NULL, NULL, 'unsupported', NULL, 1, NULL, ''
+  UNION ALL SELECT '.json', NULL, NULL, 'refused', NULL, 1, NULL,
+            'Invalid file type: .json. Allowed: .csv, .tsv, .txt, .xlsx, .xls')
+SELECT * FROM found"""
+
 # --- Streams ------------------------------------------------------------------------------------
 
 _REASON = """coalesce('Prompt injection detected: ''' || m || '''. Request rejected.', 'Input safe')"""

@@ -12,6 +12,11 @@ def has_ending(path: Column, endings) -> Column:
     return F.lower(path).rlike("(" + "|".join(e.replace(".", r"\.") for e in endings) + ")$")
 
 
+def ending(path: Column) -> Column:
+    """The ending of a path with its dot, in lower case; empty where there is none."""
+    return F.lower(F.regexp_extract(path, r"(\.[^./]*)$", 1))
+
+
 def admit_files(
     requested: DataFrame, inventory: DataFrame, endings=fixed.ANALYSIS_ENDINGS
 ) -> DataFrame:

@@ -24,7 +24,7 @@ def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select("path", F.col("length").alias("bytes"))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
     )
 
 
@@ -53,12 +53,11 @@ def _text(raw: Column, encoding: Column) -> Column:
     return F.regexp_replace(decoded, "^\ufeff|[\r\ufffd]+$", "")
 
 
-def _lines(spark: SparkSession, path: str | list[str], line_end: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], line_end: str, keep: Column | None) -> DataFrame:
     """Lines as raw bytes, with their file and a number that grows along each block of it."""
+    raw = spark.read.option("recursiveFileLookup", "true").option("lineSep", line_end).text(path)
     return (
-        spark.read.option("recursiveFileLookup", "true")
-        .option("lineSep", line_end)
-        .text(path)
+        (raw if keep is None else raw.where(keep))
         .select(
             "value",
             F.col("_metadata.file_path").alias("path"),
@@ -70,7 +69,7 @@ def _lines(spark: SparkSession, path: str | list[str], line_end: str) -> DataFra
     )
 
 
-def _first_lines(spark: SparkSession, path: str | list[str], per_file: DataFrame, line_end: str) -> DataFrame:
+def _first_lines(per_file: DataFrame, lines: DataFrame) -> DataFrame:
     """The bytes of the first filled line of each file, picked out of a second scan by number.
 
     Carrying the text through the first aggregate would make Spark sort all lines. Spark broadcasts
@@ -78,11 +77,12 @@ def _first_lines(spark: SparkSession, path: str | list[str], per_file: DataFrame
     """
     wanted = per_file.select("path", "at")
     raw = F.col("value").cast("binary").alias("raw")
-    lines = _lines(spark, path, line_end).where("in_first_block").select("path", "at", raw)
-    return lines.join(wanted, ["path", "at"])
+    return lines.where("in_first_block").select("path", "at", raw).join(wanted, ["path", "at"])
 
 
-def sniff(spark: SparkSession, path: str | list[str], line_end: str = "\n") -> DataFrame:
+def sniff(
+    spark: SparkSession, path: str | list[str], line_end: str = "\n", keep: Column | None = None
+) -> DataFrame:
     """One row per non-empty file: encoding, delimiter, first line, bytes and lines.
 
     The delimiter is the candidate whose most frequent non-zero count per line covers most lines;
@@ -90,6 +90,8 @@ def sniff(spark: SparkSession, path: str | list[str], line_end: str = "\n") -> D
     occurs, and tab wherever the file name says so. The first line is null in a blank file.
     ``quoted_feeds`` tells files with lines whose quotes do not pair up: their records may span lines.
 
+    ``keep`` is a condition on ``_metadata`` that says which files to look at.
+
     The counts of a line are its key in the first aggregate, so lines of the same shape are one row
     before the shuffle, whatever the size of their file.
     """
@@ -103,9 +105,9 @@ def sniff(spark: SparkSession, path: str | list[str], line_end: str = "\n") -> D
         ).alias(f"n{i}")
         for i, d in enumerate(fixed.DELIMITERS)
     ]
+    lines = _lines(spark, path, line_end, keep)
     counted = (
-        _lines(spark, path, line_end)
-        .select(
+        lines.select(
             "path",
             "bytes",
             F.is_valid_utf8("value").cast("int").alias("valid"),
@@ -173,7 +175,7 @@ def sniff(spark: SparkSession, path: str | list[str], line_end: str = "\n") -> D
         F.hex(F.substring("raw", 1, 2)), F.col("valid") == 1, F.col("bytes") - F.col("seen")
     )
     return (
-        per_file.join(_first_lines(spark, path, per_file, line_end), ["path", "at"], "left")
+        per_file.join(_first_lines(per_file, lines), ["path", "at"], "left")
         .withColumn("encoding", encoding)
         .withColumn(
             "delimiter",

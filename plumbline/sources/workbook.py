@@ -133,6 +133,46 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(_cells_of_files, CELLS)
 
 
+NAMED_CELLS = CELLS + ", name string, error string"
+
+
+def _named_cells_of_files(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["path", "sheet", "sheet_no", "row", "col", "value", "name", "error"]
+    for frame in frames:
+        for path, content in zip(frame["path"], frame["content"]):
+            batch, current, header = [], None, {}
+            try:
+                with zipfile.ZipFile(io.BytesIO(content)) as book:
+                    for sheet_no, (sheet, _) in enumerate(_sheets(book)):
+                        batch.append((path, sheet, sheet_no, 0, 0, None, None, None))
+                for sheet, sheet_no, row, col, value in _cells(content):
+                    if sheet_no != current:
+                        current, header, labels = sheet_no, {}, None
+                    if row == 1:
+                        header[col] = value
+                        label = None
+                    else:
+                        if labels is None:
+                            labels = header_names([header.get(c) for c in range(1, max(header, default=0) + 1)])
+                        label = labels[col - 1] if col <= len(labels) else f"Unnamed: {col - 1}"
+                    batch.append((path, sheet, sheet_no, row, col, value, label, None))
+                    if len(batch) >= _BATCH:
+                        yield pd.DataFrame(batch, columns=names)
+                        batch = []
+            except Exception as e:  # noqa: BLE001 - whatever is wrong with a file is that file's status
+                batch.append((path, None, -1, 0, 0, None, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(batch, columns=names)
+
+
+def named_cells(files: DataFrame) -> DataFrame:
+    """Cells with the name that their own workbook's header gives their column.
+
+    Every sheet has a row of number 0, cells or not. A workbook that cannot be read to its end has a row
+    with ``error``.
+    """
+    return files.select("path", "content").mapInPandas(_named_cells_of_files, NAMED_CELLS)
+
+
 def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx").load(path)
     return workbook_cells(files)

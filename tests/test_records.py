@@ -124,12 +124,13 @@ def test_states_against_a_fold():
         ('b",c,"d', True, True),
         ('""', False, True),
         ('"""', True, False),
-        ('a,"b""', True, True),
+        ('a,"b""', True, False),
         ('5" disk', False, False),
         ('x, "y', True, False),
         ('"a" "b', False, False),
         ("", False, True),
-        ('"' + 'a""' * 20_000, True, True),
+        ('"' + 'a""' * 20_000, True, False),
+        ('a""' * 20_000, False, True),
     ],
 )
 def test_lines_as_functions(spark, line, opens, stays):
