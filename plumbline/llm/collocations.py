@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.bitmap import bitmap_of, maybe_in
 from plumbline.llm.common import written
-from plumbline.llm.wordhash import hash_pieces, mix, ngrams, text_slices
+from plumbline.llm.wordhash import hash_pieces, mix, ngrams, strings_at, text_slices
 
 #: Words of a chunk, on average, without the overlap; and the most of them.
 CHUNK, CHUNK_MOST = 24, 256
@@ -41,14 +41,6 @@ _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[0x41:0x5B] += 32
 
 
-def _slices(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
-    """The strings that lie at [start, end) of UTF-8 bytes."""
-    bounds = np.concatenate([[0], np.cumsum(end - start)])
-    at = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], end - start)
-    buffers = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at].tobytes())]
-    return pa.Array.from_buffers(pa.large_string(), len(start), buffers)
-
-
 def chunks(docs: DataFrame, longest: int = 4) -> DataFrame:
     """(lang, own, chunk): the parse of all texts, lower-cased in A-Z.
 
@@ -60,7 +52,7 @@ def chunks(docs: DataFrame, longest: int = 4) -> DataFrame:
     def parse(batches):
         for batch in batches:
             langs = batch.column("lang")
-            for first, rows, data, offsets in text_slices(batch.column("text")):
+            for first, rows, data, offsets in textstrings_at(batch.column("text")):
                 data = np.insert(_TO_LOWER[data], offsets[1:], BREAK)
                 inside = _IS_WORD[data]
                 edges = np.diff(inside.astype(np.int8), prepend=0)
@@ -88,7 +80,7 @@ def chunks(docs: DataFrame, longest: int = 4) -> DataFrame:
                 row = np.searchsorted(bounds, cuts, side="right") - 1
                 own = np.diff(np.append(cuts, len(start)))
                 last = np.minimum(cuts + own + overlap, bounds[row + 1]) - 1
-                texts = _slices(data, begin[cuts], finish[last])
+                texts = strings_at(data, begin[cuts], finish[last])
                 yield pa.RecordBatch.from_arrays(
                     [langs.take(pa.array(first + row)), pa.array(own, pa.int32()), texts.cast(pa.string())],
                     ["lang", "own", "chunk"],
@@ -157,7 +149,7 @@ def _counts(entries: DataFrame, sizes: tuple[int, ...], part: int, wanted: np.nd
                 for j in range(size - part + 1):
                     keep &= good[j : j + least]
                 at = np.flatnonzero(keep)
-                phrases = _slices(said.data, said.start[at], said.end[at + size - 1])
+                phrases = strings_at(said.data, said.start[at], said.end[at + size - 1])
                 found = pa.table({
                     "lang": batch.column("lang").take(pa.array(said.row[at])),
                     "phrase": phrases,

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -28,8 +29,9 @@ ESCAPE = 14
 #: A block is closed when it holds so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
 
-#: Words that a task remembers with their ids; beyond them words are encoded again.
-CACHE_WORDS = 1_500_000
+#: Words, and letters of words in lower case, that a process remembers with their ids. Beyond them words are
+#: encoded again.
+CACHE_WORDS, CACHE_STEMS = 750_000, 750_000
 
 _MARK = "\x01"
 
@@ -40,27 +42,26 @@ _WORD = re.compile(rf"[\S{_KEPT}]+")
 
 def encode(ids: np.ndarray) -> np.ndarray:
     """Packs non-negative ids below 2**60 into words, greedily with as many ids as fit each time."""
-    ids = ids.astype(np.uint64)
     n = len(ids)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    bits = np.maximum(np.frexp(ids.astype(np.float64))[1], 1).astype(np.int8)
-    # a value just below a power of two may have been rounded up to it
-    bits[(ids >> (bits.astype(np.uint64) - np.uint64(1))) == 0] -= 1
-    bits = np.maximum(bits, 1)
+    # half the bytes to compare where the ids allow it
+    ids = ids.astype(np.uint32 if ids.max() < 1 << 32 else np.uint64)
     best = np.full(n, ESCAPE, dtype=np.int8)
     step = np.ones(n, dtype=np.int8)
-    places = np.arange(n)
+    # from the widest on, so that the last selector to fit at a place holds the most ids
     for selector, (count, width) in sorted(WIDTHS.items(), reverse=True):
         if count > n:
             break
-        # the ids from i on fit when the next id that is too wide is at least ``count`` away
-        wide = np.append(np.flatnonzero(bits > width), n)
-        runs = np.diff(wide, prepend=-1)
-        if int(runs.max()) <= count:  # a run counts the id that ends it, too
-            continue
-        fits = np.repeat(wide, runs)[:n] - places >= count
-        best[fits], step[fits] = selector, count
+        fits, spanned = ids < ids.dtype.type(1 << width), 1
+        while spanned < count and fits.any():
+            more = min(spanned, count - spanned)
+            fits = fits[: len(fits) - more] & fits[more:]
+            spanned += more
+        if spanned == count:
+            best[: len(fits)][fits] = selector
+            step[: len(fits)][fits] = count
+    ids = ids.astype(np.uint64)
     at, starts = 0, []
     steps = step.tolist()
     while at < n:
@@ -105,8 +106,8 @@ class _Encoder:
 
     The vocabulary's normaliser and splitter treat words between white space apart from each other, so a
     text's ids are its words' ids in turn. A new word of Latin-1 letters, with a full stop or comma behind
-    or not, goes right to the library's model where a trial shows that the vocabulary lower-cases and
-    keeps such words whole. Other new words go to the library together, set apart by a control character
+    or not, is known by its letters in lower case; they go right to the library's model where a trial
+    shows that the vocabulary lower-cases and keeps such words whole. Other new words go to the library together, set apart by a control character
     that forms a token of its own. Texts that hold this character or a special token's string are
     encoded as they are.
     """
@@ -116,6 +117,7 @@ class _Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
+        self.stems: dict[str, bytes] = {}
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         mark = self.library.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -123,25 +125,27 @@ class _Encoder:
         # the byte-level alphabet: printable Latin-1 stands for itself, the rest is moved behind it
         shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
         moved = {b: chr(256 + k) for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
-        spelt = {c: "".join(moved.get(b, chr(b)) for b in c.lower().encode()) for c in letters}
-        self.spelling = str.maketrans(spelt)
+        self.spelling = str.maketrans({c: "".join(moved.get(b, chr(b)) for b in c.encode()) for c in letters})
         self.stops = {c: self.plain(c) for c in ".,"}
         trials = [*letters, "".join(letters), "Abc.", "éÉß,", "naïve", "ÀÖØÞ.", "it.", "ªº"]
         self.direct = True
-        self.direct = all(self._one(w) == self.plain(w) for w in trials)
+        self.direct = all(self._one(w)[0] == self.plain(w) for w in trials)
 
-    def _one(self, word: str) -> bytes | None:
-        """The ids of a word of Latin-1 letters and perhaps a stop; None for other words."""
+    def _one(self, word: str) -> tuple[bytes | None, bool]:
+        """The ids of a word of Latin-1 letters and perhaps a stop (None for others), and whether its letters
+        have been met before, in either case."""
         stem, stop = (word[:-1], self.stops[word[-1]]) if word[-1] in self.stops else (word, b"")
-        if not self.direct or not stem.isalpha():
-            return None
-        if stem.isascii():
-            spelt = stem.lower()
-        elif max(stem) <= "ÿ":
-            spelt = stem.translate(self.spelling)
-        else:
-            return None
-        return b"".join([t.id.to_bytes(4, "little") for t in self.library.model.tokenize(spelt)]) + stop
+        if not (self.direct and stem.isalpha() and (stem.isascii() or max(stem) <= "ÿ")):
+            return None, True
+        stem = stem.lower()
+        ids = self.stems.get(stem)
+        if ids is not None:
+            return ids + stop, True
+        spelt = stem if stem.isascii() else stem.translate(self.spelling)
+        ids = array("I", [t.id for t in self.library.model.tokenize(spelt)]).tobytes()
+        if len(self.stems) < CACHE_STEMS:
+            self.stems[stem] = ids
+        return ids + stop, False
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -169,12 +173,21 @@ class _Encoder:
             split.append(words), found.append(parts)
             if None in parts:
                 new.update(w for w, p in zip(words, parts) if p is None)
-        fresh = {w: ids for w in new if (ids := self._one(w)) is not None}
-        new = [w for w in new if w not in fresh]
-        for start in range(0, len(new), 20_000):
-            fresh.update(self._learn(new[start : start + 20_000]))
+        # a word is remembered when its letters turn up again; most words never do
+        fresh, once, odd = {}, {}, []
+        for word in new:
+            ids, again = self._one(word)
+            if ids is None:
+                odd.append(word)
+            elif again:
+                fresh[word] = ids
+            else:
+                once[word] = ids
+        for start in range(0, len(odd), 20_000):
+            fresh.update(self._learn(odd[start : start + 20_000]))
         if len(known) < CACHE_WORDS:
             known.update(fresh)
+        fresh.update(once)
         out = []
         for words, parts in zip(split, found):
             if words and None in parts:
@@ -198,8 +211,9 @@ BLOCK_SCHEMA = (
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> None:
     """Writes the ids of all texts in ascending order of doc_id (nulls first), each closed by ``end_id``.
 
-    A null text is empty. Rows of equal id stay next to each other, ordered by text. ``tokenizer`` is the
-    vocabulary's file, to be found at the same place on all machines.
+    A null text is empty. Rows of equal id, or without one, stay next to each other, in an order of their
+    own that deals them over as many tasks as they need. ``tokenizer`` is the vocabulary's file, to be found
+    at the same place on all machines.
     """
 
     def pack(batches):
@@ -231,8 +245,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int, path: str) -> Non
         if held:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"),
+    )
+    order = ["doc_id", "hash", "row"]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     dealt.mapInArrow(pack, BLOCK_SCHEMA).write.parquet(path)
 
 

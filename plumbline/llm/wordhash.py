@@ -53,6 +53,14 @@ _TO_LOWER = np.arange(256, dtype=np.uint8)
 _TO_LOWER[0x41:0x5B] += 32
 
 
+def strings_at(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings that lie at [start, end) of UTF-8 bytes."""
+    bounds = np.concatenate([[0], np.cumsum(end - start)])
+    at = np.arange(bounds[-1]) + np.repeat(start - bounds[:-1], end - start)
+    buffers = [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data[at].tobytes())]
+    return pa.Array.from_buffers(pa.large_string(), len(start), buffers)
+
+
 @dataclass
 class Words:
     """The words of rows ``first`` to ``first + rows``: hashes, and where each row's words begin."""
