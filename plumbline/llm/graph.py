@@ -172,8 +172,10 @@ def _open_pairs(members: DataFrame, points: DataFrame, groups: int, need: Callab
     pairs = F.transform(
         F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j"))
     )
+    # first the few points that are asked for, then one of each
+    asked = points.join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     dealt = (
-        members.join(points, "node")
+        members.join(asked, "node")
         .select("key", "node", "center", "root", "size", "point", own.alias("own"), F.explode(pairs).alias("at"))
         .select("*", "at.i", "at.j")
         .drop("at")
@@ -234,7 +236,7 @@ def linked_classes(
     """(node, root) of all nodes that are linked with another.
 
     ``members`` (key, node): any two linked nodes share a key. ``points`` (node, size, point): a row per
-    node, ``point`` being ``groups`` bytes, each a count that stops at 255. ``need(size, size)`` bounds the overlap
+    node or more, ``point`` being ``groups`` bytes, each a count that stops at 255. ``need(size, size)`` bounds the overlap
     of linked nodes from below and does not fall with the sizes. ``verify`` keeps the true ones of
     candidate pairs (a, b); it is told all nodes (node) that may come up, and is asked up to three times.
     """

@@ -154,13 +154,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     signed = written(_signatures(docs, k, percent), "signatures", TEXT_BATCH)
     members = signed.select("node", F.explode("keys").alias("key"))
-    points = signed.filter("point IS NOT NULL").dropDuplicates(["node"]).select("node", "size", "point")
+    points = signed.filter("point IS NOT NULL").select("node", "size", "point")
 
     def need(a, b):
         return -(-(a + b) * percent // (100 + percent))
 
     def verify(pairs: DataFrame, _nodes: DataFrame) -> DataFrame:
-        ends = [points.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("point").alias(f"p_{c}")) for c in "ab"]
+        asked = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        few = points.join(asked, "node", "left_semi").dropDuplicates(["node"])
+        ends = [few.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("point").alias(f"p_{c}")) for c in "ab"]
         bounded = pairs.join(ends[0], "a").join(ends[1], "b").mapInArrow(bound, "a long, b long")
         bounded = written(bounded, "bounded")
         nodes = bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct()

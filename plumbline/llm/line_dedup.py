@@ -247,7 +247,7 @@ def deduplicate_lines(docs: DataFrame, threshold: int = 2, least: int = 24) -> D
     signed = written(_signatures(docs, threshold, least), "lines", TEXT_BATCH)
     filed = signed.filter("node IS NOT NULL")
     members = filed.select("node", F.explode("keys").alias("key"))
-    points = filed.dropDuplicates(["node"]).select("node", "size", "point")
+    points = filed.select("node", "size", "point")
 
     def need(a, b):
         return np.maximum(a, b) - threshold
