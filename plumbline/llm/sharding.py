@@ -6,8 +6,9 @@ split order, all nodes of a level at once; no approximate quantile decides. The
 one split per shard, and per node the sums of at most ``BINS`` bins.
 
 The split order is (coordinate, text, row): rows of equal coordinate are told apart by a hash of the
-text and then of the id. So a hot source is divisible, and equal texts stay together unless a cut
-falls inside their group.
+text and then of the id, so a hot source is divisible. Equal texts have one place: copies with other
+metadata take the smallest coordinates of their group. Cuts fall between the groups of a text; only a
+group that is larger than a shard is cut inside, by id.
 """
 
 from __future__ import annotations
@@ -31,6 +32,9 @@ KEY_BITS = AXIS_BITS + TEXT_BITS + ROW_BITS
 #: A cut is good enough when its bin holds at most this part of a shard.
 CLOSE = 1 / 2000
 
+#: Rows of the coordinates of a group of copies in their join, so that a text of very many copies is spread.
+PIECES = 16
+
 BYTES_OF_ROW = 16
 
 
@@ -151,7 +155,9 @@ def _find_cuts(points: DataFrame, tree: list[Node], depth: int, axes: int, todo:
     start, bits = np.zeros(len(tree), dtype=np.int64), np.full(len(tree), KEY_BITS)
     before, goals, shard = [0] * len(tree), {}, {}
     while todo:
-        axis, shift = np.array([n.axis for n in tree]), np.maximum(0, bits - BIN_BITS)
+        axis = np.array([n.axis for n in tree])
+        # bins are not finer than the groups of a text, until a group is to be cut
+        shift = np.maximum(np.where(bits > ROW_BITS, ROW_BITS, 0), bits - BIN_BITS)
         active = np.isin(np.arange(len(tree)), list(todo))
 
         def place(node, keys, axis=axis, shift=shift, active=active):
@@ -173,7 +179,8 @@ def _find_cuts(points: DataFrame, tree: list[Node], depth: int, axes: int, todo:
                 ahead.append(ahead[-1] + size)
             k = max(0, min(bisect.bisect_right(ahead, goals[i]), len(places)) - 1)
             b, size = places[k]
-            if shift[i] == 0 or size <= CLOSE * shard[i]:
+            whole = shift[i] == ROW_BITS and size <= shard[i]
+            if shift[i] == 0 or whole or size <= CLOSE * shard[i]:
                 nearer = goals[i] - ahead[k] <= ahead[k + 1] - goals[i]
                 tree[i].cut = int(start[i]) + ((b if nearer else b + 1) << int(shift[i]))
                 todo.discard(i)
@@ -194,11 +201,25 @@ def _with_shard(points: DataFrame, tree: list[Node], depth: int, axes: int) -> D
     return points.mapInArrow(place, f"doc_id {kind}, size long, text_crc32 long, shard int")
 
 
+def _one_place_per_text(points: DataFrame, axes: int) -> DataFrame:
+    """Gives copies whose coordinates differ the smallest of their group."""
+    names = [f"axis{a}" for a in range(axes)]
+    ends = [f(n).alias(f"{f.__name__}_{n}") for n in names for f in (F.min, F.max)]
+    differ = " OR ".join(f"min_{n} < max_{n}" for n in names)
+    groups = points.groupBy("digest").agg(*ends).filter(differ)
+    spread = groups.withColumn("piece", F.explode(F.sequence(F.lit(0), F.lit(PIECES - 1))))
+    dealt = points.withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.lit(PIECES)).cast("int"))
+    return dealt.join(spread, ["digest", "piece"], "left").select(
+        "doc_id", "size", "text_crc32", "tie", *(F.coalesce(f"min_{n}", n).alias(n) for n in names)
+    )
+
+
 def shard_documents(docs: DataFrame, shards: int, axes: dict[str, Column] | None = None) -> DataFrame:
     """One row per input row: doc_id, size, text_crc32, law, shard, slot, grown_shard.
 
     ``size`` is the text's UTF-8 bytes plus 16; a null text has none, and its CRC is 0. Shards hold
-    nearly equal bytes. ``slot`` numbers the rows of a shard from 0 by doc_id (nulls first, repeated
+    nearly equal bytes, as far as documents and groups of equal texts allow: a group is in one shard unless
+    it is larger than one. ``slot`` numbers the rows of a shard from 0 by doc_id (nulls first, repeated
     ids in any order). ``axes`` gives other coordinates, each a long in [0, 2**24). An empty table
     gives no rows; with fewer rows than shards, some shards stay empty.
     """
@@ -207,16 +228,18 @@ def shard_documents(docs: DataFrame, shards: int, axes: dict[str, Column] | None
     axes = axes or document_axes(docs)
     text_hash = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 64 - TEXT_BITS)
     row_hash = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(1)), 64 - ROW_BITS)
-    points = written(
+    read = written(
         docs.select(
             "doc_id",
+            F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"),
             document_size().alias("size"),
             F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
             (F.shiftleft(text_hash, ROW_BITS) + row_hash).alias("tie"),
             *(value.alias(f"axis{a}") for a, value in enumerate(axes.values())),
         ),
-        "shard-points",
+        "shard-rows",
     )
+    points = written(_one_place_per_text(read, len(axes)), "shard-points")
     tree, depth = build_tree(points, shards, len(axes))
     placed = _with_shard(points, tree, depth, len(axes))
     placed = with_positions(placed, ["shard", "doc_id"], "shard-slots")

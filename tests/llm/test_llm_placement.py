@@ -29,12 +29,31 @@ def test_shards_of_documents(spark, sf_dir):
 
 def test_shards_are_even_and_keep_copies_together(spark):
     rng = np.random.default_rng(3)
-    texts = ["word " * int(n) for n in rng.integers(1, 60, 3000)] + ["same text"] * 1500
-    texts = [f"{t} {k}" if k < 3000 else t for k, t in enumerate(texts)]
-    docs = documents(spark, texts, sources=["hot" if k % 3 else f"s{k % 20}" for k in range(4500)])
+    texts = [f"{'word ' * int(n)}{k}" for k, n in enumerate(rng.integers(1, 60, 3000))]
+    # groups of copies under several sources, and one that is larger than a shard
+    texts += [f"copy {k % 100}" * 3 for k in range(1000)] + ["same text of many copies " * 8] * 1500
+    order = rng.permutation(len(texts))
+    texts = [texts[i] for i in order]
+    docs = documents(spark, texts, sources=["hot" if k % 3 else f"s{k % 20}" for k in range(len(texts))])
     rows = sharding.shard_documents(docs, 7).collect()
     sizes = np.bincount([r.shard for r in rows], weights=[r.size for r in rows], minlength=7)
     assert sizes.max() - sizes.min() < 0.03 * sizes.mean()
+    places, held = {}, {}
+    for r in rows:
+        places.setdefault(texts[r.doc_id], set()).add(r.shard)
+        held[texts[r.doc_id]] = held.get(texts[r.doc_id], 0) + r.size
+    assert max(held.values()) > sizes.mean()
+    assert {t for t, shards in places.items() if len(shards) > 1} == {t for t, n in held.items() if n > sizes.mean()}
+
+
+def test_copies_share_a_shard(spark):
+    sf_dir = "/root/testdata/sf0.01"
+    texts = dict(table_rows(spark, sf_dir, "documents", "doc_id", "text"))
+    places = {}
+    for r in queries.QUERIES["op3_sharding"](spark, sf_dir).collect():
+        places.setdefault(texts[r.doc_id], []).append(r.shard)
+    groups = [shards for shards in places.values() if len(shards) > 1]
+    assert len(groups) > 50 and all(len(set(shards)) == 1 for shards in groups)
 
 
 def test_shards_of_odd_tables(spark):

@@ -255,3 +255,26 @@ def test_pipeline_of_nothing(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         assert out.collect() == []
+
+
+@pytest.fixture
+def odd_names(spark):
+    """Documents with columns whose names the stages use inside, or that have to be quoted."""
+    rows = [(i, f"some words of document number {i} and more of them {i * 7}", "en", f"s{i % 2}", i, 1, 2, 3, 4) for i in range(12)]
+    names = ["doc_id", "text", "lang", "source", "id", "_copies", "_time", "a.b", "_doc"]
+    return spark.createDataFrame(rows, names)
+
+
+@pytest.mark.parametrize("stage", ["keep_quality", "keep_one_of_near_duplicates", "drop_contaminated", "mix_sources"])
+def test_stages_keep_columns_of_any_name(spark, sf_dir, odd_names, stage):
+    kept = getattr(corpus_pipeline, stage)(spark, odd_names, sf_dir)
+    assert kept.columns == odd_names.columns
+    known = {tuple(r) for r in odd_names.collect()}
+    assert {tuple(r) for r in kept.collect()} <= known
+
+
+def test_clean_rows_stay_beside_contaminated_ones_of_their_id(spark, sf_dir):
+    item = table_rows(spark, sf_dir, "benchmark", "text")[0][0]
+    docs = documents(spark, [item, "clean one", f"x {item}", "clean two", None], ids=[None, None, 7, 7, 7])
+    kept = corpus_pipeline.drop_contaminated(spark, docs, sf_dir).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(None, "clean one"), (7, "clean two"), (7, None)], key=repr)
