@@ -24,7 +24,6 @@ from plumbline.plans.views import table
 from plumbline.session import scratch_path
 from plumbline.sources import admission, delimited, folder, sniff, workbook
 from plumbline.streaming import jobs
-from plumbline.streaming.state import newest_version
 
 QUERIES = {}
 
@@ -832,4 +831,4 @@ def stream_session_state(spark, d):
     jobs.start_session_state(
         stream, out, "user_id", "event_id", "event_type", "props", clears
     ).awaitTermination()
-    return jobs.current_state(newest_version(spark, f"{out}/state"))
+    return jobs.current_state(spark.read.parquet(f"{out}/changes"))

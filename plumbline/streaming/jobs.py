@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from plumbline.functions.text import injection_match, injection_reason, sanitize
-from plumbline.operators.ratelimit import rate_limit
-from plumbline.streaming.state import StateTable
+from plumbline.operators.coercion import quoted
+from plumbline.operators.ratelimit import admit
+from plumbline.operators.sessions import latest_values
+
+#: Bytes of files in a micro-batch. They bound what one session can have in a batch.
+BATCH_BYTES = "1g"
 
 
 def table_stream(spark, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -18,6 +28,8 @@ def table_stream(spark, sf_dir: str, name: str, files_per_trigger: int | None =
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    else:
+        reader = reader.option("maxBytesPerTrigger", BATCH_BYTES)
     return reader.parquet(path)
 
 
@@ -43,6 +55,18 @@ def start_guardrails(stream: DataFrame, out: str, text: str = "text") -> Streami
     )
 
 
+_KEY, _AT, _DATED, _STATUS = "__key", "__at", "__dated", "__status"
+
+
+def _micros(ts: str, kind: T.DataType) -> Column:
+    """Microseconds since 1970; a time without a zone is taken as it stands."""
+    c = F.col(quoted(ts))
+    if not isinstance(kind, T.TimestampNTZType):
+        return F.unix_micros(c)
+    seconds = F.unix_date(c.cast("date")) * F.lit(86_400) + F.hour(c) * 3_600 + F.minute(c) * 60
+    return seconds.cast("bigint") * 1_000_000 + (F.extract(F.lit("SECOND"), c) * 1_000_000).cast("bigint")
+
+
 def start_rate_limit(
     stream: DataFrame,
     out: str,
@@ -51,70 +75,92 @@ def start_rate_limit(
     seq: str,
     max_requests: int,
     window_seconds: float,
+    forget_after: str | None = None,
 ) -> StreamingQuery:
     """The limiter over a stream, by event time; rows go to ``out/rows`` with a status.
 
-    Every micro-batch runs the batch operator on its rows together with the requests that still
-    count, so a hot session is split over tasks here too. A row older than the newest row already
-    decided in its session can no longer be decided and is marked ``late``.
+    Spark keeps one state per session: the last allowed times and the newest row. A batch reads and
+    writes the states of its own sessions only. A row older than the newest row already decided in
+    its session can no longer be decided and is marked ``late``, as is one without time or ``seq``.
 
-    The state holds, per session, the last allowed requests and the newest row. Its size grows with
-    the sessions, not with the requests.
+    The rows that one session has in a batch are sorted in one task, so the source has to bound its
+    batches (``table_stream`` does). With ``forget_after``, a delay such as "1 hour", time also moves
+    the states out: a session is dropped once the watermark is a window past its newest row, and
+    rows behind the watermark are dropped by Spark undecided.
     """
-    spark = stream.sparkSession
-    types = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = (
-        f"`{session}` {types[session]}, `{ts}` {types[ts]}, `{seq}` {types[seq]}, counts boolean"
+    window = int(window_seconds * 1_000_000)
+    types = {f.name: f.dataType for f in stream.schema}
+    # Columns travel under plain names, and whole numbers, which nulls would turn into floats, as text.
+    rest = {name: f"c{i}" for i, name in enumerate(stream.columns) if name not in (session, ts)}
+    order = rest[seq]
+
+    def carried(name: str) -> Column:
+        c = F.col(quoted(name))
+        return c.cast("string") if name != seq and isinstance(types[name], T.IntegralType) else c
+
+    if forget_after:
+        stream = stream.withWatermark(ts, forget_after)
+    at = _micros(ts, types[ts])
+    keyed = stream.select(
+        F.col(quoted(session)).cast("string").alias(_KEY),
+        F.coalesce(at, F.lit(0)).alias(_AT),
+        (at.isNotNull() & F.col(quoted(seq)).isNotNull()).alias(_DATED),
+        F.col(quoted(ts)).alias("ts"),
+        *(carried(name).alias(plain) for name, plain in rest.items()),
+    )
+    given = {f.name: f.dataType for f in keyed.schema}
+    decided = T.StructType(
+        [T.StructField(c, given[c]) for c in (_KEY, _AT, _DATED, *rest.values())]
+        + [T.StructField(_STATUS, T.StringType())]
+    )
+    state_type = T.StructType(
+        [
+            T.StructField("at", T.LongType()),
+            T.StructField("seq", types[seq]),
+            T.StructField("memory", T.ArrayType(T.LongType())),
+        ]
     )
-    state = StateTable(spark, f"{out}/state", schema)
-    place = F.struct(ts, seq)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        old = state.before(batch_id)
-        newest = old.groupBy(session).agg(F.max(place).alias("__newest"))
-        marked = batch.join(newest, session, "left").withColumn(
-            "__late", F.coalesce(place < F.col("__newest"), F.lit(False))
-        ).drop("__newest")
-        counting = old.where("counts").select(session, ts, seq).withColumn("__prior", F.lit(True))
-        log = marked.withColumn("__prior", F.lit(False)).unionByName(
-            counting, allowMissingColumns=True
-        ).withColumn("__late", F.coalesce("__late", F.lit(False)))
-        decided = rate_limit(
-            log, session, ts, [seq], max_requests, window_seconds, skip="__late", prior="__prior"
-        ).persist()
-        (
-            decided.where(~F.col("__prior"))
-            .withColumn(
-                "status",
-                F.when(F.col("__late"), "late")
-                .when(F.col("allowed"), "allowed")
-                .otherwise("denied"),
-            )
-            .drop("__prior", "__late")
-            .write.mode("overwrite")
-            .parquet(f"{out}/rows/batch={batch_id}")
-        )
-        last = Window.partitionBy(session).orderBy(F.desc(ts), F.desc(seq))
-        kept = (
-            decided.where(F.col("__prior") | F.col("allowed"))
-            .withColumn("__rank", F.row_number().over(last))
-            .where(F.col("__rank") <= max_requests)
-            .select(session, ts, seq, F.lit(True).alias("counts"))
-        )
-        seen = decided.select(session, ts, seq).unionByName(old.select(session, ts, seq))
-        newest_rows = (
-            seen.groupBy(session)
-            .agg(F.max(place).alias("p"))
-            .select(session, f"p.{ts}", f"p.{seq}", F.lit(False).alias("counts"))
-        )
-        state.write(kept.unionByName(newest_rows), batch_id)
-        decided.unpersist()
 
+    def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat(list(frames), ignore_index=True).sort_values([_AT, order], kind="stable")
+        newest_at, newest_seq, memory = state.get if state.exists else (None, None, [])
+        times, dated = rows[_AT].to_numpy(np.int64), rows[_DATED].to_numpy(bool)
+        late = ~dated
+        if newest_at is not None:
+            tied = (times == newest_at) & dated
+            late |= times < newest_at
+            late[tied] = (rows[order][tied] < newest_seq).to_numpy(bool)
+        status = np.full(len(rows), "late", dtype=object)
+        allowed, memory = admit(times[~late], list(memory), max_requests, window)
+        status[~late] = np.where(allowed, "allowed", "denied")
+        if len(allowed):
+            last = rows[~late].iloc[-1]
+            newest_at, newest_seq = int(last[_AT]), last[order]
+            newest_seq = newest_seq.item() if isinstance(newest_seq, np.generic) else newest_seq
+            state.update((newest_at, newest_seq, [int(m) for m in memory]))
+        if forget_after and newest_at is not None:
+            over = (newest_at + window) // 1000
+            state.setTimeoutTimestamp(max(over, state.getCurrentWatermarkMs() + 1))
+        yield rows.assign(**{_STATUS: status})[decided.names]
+
+    timeout = GroupStateTimeout.EventTimeTimeout if forget_after else GroupStateTimeout.NoTimeout
+    states = keyed.groupBy(_KEY).applyInPandasWithState(decide, decided, state_type, "append", timeout)
+    if isinstance(types[ts], T.TimestampNTZType):
+        back = F.timestamp_add("MICROSECOND", F.col(_AT), F.lit("1970-01-01").cast("timestamp_ntz"))
+    else:
+        back = F.timestamp_micros(_AT)
+    restored = {session: F.col(_KEY), ts: F.when(F.col(_AT).isNotNull(), back)}
+    columns = [(F.col(rest[c]) if c in rest else restored[c]).cast(types[c]).alias(c) for c in stream.columns]
     return (
-        stream.writeStream.foreachBatch(step)
+        states.withColumn(_AT, F.when(F.col(_DATED) | (F.col(_AT) != 0), F.col(_AT)))
+        .select(*columns, F.col(_STATUS).alias("status"))
+        .writeStream.format("parquet")
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
-        .start()
+        .start(f"{out}/rows")
     )
 
 
@@ -127,51 +173,37 @@ def start_session_state(
     value: str,
     clears: Column,
 ) -> StreamingQuery:
-    """Session memory over a stream; ``newest_version`` of ``out/state`` is the current state.
+    """Session memory over a stream; ``current_state`` of ``out/changes`` is what lives now.
 
-    A version has one row per (session, key) and one per cleared session, merged by plain maxima
-    that do not depend on the order in which rows arrive.
+    A streaming aggregation keeps, per (session, key) and per cleared session, the latest row. These
+    are plain maxima that do not depend on the order in which rows arrive, and are combined before the
+    shuffle, so a hot session stays small. Every batch writes the rows that it changed; a repeated
+    batch writes them again in the same place.
     """
-    spark = stream.sparkSession
-    types = {f.name: f.dataType.simpleString() for f in stream.schema}
-    schema = (
-        f"session {types[session]}, key {types[key]}, value {types[value]}, seq {types[seq]},"
-        " is_clear boolean"
+    is_clear = F.coalesce(clears, F.lit(False))
+    news = stream.select(
+        F.col(quoted(session)).alias("session"),
+        F.when(~is_clear, F.col(quoted(key))).alias("key"),
+        F.when(~is_clear, F.col(quoted(value))).alias("value"),
+        F.col(quoted(seq)).alias("seq"),
+        is_clear.alias("is_clear"),
+    )
+    latest = news.groupBy("session", "key", "is_clear").agg(
+        F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq")
     )
-    state = StateTable(spark, f"{out}/state", schema)
-
-    def step(batch: DataFrame, batch_id: int) -> None:
-        is_clear = F.coalesce(clears, F.lit(False))
-        news = batch.select(
-            F.col(session).alias("session"),
-            F.when(~is_clear, F.col(key)).alias("key"),
-            F.when(~is_clear, F.col(value)).alias("value"),
-            F.col(seq).alias("seq"),
-            is_clear.alias("is_clear"),
-        )
-        merged = (
-            news.unionByName(state.before(batch_id))
-            .groupBy("session", "key", "is_clear")
-            .agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
-        )
-        state.write(merged.select("session", "key", "value", "seq", "is_clear"), batch_id)
+
+    def write(changed: DataFrame, batch_id: int) -> None:
+        changed.write.mode("overwrite").parquet(f"{out}/changes/batch={batch_id}")
 
     return (
-        stream.writeStream.foreachBatch(step)
+        latest.writeStream.outputMode("update")
+        .foreachBatch(write)
         .option("checkpointLocation", f"{out}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
 
 
-def current_state(state: DataFrame) -> DataFrame:
-    """The live (session, key, value, seq) rows of a version of the session state."""
-    cleared = (
-        state.where("is_clear").groupBy("session").agg(F.max("seq").alias("cleared_at"))
-    )
-    return (
-        state.where("not is_clear")
-        .join(cleared, "session", "left")
-        .where(F.col("cleared_at").isNull() | (F.col("seq") > F.col("cleared_at")))
-        .select("session", "key", "value", "seq")
-    )
+def current_state(changes: DataFrame) -> DataFrame:
+    """The live (session, key, value, seq) rows after all ``changes`` of a stream."""
+    return latest_values(changes, "session", "seq", "key", "value", F.col("is_clear"))

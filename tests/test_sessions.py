@@ -9,7 +9,6 @@ from plumbline.functions import routing
 from plumbline.operators import sessions, trace
 from plumbline.operators.ratelimit import rate_limit
 from plumbline.streaming import jobs
-from plumbline.streaming.state import newest_version
 
 START = datetime.datetime(2024, 1, 1)
 
@@ -147,7 +146,7 @@ def test_streams_equal_batch_over_several_batches(spark, sf_dir, tmp_path):
         spark, events, str(tmp_path / "in2"),
         lambda s: jobs.start_session_state(s, memory, "user_id", "event_id", "event_type", "props", clears), pieces,
     )
-    state = jobs.current_state(newest_version(spark, f"{memory}/state"))
+    state = jobs.current_state(spark.read.parquet(f"{memory}/changes"))
     expected = sessions.latest_values(events, "user_id", "event_id", "event_type", "props", clears)
     assert sorted(map(tuple, state.collect())) == sorted(map(tuple, expected.collect()))
 
@@ -165,3 +164,49 @@ def test_late_rows_get_no_decision(spark, tmp_path):
     )
     got = {r["event_id"]: r["status"] for r in spark.read.parquet(f"{out}/rows").collect()}
     assert got == {0: "allowed", 1: "late", 2: "allowed", 3: "denied"}
+
+
+def test_stream_limiter_carries_odd_rows_and_touches_only_the_sessions_of_a_batch(spark, tmp_path):
+    def at(second):
+        return None if second is None else START + datetime.timedelta(seconds=second, microseconds=7)
+
+    big = 2**60 + 1
+    rows = [(0, at(0), None, big, "a"), (1, at(1), "u", None, None), (2, None, "u", 1, "b"), (3, at(2), None, big, "c")]
+    rows += [(4, at(3), None, None, "d"), (5, at(90), None, 5, "e"), (6, at(4), "w", 6, "f")]
+    schema = "event_id bigint, ts timestamp_ntz, user_id string, `a.b` bigint, note string"
+    df = spark.createDataFrame(rows, schema)
+    out = str(tmp_path / "out")
+    queries = []
+
+    def start(stream):
+        queries.append(jobs.start_rate_limit(stream, out, "user_id", "ts", "event_id", 2, 60))
+        return queries[-1]
+
+    run_in_files(spark, df, str(tmp_path / "in"), start, [(0, 4), (4, 6), (6, 7)])
+    got = spark.read.parquet(f"{out}/rows")
+    assert got.drop("status").schema.simpleString() == df.schema.simpleString()
+    assert sorted(map(tuple, got.drop("status").collect())) == sorted(rows)
+    want = {0: "allowed", 1: "allowed", 2: "late", 3: "allowed", 4: "denied", 5: "allowed", 6: "allowed"}
+    assert {r["event_id"]: r["status"] for r in got.collect()} == want
+    updated = [sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress if p["stateOperators"]) for q in queries]
+    total = [q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] for q in queries]
+    assert updated == [2, 1, 1] and total == [2, 2, 3]
+
+
+def test_stream_limiter_forgets_sessions_behind_the_watermark(spark, tmp_path):
+    def at(second):
+        return datetime.datetime(2025, 1, 1) + datetime.timedelta(seconds=second)
+
+    rows = [(0, at(0), "u"), (1, at(5_000), "w"), (2, at(9_000), "w"), (3, at(9_001), "u")]
+    df = spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id string")
+    out = str(tmp_path / "out")
+    queries = []
+
+    def start(stream):
+        queries.append(jobs.start_rate_limit(stream, out, "user_id", "ts", "event_id", 2, 60, "10 minutes"))
+        return queries[-1]
+
+    run_in_files(spark, df, str(tmp_path / "in"), start, [(0, 1), (1, 2), (2, 3), (3, 4)])
+    got = {r["event_id"]: r["status"] for r in spark.read.parquet(f"{out}/rows").collect()}
+    assert got == dict.fromkeys(range(4), "allowed")
+    assert queries[2].recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
