@@ -4,6 +4,7 @@ import hashlib
 import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -75,6 +76,59 @@ def test_nothing_is_lost_behind_elements_without_an_end(page, want):
     assert html_extract.main_text(page, ZERO) == want
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<body><div class='content has-sidebar'><p>one</p></div>", "one"),
+        ("<div class='content no-header with_comments'><p>one</p></div><div class='sidebar content'>no</div>", "one"),
+        ("<article><p data-id='share'>one</p><p title='the hidden truth'>two</p><p alt='class=ad'>three</p></article>", "one\n\ntwo\n\nthree"),
+        ("<article><p title=it's>one</p><p>don't</p></article>", "one\n\ndon't"),
+        ("<article><p class=\"a>one</p></article>", "one"),
+        ("<article><p title='a > b' lang = en>one</p><p class= 'ad' >no</p></article>", "one"),
+        ("<article><p>x</p><button>no3</button><label>no4</label></article>", "x"),
+        ("<article><p>a <button>no</button>b<label>no</label></p>c</article>", "a b\n\nc"),
+        ("<article><p>a <span hidden>no</span>b <span class='ad'>no <b>no</b></span>c</p></article>", "a b c"),
+        ("<article><p>a <span class=ad>no<p>b</p></article>", "a\n\nb"),
+        ("<article><p>a <b style='display : none'>no</b>b</p><div aria-hidden=true>no</div></article>", "a b"),
+        ("<article><p>one</p></article><div><p>Great post</p><p>Me too</p></div>", "one"),
+        ("<!--><article><p>a</p><!-- <p>no</p>", "a"),
+    ],
+)
+def test_real_attributes_and_elements_apart(page, want):
+    assert html_extract.main_text(page, ZERO) == want
+
+
+def test_labels_that_only_the_cut_explains():
+    weights = np.array([0, 0, 0, 0, 0.8, 0])
+    page = "<article><p>One.</p><section id=discussion><h2>Discussion</h2><p>Two.</p></section><p>Three.</p></article>"
+    tree = html_extract.read_page(page)
+    own = [b.markup + (0 if b.heading else 0.8) for b in tree.blocks]
+    assert [b.text for b, o in zip(tree.blocks, own) if o < 0] == ["Discussion"]
+    assert html_extract.main_text(page, weights) == "One.\n\nDiscussion\n\nTwo.\n\nThree."
+    # The same heading falls where nothing near it speaks for it.
+    lone = "<article><p>One.</p><section id=discussion><h2>Discussion</h2><p>login or register</p></section></article>"
+    assert html_extract.main_text(lone, weights) == "One."
+
+
+@pytest.mark.parametrize(
+    "piece, times",
+    [
+        ("<a ", 300_000), ("<a href=\"x\" ", 80_000), ("<p class='", 100_000), ("<div>", 200_000), ("<div>x", 40_000),
+        ("<b><div>", 60_000), ("<i></b>", 100_000), ("<script></script ", 60_000), ("<!-- ", 200_000), ("<td><i>", 60_000),
+        ("<noscript><p>", 60_000), ("<svg><title>", 60_000), ("</", 400_000), ("<a b= ", 100_000), ("<p>one two</p>", 30_000),
+    ],
+)
+def test_time_grows_with_the_page(piece, times):
+    start = time.process_time()
+    html_extract.main_text(piece * times, ZERO)
+    assert time.process_time() - start < 6
+
+
+def test_features_look_at_all_words():
+    text = "a " * 300 + "B " * 300
+    assert html_extract.features(html_extract.Block(text.strip(), 0, 0, 0.0, 0, False))[5] == 0.5
+
+
 def test_min_cut_against_all_labellings():
     rng = random.Random(0)
     for _ in range(150):
