@@ -1,4 +1,8 @@
-"""Duplicate rows: their number and their groups, both by the values of the rows."""
+"""Duplicate rows: their number and their groups, both by the values of the rows.
+
+Digests of the rows decide which rows are looked at: those whose digest occurs once are no copies, and
+only the others move as a whole. Equal digests prove nothing; the values of the rows do.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.coercion import quoted
+from plumbline.session import scratch_path
 
 
 def _comparable(field: T.StructField) -> Column:
@@ -17,14 +22,35 @@ def _comparable(field: T.StructField) -> Column:
     return c.alias(field.name)
 
 
+def _candidates(df: DataFrame) -> DataFrame:
+    """The rows whose digest occurs more than once, with columns named by their places.
+
+    A row without a copy costs 24 bytes of shuffle. The digests that occur twice are written, so that
+    Spark knows their size when it chooses the join.
+    """
+    names = [str(i) for i in range(len(df.columns))]
+    rows = df.select(*(_comparable(f).alias(name) for name, f in zip(names, df.schema)))
+    values = [F.col(quoted(name)) for name in names]
+    # Nulls leave no trace in the hash, so their places go into it.
+    gaps = F.concat(F.lit(""), *(F.when(v.isNull(), "1").otherwise("0") for v in values))
+    digests = rows.select(
+        F.xxhash64(gaps, *values).alias("__a"), F.xxhash64(*values, gaps, F.lit(1)).alias("__b"), *values
+    )
+    path = scratch_path(df.sparkSession, "digests")
+    digests.groupBy("__a", "__b").agg(F.count("*").alias("n")).where("n > 1").select("__a", "__b").write.parquet(path)
+    twice = df.sparkSession.read.schema("__a long, __b long").parquet(path)
+    return digests.join(twice, ["__a", "__b"], "left_semi").select(*values)
+
+
 def duplicate_groups(df: DataFrame, count: str = "copies") -> DataFrame:
     """Every row that occurs more than once, with the number of its copies.
 
-    Copies within a task are combined first, so each row moves once at most and a hot row hardly at all.
+    Copies within a task are combined before they move, so a hot row hardly moves at all.
     """
-    rows = df.select(*(_comparable(f) for f in df.schema))
-    columns = [F.col(quoted(name)) for name in df.columns]
-    return rows.groupBy(*columns).agg(F.count("*").alias(count)).where(F.col(count) > 1)
+    found = _candidates(df)
+    values = [F.col(quoted(name)) for name in found.columns]
+    counted = found.groupBy(*values).agg(F.count("*").alias("__n")).where("__n > 1")
+    return counted.select(*(v.alias(name) for v, name in zip(values, df.columns)), F.col("__n").alias(count))
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -32,10 +58,9 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     Rows are grouped by their values as in ``duplicate_groups``; no text form of them decides.
     """
-    names = [str(i) for i in range(len(df.columns))]
-    rows = df.select(*(_comparable(f).alias(name) for name, f in zip(names, df.schema)))
+    found = _candidates(df)
     return (
-        rows.groupBy(*(F.col(quoted(name)) for name in names))
+        found.groupBy(*(F.col(quoted(name)) for name in found.columns))
         .agg(F.count("*").alias("n"))
         .agg(F.coalesce(F.sum(F.greatest(F.col("n") - 1, F.lit(0))), F.lit(0)).cast("bigint").alias("duplicate_rows"))
     )

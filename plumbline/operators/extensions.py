@@ -2,35 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
-from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.operators.analysis import QUARTILES, numeric_summary
 from plumbline.operators.coercion import number_columns, quoted, without_nan
 from plumbline.operators.quantiles import exact_quantiles
 
+#: Sums over the rows that have both x and y: rows, x, y, squares, products, infinite values.
+_SUMS = ("n", "x", "y", "xx", "yy", "xy", "wild")
+
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, in one pass.
+    """Pearson correlation of every pair of numeric columns.
+
+    A pair uses the rows where both values are numbers; it has no correlation if they are fewer than
+    two or one side does not vary there, and NaN if one side is infinite there. With fewer than two
+    columns there are no pairs.
 
-    A pair uses the rows where both values are numbers. With fewer than two columns there are no pairs.
+    Every task multiplies blocks of rows into sums for all pairs at once and sends one row per pair.
+    Values are taken from the mean of their column, so the sums do not cancel.
     """
     columns = number_columns(df) if columns is None else columns
     if len(columns) < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, correlation double")
-    df = df.select(*(without_nan(df, c).alias(c) for c in columns))
-    pairs = [
-        F.struct(
-            F.lit(a).alias("a"),
-            F.lit(b).alias("b"),
-            F.corr(quoted(a), quoted(b)).alias("correlation"),
-        )
-        for a, b in combinations(columns, 2)
-    ]
-    return df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
+    plain = [f"c{i}" for i in range(len(columns))]
+    values = df.select(*(without_nan(df, c).cast("double").alias(p) for c, p in zip(columns, plain)))
+    finite = (F.when(F.abs(p) < float("inf"), F.col(p)) for p in plain)
+    means = values.agg(*(F.avg(c) for c in finite)).first()
+    middle = np.array([0.0 if m is None or not np.isfinite(m) else m for m in means])
+    left, right = np.triu_indices(len(plain), 1)
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = None
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
+            there = ~np.isnan(x)
+            wild = np.isinf(x)
+            x = np.where(there & ~wild, x - middle, 0.0)
+            m, w, xx = there.astype(float), wild.astype(float), x * x
+            new = np.stack([m.T @ m, x.T @ m, m.T @ x, xx.T @ m, m.T @ xx, x.T @ x, w.T @ m + m.T @ w])
+            sums = new if sums is None else sums + new
+        if sums is not None:
+            picked = [pa.array(s[left, right]) for s in sums]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(left, pa.int32()), pa.array(right, pa.int32()), *picked], names=["i", "j", *_SUMS]
+            )
+
+    parts = values.mapInArrow(multiply, "i int, j int, " + ", ".join(f"{s} double" for s in _SUMS))
+    total = parts.groupBy("i", "j").agg(*(F.sum(s).alias(s) for s in _SUMS))
+
+    def spread(square: str, plain_sum: str) -> Column:
+        left_over = F.col(square) - F.col(plain_sum) * F.col(plain_sum) / F.col("n")
+        # What rounding leaves of a side that does not vary.
+        return F.when(left_over > F.col(square) * 1e-12, left_over)
+
+    together = F.col("xy") - F.col("x") * F.col("y") / F.col("n")
+    ratio = together / F.sqrt(spread("xx", "x")) / F.sqrt(spread("yy", "y"))
+    names = F.array(*map(F.lit, columns))
+    return total.select(
+        F.get(names, F.col("i")).alias("a"),
+        F.get(names, F.col("j")).alias("b"),
+        F.when(F.col("wild") > 0, float("nan"))
+        .when((F.col("n") > 1) & ratio.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio)))
+        .alias("correlation"),
+    )
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed
+from plumbline.session import shared_root
 
 
 def recorded_events(
@@ -14,7 +15,7 @@ def recorded_events(
     seq: str,
     switch: Column,
     clear: Column,
-    block: int = 50_000,
+    chunks: int | None = None,
 ) -> DataFrame:
     """Events kept by the tracer.
 
@@ -22,14 +23,20 @@ def recorded_events(
     recording starts on, and the switch rows themselves are not events. ``clear`` marks events
     that drop everything before them, themselves included.
 
-    ``seq`` is a whole number that is unique in its session. Sessions are cut into blocks of
-    consecutive numbers; the last switch and clear of each block are looked up in a window over
-    blocks, so a hot session never sits in one task.
+    ``seq`` orders a session and is unique in it; any orderable type will do, and how its values are
+    spaced does not matter. The log is cut into ``chunks`` ranges of (session, seq) of about equal row
+    counts. The last switch and clear of each piece of a session are carried to its later pieces in a
+    window over pieces, so a hot session never sits in one task.
     """
+    shared_root(log.sparkSession)
+    chunks = chunks or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Checkpointed, because the ranges are drawn from a sample and two readers have to see the same ones.
     rows = (
-        log.withColumn("__block", F.floor(F.col(seq) / block))
-        .withColumn("__switch", switch)
+        log.withColumn("__switch", switch)
         .withColumn("__clear", F.coalesce(clear, F.lit(False)))
+        .repartitionByRange(chunks, session, seq)
+        .withColumn("__block", F.spark_partition_id())
+        .checkpoint()
     )
     marked = F.col("__switch").isNotNull()
     blocks = rows.groupBy(session, "__block").agg(

@@ -18,7 +18,7 @@ from plumbline.operators.ratelimit import admit
 from plumbline.operators.sessions import latest_values
 
 #: Bytes of files in a micro-batch. They bound what one session can have in a batch.
-BATCH_BYTES = "1g"
+BATCH_BYTES = 1 << 30
 
 
 def table_stream(spark, sf_dir: str, name: str, files_per_trigger: int | None = None) -> DataFrame:

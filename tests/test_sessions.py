@@ -74,9 +74,21 @@ def test_trace_blocks_do_not_matter(spark):
         elif on.get(s, True):
             kept.append(i)
     switch = F.when(F.col("kind") == "on", True).when(F.col("kind") == "off", False)
-    for block in (1, 7, 50_000):
-        got = trace.recorded_events(log, "session", "seq", switch, F.col("kind") == "clear", block)
+    for chunks in (1, 7, 40):
+        got = trace.recorded_events(log, "session", "seq", switch, F.col("kind") == "clear", chunks)
         assert sorted(r["seq"] for r in got.collect()) == sorted(i for v in expected.values() for i in v)
+    # Numbers far apart, as microseconds are, change nothing.
+    times = log.withColumn("seq", F.col("seq") * 86_400_000_000)
+    got = trace.recorded_events(times, "session", "seq", switch, F.col("kind") == "clear", 7)
+    assert sorted(r["seq"] // 86_400_000_000 for r in got.collect()) == sorted(i for v in expected.values() for i in v)
+
+
+def test_trace_of_a_hot_session_is_spread(spark):
+    log = spark.range(20_000).selectExpr("'hot' AS s", "id * 1000003 AS n").repartition(8)
+    kept = trace.recorded_events(log, "s", "n", F.lit(None).cast("boolean"), F.col("n") == 1_000_003 * 4_999, 8)
+    assert kept.count() == 15_000
+    pieces = log.repartitionByRange(8, "s", "n").groupBy(F.spark_partition_id()).count()
+    assert max(r["count"] for r in pieces.collect()) < 2 * 20_000 / 8
 
 
 def test_trace_lines(spark):

@@ -242,3 +242,34 @@ def test_overlap_orphans_recheck(spark):
     assert [tuple(r) for r in extensions.orphans(a, "k", b, "j").collect()] == [(1, 1)]
     assert all(r["confirmed"] for r in extensions.recheck(b, ["j"]).collect())
     assert extensions.outliers(table(spark, "v int", *[(i,) for i in range(20)], (999,)), "v").first()["v"] == 999
+
+
+def test_correlations_with_gaps_constants_and_infinite_values(spark):
+    inf = float("inf")
+    rows = [(1.0, 1e9 + 1, None, 7.1, 1.0), (2.0, 1e9 + 3, 1.0, 7.1, inf), (4.0, 1e9 + 2, 5.0, 7.1, None), (None, 1e9, 2.0, 7.1, 3.0)]
+    df = table(spark, "`a.b` double, b double, c double, d double, e double", *rows).repartition(3)
+    got = {(r["a"], r["b"]): r["correlation"] for r in extensions.correlations(df).collect()}
+    assert got["a.b", "b"] == pytest.approx(statistics.correlation([1, 2, 4], [1, 3, 2]))
+    assert got["b", "c"] == pytest.approx(statistics.correlation([3, 2, 0], [1, 5, 2]))
+    assert got["a.b", "c"] == pytest.approx(1.0)
+    assert got["a.b", "d"] is None and got["c", "d"] is None
+    assert str(got["b", "e"]) == "nan" and len(got) == 10
+    empty = extensions.correlations(df.limit(0)).collect()
+    assert all(r["correlation"] is None for r in empty)
+
+
+def test_correlations_of_many_columns(spark):
+    wide = spark.range(300).select(*(F.sin(F.col("id") * (i + 1)).alias(f"v{i}") for i in range(200)))
+    got = extensions.correlations(wide)
+    picked = {(r["a"], r["b"]): r["correlation"] for r in got.where("a = 'v3' AND b IN ('v9', 'v150')").collect()}
+    for (a, b), r in picked.items():
+        assert r == pytest.approx(wide.select(F.corr(a, b)).first()[0])
+    assert len(picked) == 2 and got.count() == 200 * 199 // 2
+
+
+def test_rows_without_copies_do_not_move_as_a_whole(spark):
+    df = spark.range(5_000).select("id", F.repeat(F.lit("x"), 2_000).alias("text"))
+    spark.catalog.clearCache()
+    found = duplicates.duplicate_groups(df)
+    assert found.count() == 0
+    assert duplicates.duplicate_groups(df.unionAll(df.where("id % 1000 = 1"))).select("id", "copies").count() == 5
