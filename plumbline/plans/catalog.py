@@ -13,6 +13,7 @@ from plumbline.operators import (
     coercion,
     duplicates,
     extensions,
+    keys,
     profile,
     ratelimit,
     render,
@@ -593,6 +594,19 @@ def x_key_overlap(spark, d):
     return out.withColumn("overlap", F.round("overlap", 6))
 
 
+_STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+
+
+@query
+def x_detect_keys(spark, d):
+    return keys.detect_keys({name: table(spark, d, name) for name in _STAR})
+
+
+@query
+def x_detect_references(spark, d):
+    return keys.detect_references({name: table(spark, d, name) for name in _STAR})
+
+
 @query
 def x_orphans(spark, d):
     return extensions.orphans(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from plumbline.functions import fixed
 from plumbline.plans.files import ORDER_FILES
 from plumbline.plans.views import (
@@ -673,6 +675,54 @@ ORACLES["x_key_overlap"] = "SELECT *, round(shared_values / left_values::DOUBLE,
         if a != b
     )
 ) + ")"
+#: Columns that can be keys, by table: whole numbers, text, times.
+_KEY_COLUMNS = {
+    "region": {"r_regionkey": "whole", "r_name": "text"},
+    "nation": {"n_nationkey": "whole", "n_name": "text", "n_regionkey": "whole"},
+    "customer": {"c_custkey": "whole", "c_name": "text", "c_nationkey": "whole", "c_mktsegment": "text"},
+    "supplier": {"s_suppkey": "whole", "s_name": "text", "s_nationkey": "whole"},
+    "part": {"p_partkey": "whole", "p_name": "text", "p_brand": "text", "p_type": "text", "p_size": "whole"},
+    "orders": {
+        "o_orderkey": "whole", "o_custkey": "whole", "o_orderstatus": "text", "o_orderdate": "time", "o_orderpriority": "text",
+    },
+    "lineitem": {
+        "l_orderkey": "whole", "l_partkey": "whole", "l_suppkey": "whole", "l_linenumber": "whole", "l_returnflag": "text",
+        "l_linestatus": "text", "l_shipdate": "time",
+    },
+    "events": {"event_id": "whole", "ts": "time", "user_id": "whole", "event_type": "text", "props": "text"},
+}
+
+
+def _key_tests(size: int) -> str:
+    tests = []
+    for name, columns in _KEY_COLUMNS.items():
+        for combo in combinations(columns, size):
+            a, b = combo[0], combo[-1]
+            whole = f"count({a}) = count(*) AND count({b}) = count(*)"
+            tests.append(
+                f"SELECT '{name}' AS table_name, '{','.join(combo)}' AS key, '{a}' AS a, '{b}' AS b FROM {name} "
+                f"HAVING count(*) > 0 AND {whole} AND count(DISTINCT ({', '.join(combo)})) = count(*)"
+            )
+    return " UNION ALL ".join(tests)
+
+
+_SINGLE_KEYS = f"single AS ({_key_tests(1)})"
+ORACLES["x_detect_keys"] = f"""WITH {_SINGLE_KEYS}, pair AS ({_key_tests(2)})
+SELECT table_name, key FROM single UNION ALL
+SELECT table_name, key FROM pair WHERE NOT EXISTS
+  (SELECT 1 FROM single s WHERE s.table_name = pair.table_name AND s.a IN (pair.a, pair.b))"""
+ORACLES["x_detect_references"] = f"""WITH {_SINGLE_KEYS}, held AS ({
+    " UNION ALL ".join(
+        f"SELECT DISTINCT '{t}.{c}' AS col, '{kind}' AS kind, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+        for t, columns in _KEY_COLUMNS.items()
+        for c, kind in columns.items()
+    )
+}), own AS (SELECT col, count(*) AS n FROM held GROUP BY col),
+shared AS (SELECT a.col AS child, b.col AS parent, count(*) AS n FROM held a JOIN held b
+           ON a.kind = b.kind AND a.v = b.v AND a.col <> b.col
+           WHERE b.col IN (SELECT table_name || '.' || key FROM single) GROUP BY 1, 2)
+SELECT child, parent, c.n AS child_values, p.n AS parent_values FROM shared
+JOIN own c ON c.col = child JOIN own p ON p.col = parent WHERE shared.n = c.n"""
 ORACLES["x_orphans"] = """
 SELECT o_orderkey AS orphan_key, count(*) AS child_rows FROM orders
 WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem) GROUP BY 1"""
