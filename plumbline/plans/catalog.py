@@ -273,7 +273,17 @@ def analysis_report_lines(spark, d):
 
 @query
 def sample_head(spark, d):
-    return table(spark, d, "orders").orderBy("o_orderkey").limit(100)
+    orders = table(spark, d, "orders")
+    loaded = delimited.load_table(spark, files.write_ordered(orders, "o_orderkey"), first_rows=100)
+    return loaded.df.select(*(F.col(f.name).cast(f.dataType) for f in orders.schema))
+
+
+@query
+def file_sample(spark, d):
+    orders = table(spark, d, "orders")
+    path = files.write_ordered(orders, "o_orderkey")
+    loaded = delimited.load_table(spark, path, sample_rows=1000, seed=5, row_column="row_no")
+    return loaded.df.select("row_no", *(F.col(f.name).cast(f.dataType) for f in orders.schema))
 
 
 # --- Text guardrails ----------------------------------------------------------------------------

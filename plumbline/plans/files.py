@@ -27,6 +27,12 @@ def write_csv(df: DataFrame, label: str, **options) -> str:
     return path
 
 
+def write_ordered(df: DataFrame, key: str) -> str:
+    """Files that hold the rows by ``key``, from the first file to the last."""
+    texts = df.select(*(F.col(c).cast("string").alias(c) for c in df.columns), F.col(key).alias("__key"))
+    return write_csv(texts.orderBy("__key").drop("__key"), "ordered", maxRecordsPerFile=4000)
+
+
 def write_ragged(spark: SparkSession, sf_dir: str) -> str:
     """Order lines with short and long records, quoted delimiters and blank lines."""
     start = F.concat_ws(";", F.col("o_orderkey"), F.col("o_custkey"))

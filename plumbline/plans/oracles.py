@@ -378,6 +378,10 @@ ORACLES["folder_analysis_report"] = (
     .replace("decimal(18,2)", "double")
 )
 ORACLES["sample_head"] = "SELECT * FROM orders ORDER BY o_orderkey LIMIT 100"
+ORACLES["file_sample"] = """
+SELECT * FROM (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_no, * FROM orders)
+ORDER BY md5('5:' || row_no) LIMIT 1000
+"""
 
 # --- Text guardrails ----------------------------------------------------------------------------
 

@@ -20,6 +20,7 @@ from plumbline.operators.coercion import (
     quoted,
     vote,
 )
+from plumbline.sources import rows
 from plumbline.sources import sniff as sniffing
 from plumbline.sources.records import read_records
 
@@ -57,6 +58,7 @@ def read_delimited(
     path_column: str | None = None,
     line_end: str = "\n",
     keep: Column | None = None,
+    places: bool = False,
 ) -> DataFrame:
     """All columns as text. Short records are padded, long ones dropped, blank lines skipped.
 
@@ -64,21 +66,23 @@ def read_delimited(
     raw text, and their fields are counted to tell short from long. Quoted line feeds need
     ``multiline``, which reads every split twice (``records``); UTF-16 makes each file one task.
     ``path_column`` adds the path of each row's file under that name. ``keep`` is a condition on
-    ``_metadata`` that says which files to read; Spark drops the others when it lists them.
+    ``_metadata`` that says which files to read; Spark drops the others when it lists them. ``places``
+    adds the columns of ``rows.PLACE``.
     """
     schema = ", ".join(f"{quoted(n)} string" for n in [*names, _ODD])
     encoding = normal_encoding(encoding)
     if encoding not in _READABLE:
-        if path_column or multiline or keep is not None:
-            raise ValueError(f"path_column, multiline and keep are not supported for {encoding}")
+        if multiline:
+            raise ValueError(f"multiline is not supported for {encoding}")
         if len("\n".encode(encoding)) != 1:
             raise ValueError(f"{encoding} does not end lines with one byte; convert the files first")
-        return _read_code_page(spark, path, names, delimiter, encoding, header)
+        return _read_code_page(spark, path, names, delimiter, encoding, header, path_column, keep, places)
     if multiline and encoding != "utf-16":
         found = read_records(spark, path, delimiter, _READABLE[encoding], header, line_end, keep)
         record = F.regexp_replace("record", "\r$", "")
         extra = [F.col("path").alias(path_column)] if path_column else []
-        return _taken_apart(found.select("path", record.alias("line")), names, delimiter, extra)
+        extra += rows.place(F.col("path"), F.col("block"), F.col("last")) if places else []
+        return _taken_apart(found.select("path", "block", "last", record.alias("line")), names, delimiter, extra)
     df = (
         spark.read.schema(schema)
         .option("header", header)
@@ -102,7 +106,9 @@ def read_delimited(
     # return raw records alone.
     odd = F.concat_ws("", F.substring(F.col(quoted(names[0])), 1, 0), F.col(_ODD))
     kept = df.where(fields_in(odd, delimiter) <= len(names))
-    extra = [F.col("_metadata.file_path").alias(path_column)] if path_column else []
+    file, block = F.col("_metadata.file_path"), F.col("_metadata.file_block_start")
+    extra = [file.alias(path_column)] if path_column else []
+    extra += rows.place(file, block) if places else []
     return kept.select(*(F.col(quoted(n)) for n in names), *extra)
 
 
@@ -113,6 +119,9 @@ def _read_code_page(
     delimiter: str,
     encoding: str,
     header: bool,
+    path_column: str | None = None,
+    keep: Column | None = None,
+    places: bool = False,
 ) -> DataFrame:
     """Files in a code page that Spark's reader does not know, decoded line by line in Python.
 
@@ -129,20 +138,23 @@ def _read_code_page(
                 lines.append(value.decode(encoding, "replace"))
                 heads.append(header and at == 0 and (path, at) != begun)
                 begun = (path, at)
-            columns = [pa.array(lines, pa.string()), pa.array(heads, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(columns, names=["line", "is_header"])
+            columns = [pa.array(lines, pa.string()), pa.array(heads, pa.bool_()), batch.column(1), batch.column(2)]
+            yield pa.RecordBatch.from_arrays(columns, names=["line", "is_header", "path", "block"])
 
     raw = spark.read.option("recursiveFileLookup", "true").text(path)
+    raw = raw if keep is None else raw.where(keep)
     block = [F.col("_metadata.file_path"), F.col("_metadata.file_block_start")]
     decoded = raw.select(F.col("value").cast("binary"), *block).mapInArrow(
-        decode, "line string, is_header boolean"
+        decode, "line string, is_header boolean, path string, block long"
     )
     lines = decoded.where(~F.col("is_header"))
     if header:
         heads = decoded.where("is_header").select("line").distinct().take(2)
         if len(heads) > 1:
             raise ValueError(f"The files do not share one header: {[h['line'] for h in heads]}")
-    return _taken_apart(lines, names, delimiter)
+    extra = [F.col("path").alias(path_column)] if path_column else []
+    extra += rows.place(F.col("path"), F.col("block")) if places else []
+    return _taken_apart(lines, names, delimiter, extra)
 
 
 def _taken_apart(lines: DataFrame, names: list[str], delimiter: str, extra: list[Column] = ()) -> DataFrame:
@@ -193,17 +205,28 @@ def load_table(
     first_rows: int | None = None,
     path_column: str | None = None,
     header: bool = True,
+    sample_rows: int | None = None,
+    seed: int = 0,
+    row_column: str | None = None,
 ) -> LoadedTable:
     """Find out the dialect of the files, read them, and give every column its voted type.
 
-    All rows are read and vote. ``first_rows`` asks for that many rows instead. Files whose quotes do
+    All rows are read and vote. ``first_rows`` asks for the first so many instead, by path and then as they
+    stand in the file; files behind the last one of them are not read. ``sample_rows`` asks for that many,
+    drawn from all rows by ``seed``; the same files and seed give the same rows. Either way ``sampled`` in
+    the source says that there are more, and the rows asked for are written once. ``row_column`` adds the
+    number of each row in file order, from 0.
+
+    Files whose quotes do
     not pair up line by line are read as records that may span lines, the others line by line.
     ``header=False`` takes the first line for data; then give ``names``, else columns are numbered.
     Where delimiter, encoding and names are all given, the pass that finds the dialect out is left out,
     and ``multiline`` has to say whether records span lines.
     """
-    source = {"sampled": first_rows is not None}
-    across, line_end = [], "\n"
+    if first_rows is not None and sample_rows is not None:
+        raise ValueError("first_rows and sample_rows exclude each other")
+    source = {"sampled": False}
+    across, line_end, filled = [], "\n", None
     if not (delimiter and encoding and names):
         filled = _sniffed(spark, path, line_end)
         found = sniffing.dialects(filled).take(2)
@@ -237,16 +260,58 @@ def load_table(
         source.update({k: dialect[k] for k in ("files", "bytes", "lines")})
     source.update(encoding=encoding, delimiter=delimiter)
     names = header_names(names)
-    options = {"header": header, "path_column": path_column, "line_end": line_end}
-    if 0 < len(across) <= LISTED_FILES:
-        spanning = F.col("_metadata.file_path").isin(across)
-        raw = read_delimited(spark, path, names, delimiter, encoding, True, keep=spanning, **options).unionByName(
-            read_delimited(spark, path, names, delimiter, encoding, False, keep=~spanning, **options)
-        )
-    else:
-        raw = read_delimited(spark, path, names, delimiter, encoding, multiline or bool(across), **options)
+    numbers = row_column or "__row"
+    by_number = first_rows is not None or sample_rows is not None or row_column is not None
+
+    def read(up_to: str | None = None) -> DataFrame:
+        """The rows of all files, or of those up to a path."""
+        where = F.col("_metadata.file_path")
+        ahead = F.lit(True) if up_to is None else where <= up_to
+        options = {"header": header, "path_column": path_column, "line_end": line_end, "places": by_number}
+        if not 0 < len(across) <= LISTED_FILES:
+            keep = None if up_to is None else ahead
+            return read_delimited(
+                spark, path, names, delimiter, encoding, multiline or bool(across), keep=keep, **options
+            )
+        spanning = where.isin(across)
+        return read_delimited(
+            spark, path, names, delimiter, encoding, True, keep=spanning & ahead, **options
+        ).unionByName(read_delimited(spark, path, names, delimiter, encoding, False, keep=~spanning & ahead, **options))
+
     if first_rows is not None:
-        raw = raw.limit(first_rows)
-    text = normalise_missing(raw)
+        if filled is None:
+            filled = sniffing.list_files(spark, path).withColumn("lines", F.lit(None).cast("long"))
+        raw, more = _head(read, filled, first_rows, numbers)
+        source["sampled"] = more
+    elif sample_rows is not None:
+        raw, total = rows.sampled_rows(read(), sample_rows, seed, numbers)
+        source["sampled"] = sample_rows < total
+    elif row_column:
+        raw, _ = rows.first_rows(read(), 2**62, numbers)
+    else:
+        raw = read()
+    if first_rows is not None or sample_rows is not None:
+        raw = raw.checkpoint()
+    kept = names if not path_column else [*names, path_column]
+    text = normalise_missing(raw.select(*(F.col(quoted(c)) for c in [*kept, *([row_column] if row_column else [])])))
     verdicts = vote(text, names)
     return LoadedTable(apply_verdicts(text, verdicts), verdicts, source)
+
+
+#: Files that the search for the first rows begins with; it goes on with four times as many.
+HEAD_FILES = 16
+
+
+def _head(read, files: DataFrame, n: int, name: str) -> tuple[DataFrame, bool]:
+    """The first ``n`` rows, and whether there are more. Files are taken by path until they hold enough.
+
+    ``files`` has (path, lines); where lines are known, files are not opened before their lines suffice.
+    """
+    m, every = HEAD_FILES, False
+    while True:
+        last, lines, every = rows.leading_files(files, m)
+        if every or lines > n or not lines:
+            found, total = rows.first_rows(read(None if every else last), n, name)
+            if every or total > n:
+                return found, total > n
+        m *= 4

@@ -237,7 +237,10 @@ def read_records(
     keep: Column | None = None,
     broadcast_splits: int = BROADCAST_SPLITS,
 ) -> DataFrame:
-    """(path, record): the raw records of all files; those that span lines hold their line ends.
+    """(path, block, last, record): the raw records of all files; those that span lines hold their line ends.
+
+    ``block`` is where the split begins in which the record does; ``last`` marks records that end in another
+    one. The others come in the order of their split.
 
     Quotes open at the start of a field, doubled ones stand for themselves, and quotes elsewhere are text.
     Blank records are left out, and with ``header`` the first other record of each file. A quote that never
@@ -247,7 +250,7 @@ def read_records(
     entries = _entries(_split_functions(lines)).checkpoint()
     few = entries.count() <= broadcast_splits
     whole = _assembled(_with_entries(lines, entries, few), line_end, header)
-    whole = whole.where(F.col("kind") == _COMPLETE).select("path", "record")
+    whole = whole.where(F.col("kind") == _COMPLETE).select("path", "block", F.lit(False).alias("last"), "record")
     edges = entries.where(F.col("entry") | F.col("exit"))
     if edges.isEmpty():
         return whole
@@ -261,8 +264,12 @@ def read_records(
         pieces.withColumn("begun", begun)
         .withColumn("part", is_head)
         .groupBy("path", "begun")
-        .agg(F.max("is_header").alias("is_header"), F.transform(parts, lambda p: p["record"]).alias("texts"))
+        .agg(
+            F.max("is_header").alias("is_header"),
+            F.min("block").alias("block"),
+            F.transform(parts, lambda p: p["record"]).alias("texts"),
+        )
         .where(~F.col("is_header"))
-        .select("path", F.array_join("texts", line_end).alias("record"))
+        .select("path", "block", F.lit(True).alias("last"), F.array_join("texts", line_end).alias("record"))
     )
     return whole.unionByName(joined)
