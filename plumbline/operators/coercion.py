@@ -89,7 +89,7 @@ class Verdict:
         return self.present - kept[self.kind]
 
 
-def _ballots() -> list[Column]:
+def ballots() -> list[Column]:
     """Counters over the columns value, number and dated of the unpivoted cells."""
     c = F.col("value")
     whole = F.when(F.col("number").isNotNull(), cleaning.is_integer(c))
@@ -108,6 +108,20 @@ def _ballots() -> list[Column]:
     ]
 
 
+def looked_at() -> list[Column]:
+    """The columns that ``ballots`` count, of a column ``value`` of cells."""
+    c = F.col("value")
+    return [c, cleaning.to_number(c).alias("number"), cleaning.looks_dated(c).alias("dated")]
+
+
+def verdict(name: str, counts: list[int] | None) -> Verdict:
+    """What the sums of ``ballots`` decide; None stands for a column without cells."""
+    counts = counts or [0] * (5 + len(cleaning.DATE_LAYOUTS))
+    dates = counts[5:]
+    best = max(range(len(dates)), key=lambda k: (dates[k], -k))
+    return Verdict(name, *counts[:5], layout=cleaning.DATE_LAYOUTS[best][0], dates=dates[best])
+
+
 def vote(df: DataFrame, columns: list[str] | None = None) -> list[Verdict]:
     """One pass over the text columns. Only the counts, a row per column, reach the driver.
 
@@ -120,23 +134,9 @@ def vote(df: DataFrame, columns: list[str] | None = None) -> list[Verdict]:
     cells = df.select(
         *(F.col(quoted(name)).alias(p) for p, name in zip(places, columns))
     ).unpivot([], places, "place", "value")
-    looked_at = cells.select(
-        "place",
-        "value",
-        cleaning.to_number(F.col("value")).alias("number"),
-        cleaning.looks_dated(F.col("value")).alias("dated"),
-    )
-    counted = looked_at.groupBy("place").agg(F.array(*_ballots()).alias("counts"))
+    counted = cells.select("place", *looked_at()).groupBy("place").agg(F.array(*ballots()).alias("counts"))
     found = {row["place"]: row["counts"] for row in counted.collect()}
-    verdicts = []
-    for place, name in zip(places, columns):
-        counts = found.get(place) or [0] * (5 + len(cleaning.DATE_LAYOUTS))
-        dates = counts[5:]
-        best = max(range(len(dates)), key=lambda k: (dates[k], -k))
-        verdicts.append(
-            Verdict(name, *counts[:5], layout=cleaning.DATE_LAYOUTS[best][0], dates=dates[best])
-        )
-    return verdicts
+    return [verdict(name, found.get(place)) for place, name in zip(places, columns)]
 
 
 def apply_verdicts(df: DataFrame, verdicts: list[Verdict]) -> DataFrame:

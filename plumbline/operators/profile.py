@@ -81,7 +81,7 @@ def column_profile(
     cells = reduce(
         DataFrame.unionByName, (_cells(df, F.lit(t)) for t, df in tables.items())
     )
-    return _percentages(_metadata(tables).join(_count(cells, exact), _KEY, "left"))
+    return percentages(_metadata(tables).join(_count(cells, exact), _KEY, "left"))
 
 
 def _count(cells: DataFrame, exact: bool) -> DataFrame:
@@ -99,7 +99,8 @@ def _count(cells: DataFrame, exact: bool) -> DataFrame:
     )
 
 
-def _percentages(counted: DataFrame) -> DataFrame:
+def percentages(counted: DataFrame) -> DataFrame:
+    """Column records from counts; no count stands for none."""
     zero = F.lit(0).cast("bigint")
     rows, missing, unique = (F.coalesce(F.col(c), zero) for c in ("rows", "missing", "unique"))
     at_least_one = F.greatest(rows, F.lit(1))
@@ -191,20 +192,22 @@ def table_profile(
     exact: bool = True,
     text_is_typed: bool = False,
     columns: DataFrame | None = None,
+    copies: DataFrame | None = None,
 ) -> DataFrame:
     """One row per table: counts, the four dimensions, the score, the grade and the flags.
 
     Text columns count as untyped unless ``text_is_typed``. ``columns`` takes a column profile that
-    is already at hand.
+    is already at hand, and ``copies`` the duplicate rows by ``table_name``.
     """
     if isinstance(tables, DataFrame):
         tables = {"table": tables}
     if columns is None:
         columns = column_profile(tables, exact)
-    copies = reduce(
-        DataFrame.unionByName,
-        (duplicate_rows(df).withColumn("table_name", F.lit(t)) for t, df in tables.items()),
-    )
+    if copies is None:
+        copies = reduce(
+            DataFrame.unionByName,
+            (duplicate_rows(df).withColumn("table_name", F.lit(t)) for t, df in tables.items()),
+        )
     return _summarise(columns, copies, text_is_typed)
 
 
@@ -222,7 +225,7 @@ def grouped_profile(
         "position int, name string, dtype string",
     )
     counted = _count(_cells(df, group, without=by), exact)
-    columns = _percentages(counted.join(names, "position"))
+    columns = percentages(counted.join(names, "position"))
     copies = (
         duplicate_groups(df, "__copies")
         .groupBy(group.alias("table_name"))

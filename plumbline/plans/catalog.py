@@ -18,6 +18,7 @@ from plumbline.operators import (
     ratelimit,
     render,
     sessions,
+    stored,
     trace,
 )
 from plumbline.plans import files, views
@@ -656,6 +657,20 @@ def profile_files(spark, d):
     )
 
 
+@query
+def profile_store(spark, d):
+    raw = views.raw_orders(spark, d)
+    path, store = scratch_path(spark, "grows"), stored.ProfileStore(spark, scratch_path(spark, "profiles"))
+    for half in range(2):
+        part = raw.where(F.coalesce(F.col("order_id").cast("long") % 2, F.lit(0)) == half)
+        part.write.option("header", True).option("sep", ";").csv(f"{path}/{half}")
+        store.update(path)
+    return store.profile(path).select(
+        "table_name", "rows", "cols", "duplicate_rows", "total_missing", "completeness",
+        "uniqueness", "quality_score",
+    )
+
+
 @query
 def folder_load(spark, d):
     return folder.load_folder(spark, files.write_customer_folder(spark, d)).df

@@ -224,6 +224,7 @@ _TYPED_COLUMNS = list(zip(ORDER_COLUMNS, ORDER_TYPES))
 ORACLES["profile_groups"] = _grouped_profile(
     "priority", [(c, t) for c, t in _TYPED_COLUMNS if c != "priority"]
 )
+ORACLES["profile_store"] = _grouped_profile("'table'", _TYPED_COLUMNS)
 ORACLES["profile_files"] = _grouped_profile("priority[1]", _TYPED_COLUMNS)
 
 # --- Coercion -----------------------------------------------------------------------------------

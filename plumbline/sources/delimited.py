@@ -208,6 +208,7 @@ def load_table(
     sample_rows: int | None = None,
     seed: int = 0,
     row_column: str | None = None,
+    typed: bool = True,
 ) -> LoadedTable:
     """Find out the dialect of the files, read them, and give every column its voted type.
 
@@ -215,10 +216,10 @@ def load_table(
     stand in the file; files behind the last one of them are not read. ``sample_rows`` asks for that many,
     drawn from all rows by ``seed``; the same files and seed give the same rows. Either way ``sampled`` in
     the source says that there are more, and the rows asked for are written once. ``row_column`` adds the
-    number of each row in file order, from 0.
+    number of each row in file order, from 0. ``typed=False`` leaves the columns text and spares the vote.
 
-    Files whose quotes do
-    not pair up line by line are read as records that may span lines, the others line by line.
+    Files whose quotes do not pair up line by line are read as records that may span lines, the others line
+    by line.
     ``header=False`` takes the first line for data; then give ``names``, else columns are numbered.
     Where delimiter, encoding and names are all given, the pass that finds the dialect out is left out,
     and ``multiline`` has to say whether records span lines.
@@ -294,7 +295,7 @@ def load_table(
         raw = raw.checkpoint()
     kept = names if not path_column else [*names, path_column]
     text = normalise_missing(raw.select(*(F.col(quoted(c)) for c in [*kept, *([row_column] if row_column else [])])))
-    verdicts = vote(text, names)
+    verdicts = vote(text, names) if typed else []
     return LoadedTable(apply_verdicts(text, verdicts), verdicts, source)
 
 

@@ -18,13 +18,13 @@ from plumbline.session import shared_root
 _WIDE_MARKS = ("FFFE", "FEFF")
 
 
-def list_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Paths and sizes. The content column is not selected, so no file is opened."""
+def list_files(spark: SparkSession, path: str | list[str], *more: Column) -> DataFrame:
+    """Paths and sizes, and more of ``_metadata``. The content is not selected, so no file is opened."""
     return (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .load(path)
-        .select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"))
+        .select(F.col("_metadata.file_path").alias("path"), F.col("length").alias("bytes"), *more)
     )
 
 
