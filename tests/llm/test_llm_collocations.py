@@ -131,3 +131,11 @@ def test_scores_beyond_64_bits(spark):
     parts = spark.createDataFrame([("en", "x", a + 1), ("en", "y", a + 2)], "lang string, phrase string, f long")
     (row,) = c._best_cuts(phrases, parts, 2_000_000).collect()
     assert (row.l, row.r, row.score) == (a + 1, a + 2, 2_000_000 * a // (2 * a + 3))
+
+
+def test_parse_cuts_texts_into_slices(spark):
+    """Texts past one slice, a null and an empty one, are parsed whole."""
+    rows = [("Long Text, ends. " * 20_000, None), (None, "en"), ("", "en"), ("one", "en")]
+    found = c.dictionary(table(spark, rows)).collect()
+    assert sum(r["own"] * r["freq"] for r in found if r["lang"] == "und") == 60_000
+    assert [(r["own"], r["chunk"], r["freq"]) for r in found if r["lang"] == "en"] == [(1, "one", 1)]
