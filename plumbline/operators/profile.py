@@ -10,6 +10,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -296,13 +298,64 @@ def summary_cards(profile: DataFrame) -> DataFrame:
     )
 
 
+def _upper_bounds(wide: DataFrame, places: list[str], n: int) -> DataFrame:
+    """One row: per column a cell that no fewer than ``n`` of its cells come before or equal, null where unknown.
+
+    Rows are dealt to ``n`` buckets, and each gives its first cell: of these ``n`` cells it is the last.
+    A column has no bound if a bucket has no cell of it, as only those of a few cells do. Nothing is
+    grouped, so nothing is sorted or kept.
+    """
+    dealt = wide.withColumn("bucket", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
+    bounds = []
+    for p in places:
+        cell = F.when(F.col(p).isNotNull(), F.struct("k", F.col(p).alias("value")))
+        firsts = F.array(*(F.min(F.when(F.col("bucket") == b, cell)) for b in range(n)))
+        bounds.append(F.when(~F.exists(firsts, F.isnull), F.array_max(firsts)).alias(f"b{p}"))
+    return dealt.agg(*bounds)
+
+
+def _cells_in_order(wide: DataFrame, places: list[str], n: int) -> DataFrame:
+    """(k, position, value) of the first ``n`` cells of every column at least, equal ones ``n`` times at most."""
+    met = wide.crossJoin(F.broadcast(_upper_bounds(wide, places, n)))
+
+    def early(p: str) -> Column:
+        bound = F.col(f"b{p}")
+        inside = bound.isNull() | (F.struct("k", F.col(p).alias("value")) <= bound)
+        return F.when(F.col(p).isNotNull() & inside, F.col(p)).alias(p)
+
+    few = met.select("k", *(early(p) for p in places)).where(F.coalesce(*map(F.col, places)).isNotNull())
+    cells = few.unpivot(["k"], places, "position", "value").where(F.col("value").isNotNull())
+    counted = cells.groupBy("position", "k", "value").agg(F.count("*").alias("n"))
+    copies = F.explode(F.sequence(F.lit(1), F.least("n", F.lit(n)).cast("int")))
+    return counted.select("k", "position", "value", copies.alias("copy"))
+
+
+def _cells_of_tasks(wide: DataFrame, places: list[str], n: int) -> DataFrame:
+    """(k, position, value) of the first ``n`` cells of every column in every task, in the order of the scan."""
+
+    def first(batches):
+        wanted = [n] * len(places)
+        for batch in batches:
+            for i, p in enumerate(places):
+                if not wanted[i]:
+                    continue
+                column = batch.column(p)
+                at = np.flatnonzero(column.is_valid().to_numpy(zero_copy_only=False))[: wanted[i]]
+                wanted[i] -= len(at)
+                found = [batch.column("k").take(pa.array(at)), pa.array([p] * len(at), pa.string()), column.take(pa.array(at))]
+                yield pa.RecordBatch.from_arrays(found, ["k", "position", "value"])
+
+    return wide.mapInArrow(first, "k long, position string, value string")
+
+
 def column_samples(
     df: DataFrame, order_by: list[str] | None = None, n: int = 3
 ) -> DataFrame:
     """The first ``n`` present values of every column, by ``order_by`` and then by value.
 
     Without ``order_by`` it is the order of the scan, which for one file is the order of its lines.
-    One scan serves all columns: every task keeps its first n cells per column before the shuffle.
+    With it, one scan bounds the cells in question and a second one picks them; either way a task
+    keeps a few cells per column, and no cells are sorted but those.
     """
     fields = [(i, f.name) for i, f in enumerate(df.schema)]
     key = F.monotonically_increasing_id()
@@ -313,10 +366,9 @@ def column_samples(
         key.alias("k"), *(F.col(quoted(name)).cast("string").alias(str(i)) for i, name in fields)
     )
     in_order = Window.partitionBy("position").orderBy("k", "value")
+    cells = _cells_in_order(wide, places, n) if order_by else _cells_of_tasks(wide, places, n)
     samples = (
-        wide.unpivot(["k"], places, "position", "value")
-        .where(F.col("value").isNotNull())
-        .withColumn("rank", F.row_number().over(in_order))
+        cells.withColumn("rank", F.row_number().over(in_order))
         .where(F.col("rank") <= n)
         .groupBy(F.col("position").cast("int").alias("position"))
         # At most n values per column arrive here.

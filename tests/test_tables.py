@@ -273,3 +273,25 @@ def test_rows_without_copies_do_not_move_as_a_whole(spark):
     found = duplicates.duplicate_groups(df)
     assert found.count() == 0
     assert duplicates.duplicate_groups(df.unionAll(df.where("id % 1000 = 1"))).select("id", "copies").count() == 5
+
+
+def test_samples_sort_few_cells(spark):
+    """Ties, copies, gaps and sparse columns; and no task sorts the cells of its rows."""
+    rows = [(i // 4 if i % 50 else None, f"v{i % 7}", "x" if i % 3 else None, i if i in (30, 990) else None) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k int, tied string, same string, sparse int").repartition(5)
+    for n in (1, 3, 4):
+        found = {r["name"]: r["sample"] for r in profile.column_samples(df, ["k"], n).collect()}
+        for i, name in enumerate(df.columns):
+            cells = sorted((r[0] is not None, r[0] or 0, str(r[i])) for r in rows if r[i] is not None)
+            assert found[name] == [c[2] for c in cells[:n]], (name, n)
+    plan = profile.column_samples(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+    before_counts = plan[plan.rindex("HashAggregate(keys=[position"):]
+    assert "Sort [" not in before_counts and "WindowGroupLimit" not in before_counts
+
+
+def test_samples_in_the_order_of_the_scan(spark):
+    df = spark.range(0, 5000, 1, 3).selectExpr("id", "if(id % 2000 = 1999, id, null) as rare", "cast(null as string) as none")
+    found = {r["name"]: r["sample"] for r in profile.column_samples(df).collect()}
+    assert found == {"id": ["0", "1", "2"], "rare": ["1999", "3999"]}
+    plan = profile.column_samples(df)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan
