@@ -43,7 +43,8 @@ def normal_encoding(name: str) -> str:
 def fields_in(record: Column, delimiter: str) -> Column:
     """Number of fields of a raw record; delimiters inside quoted fields do not count."""
     d = re.escape(delimiter)
-    bare = F.regexp_replace(record, f'(^|{d})[ \\t]*"[^"]*+(?:""[^"]*+)*+"', "$1")
+    closed = F.regexp_replace(record, f'(^|{d})[ \\t]*"[^"]*+(?:""[^"]*+)*+"', "$1")
+    bare = F.when(F.contains(record, F.lit('"')), closed).otherwise(record)
     return F.regexp_count(bare, F.lit(d)) + 1
 
 
@@ -219,7 +220,8 @@ def load_table(
     number of each row in file order, from 0. ``typed=False`` leaves the columns text and spares the vote.
 
     Files whose quotes do not pair up line by line are read as records that may span lines, the others line
-    by line.
+    by line. Where there are such records, the rows are written once before they vote, as putting records
+    together costs more than reading rows back.
     ``header=False`` takes the first line for data; then give ``names``, else columns are numbered.
     Where delimiter, encoding and names are all given, the pass that finds the dialect out is left out,
     and ``multiline`` has to say whether records span lines.
@@ -291,7 +293,8 @@ def load_table(
         raw, _ = rows.first_rows(read(), 2**62, numbers)
     else:
         raw = read()
-    if first_rows is not None or sample_rows is not None:
+    spanning = typed and (multiline or bool(across))
+    if first_rows is not None or sample_rows is not None or spanning:
         raw = raw.checkpoint()
     kept = names if not path_column else [*names, path_column]
     text = normalise_missing(raw.select(*(F.col(quoted(c)) for c in [*kept, *([row_column] if row_column else [])])))

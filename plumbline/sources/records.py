@@ -32,14 +32,15 @@ def _left_open(line: Column, delimiter: str) -> Column:
     """Whether a line that begins a record leaves a quoted field open."""
     d = re.escape(delimiter)
     closed = F.regexp_replace(line, f'(^|{d})[ \\t]*"[^"]*+(?:""[^"]*+)*+"', "$1x")
-    return F.coalesce(closed.rlike(f'(^|{d})[ \\t]*"'), F.lit(False))
+    return F.contains(line, F.lit('"')) & F.coalesce(closed.rlike(f'(^|{d})[ \\t]*"'), F.lit(False))
 
 
 def _stays_open(line: Column, delimiter: str) -> Column:
     """Whether a line that begins inside quotes ends inside quotes."""
     to_close = '^[^"]*+(?:""[^"]*+)*+"'
     rest = F.regexp_replace(line, to_close, "x")
-    return F.when(line.rlike(to_close), _left_open(rest, delimiter)).otherwise(F.lit(True))
+    closes = F.contains(line, F.lit('"')) & line.rlike(to_close)
+    return F.when(closes, _left_open(rest, delimiter)).otherwise(F.lit(True))
 
 
 def _lines(

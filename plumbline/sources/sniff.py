@@ -30,7 +30,7 @@ def list_files(spark: SparkSession, path: str | list[str], *more: Column) -> Dat
 
 def without_quoted(line: Column) -> Column:
     """Delimiters inside quotes do not count."""
-    return F.regexp_replace(line, '"[^"]*"', "")
+    return F.when(F.contains(line, F.lit('"')), F.regexp_replace(line, '"[^"]*"', "")).otherwise(line)
 
 
 def _encoding(first_bytes: Column, valid_utf8: Column, unseen_bytes: Column) -> Column:
@@ -97,7 +97,7 @@ def sniff(
     """
     shared_root(spark)
     places = range(len(fixed.DELIMITERS))
-    bare = without_quoted(F.col("value"))
+    bare, quote = F.col("bare"), F.lit('"')
     shapes = [
         F.when(
             F.col("filled"),
@@ -106,12 +106,15 @@ def sniff(
         for i, d in enumerate(fixed.DELIMITERS)
     ]
     lines = _lines(spark, path, line_end, keep)
+    # A column of its own is made once for all delimiters; inside the conditions it would be for each.
+    with_bare = lines.withColumn("bare", F.when(F.col("filled"), without_quoted(F.col("value"))))
+    without_quotes = F.octet_length(F.replace(F.col("value"), quote, F.lit("")))
     counted = (
-        lines.select(
+        with_bare.select(
             "path",
             "bytes",
             F.is_valid_utf8("value").cast("int").alias("valid"),
-            (F.regexp_count("value", F.lit('"')) % 2).cast("bigint").alias("odd"),
+            ((F.octet_length("value") - without_quotes) % 2).cast("bigint").alias("odd"),
             (F.octet_length("value") + 1).cast("bigint").alias("seen"),
             F.when(F.col("in_first_block") & F.col("filled"), F.col("at")).alias("at"),
             *shapes,
