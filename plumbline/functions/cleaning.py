@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,6 +61,12 @@ DATE_LAYOUTS = (
 )
 
 
+def _signs(name: str) -> str:
+    """Signs that every text of a layout has: a cheap look before its pattern."""
+    slash = "/" if "slash" in name else ""
+    return slash + (":" if name.endswith(("_time", "_half", "_zone")) else "")
+
+
 _NA_LIST = ", ".join(f"'{token}'" for token in fixed.NA_TOKENS)
 
 
@@ -103,6 +111,11 @@ def looks_dated(text: Column) -> Column:
     return text.contains("-") | text.contains("/") | text.contains(":")
 
 
+def may_have_layout(text: Column, layout: str) -> Column:
+    """Whether the text has the signs that every text of the layout has."""
+    return reduce(Column.__and__, (text.contains(sign) for sign in _signs(layout)), F.lit(True))
+
+
 def to_timestamp(text: Column, layout: str) -> Column:
     """Timestamp without time zone in one layout; null for any other text.
 

@@ -95,7 +95,7 @@ def ballots() -> list[Column]:
     whole = F.when(F.col("number").isNotNull(), cleaning.is_integer(c))
     datelike = F.col("dated") & c.rlike(cleaning.DATE_START)
     layouts = [
-        F.count(F.when(datelike, cleaning.to_timestamp(c, layout)))
+        F.count(F.when(datelike & cleaning.may_have_layout(c, layout), cleaning.to_timestamp(c, layout)))
         for layout, _, _ in cleaning.DATE_LAYOUTS
     ]
     return [

@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.functions import fixed, text
+from plumbline.functions import cleaning, fixed, text
 
 
 def sanitized(spark, texts):
@@ -140,3 +140,19 @@ def test_small_functions(spark):
 def test_long_unbroken_runs_take_no_time(spark):
     df = spark.range(8).select(F.repeat(F.lit("abcdef0123"), 200_000).alias("text"))
     assert text.count_personal_data(df).where("email = 0").count() == 8
+
+
+def test_layouts_are_looked_at_by_their_signs(spark):
+    """No text of a layout lacks its signs, and texts without them spare the pattern."""
+    texts = {
+        "iso": "2024-03-01", "iso_time": "2024-03-01 10:20:30", "ymd_slash": "2024/03/01", "mdy_slash": "03/01/2024",
+        "dmy_slash": "01/03/2024", "mdy_dash": "03-01-2024", "dmy_dash": "01-03-2024", "mdy_slash_time": "03/01/2024 10:20",
+        "dmy_slash_time": "01/03/2024 10:20", "dmy_dot_time": "01.03.2024 10:20", "mdy_slash_half": "03/01/2024 10:20 PM",
+        "dmy_slash_half": "01/03/2024 10:20 PM", "iso_zone": "2024-03-01T10:20Z", "dmy_name": "1 Mar 2024", "mdy_name": "Mar 1, 2024",
+    }
+    assert list(texts) == [name for name, _, _ in cleaning.DATE_LAYOUTS]
+    df = spark.createDataFrame(list(texts.items()), "layout string, c string")
+    for layout in texts:
+        stamp, may = cleaning.to_timestamp(F.col("c"), layout), cleaning.may_have_layout(F.col("c"), layout)
+        assert df.where(stamp.isNotNull() & ~may).isEmpty()
+    assert df.where(cleaning.may_have_layout(F.col("c"), "mdy_slash_half") & F.col("layout").isin("iso", "iso_time")).isEmpty()
