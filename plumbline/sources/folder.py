@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import csv
 from dataclasses import dataclass
-from functools import reduce
+from functools import cached_property, reduce
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -44,10 +44,14 @@ class LoadedFolder:
 
     df: DataFrame
     verdicts: list[Verdict]
-    profile: DataFrame
     source: dict
     status: DataFrame
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        """Made when it is asked for, as it reads the table."""
+        return profile.table_profile(self.df.select(*(F.col(quoted(v.name)) for v in self.verdicts)))
+
 
 def inventory(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, file, ending, bytes) of all files that hold anything. No file is opened."""
@@ -214,7 +218,7 @@ def load_folder(
     else:
         verdicts = vote(text, names)
         df = apply_verdicts(text, verdicts)
-    return LoadedFolder(df, verdicts, profile.table_profile(apply_verdicts(text, verdicts)), _facts(manifest, sheet), manifest)
+    return LoadedFolder(df, verdicts, _facts(manifest, sheet), manifest)
 
 
 def _facts(manifest: DataFrame, sheet: str | None) -> dict:
@@ -250,7 +254,8 @@ def quality_report(
         loaded = load_folder(spark, path, sheet)
     except Refused as e:
         return _told(spark, f"SECURITY_ERROR: {e}")
-    return render.quality_report_lines(loaded.df, order_by, source=loaded.source)
+    # the report reads the table several times, the files only once more
+    return render.quality_report_lines(loaded.df.checkpoint(), order_by, source=loaded.source)
 
 
 def analysis_report(spark: SparkSession, path: str | list[str], **columns) -> DataFrame:

@@ -105,3 +105,18 @@ def test_many_kinds_are_refused(spark, tmp_path, monkeypatch):
         (tmp_path / f"{i}.csv").write_text(f"k{i}\n1\n")
     with pytest.raises(folder.Refused, match="more than 2 kinds"):
         folder.load_folder(spark, str(tmp_path))
+
+
+def test_report_does_not_make_the_profile_twice(spark, tmp_path, monkeypatch):
+    """The table is read for the report alone, and from rows written once."""
+    (tmp_path / "a.csv").write_text("k,v\n1,x\n2,y\n2,y\n")
+    (tmp_path / "b.csv").write_text("v,k\nz,3\n")
+    made, profiles = [], []
+    lines, table = folder.render.quality_report_lines, folder.profile.table_profile
+    monkeypatch.setattr(folder.render, "quality_report_lines", lambda df, *a, **k: made.append(df) or lines(df, *a, **k))
+    monkeypatch.setattr(folder.profile, "table_profile", lambda *a, **k: profiles.append(a) or table(*a, **k))
+    found = [r["line"] for r in folder.quality_report(spark, str(tmp_path), order_by=["k"]).orderBy("line_no").collect()]
+    assert any("1, 2, 2" in line for line in found)
+    assert not profiles
+    plan = made[0]._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan" not in plan and "ExistingRDD" in plan
