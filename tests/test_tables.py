@@ -295,3 +295,11 @@ def test_samples_in_the_order_of_the_scan(spark):
     assert found == {"id": ["0", "1", "2"], "rare": ["1999", "3999"]}
     plan = profile.column_samples(df)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan
+
+
+def test_report_sorts_no_cells_of_its_rows(spark):
+    df = spark.range(200).selectExpr("id", "cast(id % 3 as string) as v")
+    found = render.quality_report_lines(df, ["id"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastNestedLoopJoin" in plan  # with the bounds of the samples
+    assert any("e.g. 0, 1, 2" in r["line"] for r in found.collect())
