@@ -303,3 +303,16 @@ def test_report_sorts_no_cells_of_its_rows(spark):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastNestedLoopJoin" in plan  # with the bounds of the samples
     assert any("e.g. 0, 1, 2" in r["line"] for r in found.collect())
+
+
+def test_cells_of_the_report_to_be_sorted_stay_few_as_rows_grow(spark):
+    places = ["0", "1", "2"]
+    for rows in (1_000, 100_000):
+        df = spark.range(0, rows, 1, 4).selectExpr("id", "cast(id % 3 as string) as v", "'erp' as origin")
+        cells = [F.col(name).cast("string").alias(p) for p, name in zip(places, df.columns)]
+        in_order = profile._cells_in_order(df.select(F.struct("id").alias("k"), *cells), places, 3)
+        in_tasks = profile._cells_of_tasks(df.select(F.col("id").alias("k"), *cells), places, 3)
+        assert 9 <= in_order.count() <= 100, rows
+        assert in_tasks.count() == 3 * 3 * 4, rows
+        lines = [r["line"] for r in render.quality_report_lines(df, ["id"]).collect()]
+        assert [x.partition("e.g. ")[2] for x in lines if "e.g. " in x] == ["0, 1, 2", "0, 1, 2", "erp, erp, erp"]
